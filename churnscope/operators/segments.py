@@ -146,7 +146,7 @@ def churned_mix(df: DataFrame, columns: Sequence[str] = ("Contract", "PaymentMet
     g = segment_counts(df, columns, rule, where=F.col("Churn") == "Yes")
     # Total churned per segment = sum over that segment's groups (tiny window).
     total = F.sum("n").over(Window.partitionBy("segment"))
-    pct = safe_div(F.col("n") * 100, total)
+    pct = safe_div(F.col("n"), total) * 100
     if digits is not None:
         pct = F.round(pct, digits)
     return (g.select("segment", "key", F.col("n").alias("count"), pct.alias("pct"))
@@ -167,6 +167,6 @@ def segment_shares(df: DataFrame, columns: Sequence[str] = ("Contract", "Payment
     total = F.sum("n").over(Window.partitionBy("segment"))
     return g.select(
         "segment", "key", "n", "churn_rate",
-        F.round(safe_div(F.col("n") * 100, total), 1).alias("share_pct"),
+        F.round(safe_div(F.col("n"), total) * 100, 1).alias("share_pct"),
         F.round(F.col("churn_rate") * 100, 2).alias("churn_rate_pct"),
         F.round(F.col("churn_rate") * 100, 1).alias("churn_rate_label"))
