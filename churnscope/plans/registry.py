@@ -50,7 +50,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # Importing the query modules fills the registry.
-    from churnscope.plans import queries_core, queries_dist  # noqa: F401
+    from churnscope.plans import queries_core, queries_dist, queries_model  # noqa: F401
 
 
 __all__ = ["register", "on_base", "queries", "oracle_sql", "with_base"]

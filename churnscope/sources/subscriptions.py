@@ -12,12 +12,12 @@ Scale notes
   partial (map-side) aggregate collapses a hot order before the shuffle.
 * The "next order of the same customer" is a ``lead`` over the customer's
   orders.  A plain ``Window.partitionBy(customer)`` would put one huge
-  customer (say a third of all orders) into a single task.  Instead the
-  orders are range-partitioned on the full sort key (customer, date, key),
-  which splits a hot customer across many partitions; ``lead`` runs within
-  (partition, customer) and the last row of each such run takes the first
-  row of the next non-empty partition.  That fix-up table has one row per
-  partition, so broadcasting it is bounded by the partition count.
+  customer (say a third of all orders) into a single task.  Instead
+  ``lead_in_group`` range-partitions on the full sort key (customer, date,
+  key), which splits a hot customer across many partitions; ``lead`` runs
+  within (partition, customer) and the last row of each such run takes the
+  first row of the next non-empty partition (a one-row-per-partition table,
+  so its broadcast is bounded by the partition count).
 * ``customer`` is joined by key with a shuffle join; AQE's skew-join
   handling splits a hot customer's partition.
 """
@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.session import checkpoint_dir
+from churnscope.functions.sequence import lead_in_group
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -59,49 +59,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _range_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def next_in_sequence(df: DataFrame, group: str, order: list[str], value: str,
-                     out: str, parts: int | None = None) -> DataFrame:
-    """Add ``out`` = ``value`` of the next row of the same ``group`` in ``order``.
-
-    Equivalent to ``lead(value) over (partition by group order by order)``
-    (``order`` must make rows unique within a group), but a hot group is
-    spread over several range partitions instead of landing in one task.
-    """
-    spark = df.sparkSession
-    key = [group] + list(order)
-    n = parts or _range_parts(spark)
-    # The row stream and the per-partition heads must see the same range
-    # bounds.  Range bounds come from a seeded sample whose seed depends on
-    # the RDD id, so two executions of the exchange may cut differently:
-    # materialise it once (reliable checkpoint in spark.checkpoint.dir; it
-    # also survives executor loss) and derive both branches from that.
-    checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(n, *key)
-                .withColumn("_pid", F.spark_partition_id())
-                .checkpoint(eager=True))
-    w = Window.partitionBy("_pid", group).orderBy(*order)
-    local = (ranged
-             .withColumn("_has_next", F.lead(F.lit(True)).over(w))
-             .withColumn("_next_local", F.lead(value).over(w)))
-    # First row of every non-empty partition (one row per partition).
-    heads = ranged.groupBy("_pid").agg(
-        F.min(F.struct(*[F.col(c) for c in key], F.col(value).alias("_v"))).alias("_head"))
-    # Bounded by the partition count: a single-partition window is fine here.
-    nxt = heads.select(
-        "_pid", F.lead("_head").over(Window.orderBy("_pid")).alias("_nh"))
-    joined = local.join(F.broadcast(nxt), "_pid", "left")
-    carry = F.when(F.col("_nh").getField(group).eqNullSafe(F.col(group)),
-                   F.col("_nh").getField("_v"))
-    return (joined
-            .withColumn(out, F.when(F.col("_has_next").isNotNull(), F.col("_next_local"))
-                              .otherwise(carry))
-            .drop("_pid", "_has_next", "_next_local", "_nh"))
-
-
 def lineitem_rollup(lineitem: DataFrame) -> DataFrame:
     """One row per order: line count, maxima, open lines and returned share."""
     return lineitem.groupBy("l_orderkey").agg(
@@ -124,8 +81,8 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
 
     as_of = orders.agg(F.max("o_orderdate")).scalar()   # scalar subquery
-    o = next_in_sequence(orders, "o_custkey", ["o_orderdate", "o_orderkey"],
-                         "o_orderdate", "_next_dt")
+    o = lead_in_group(orders, "o_custkey", ["o_orderdate", "o_orderkey"],
+                      "o_orderdate", "_next_dt")
     o = o.withColumn("end_dt", F.coalesce(F.col("_next_dt"), as_of)).drop("_next_dt")
 
     b = (o.join(customer, F.col("c_custkey") == F.col("o_custkey"), "inner")
