@@ -18,8 +18,9 @@ from churnscope.functions.bins import (
     MONTHLY_API, MONTHLY_BATCH, MONTHLY_JS, TENURE_API, TENURE_BATCH, TENURE_JS, BinDef)
 from churnscope.functions.scalar import round_fp, safe_div
 
-# A window over a frame with one row per bin (<= a few rows).
-_ALL_BINS = Window.partitionBy()
+def _ALL_BINS():
+    """Single-partition window over a frame with one row per bin (a few rows)."""
+    return Window.partitionBy()
 
 
 def _bin_counts(df: DataFrame, label: Column, where: Column | None) -> DataFrame:
@@ -45,7 +46,7 @@ def histogram(df: DataFrame, column: str, bindef: BinDef) -> DataFrame:
     x = F.col(column)
     counts = _bin_counts(df, bindef.label(x), (F.col("Churn") == "Yes") & x.isNotNull())
     full = _on_dimension(counts, bindef)
-    total = F.sum("count").over(_ALL_BINS)
+    total = F.sum("count").over(_ALL_BINS())
     return (full.select("range", "count",
                         F.coalesce(round_fp(safe_div("count", total), 4), F.lit(0.0)).alias("pct"),
                         "bin_order")
@@ -161,8 +162,8 @@ def batch_bin_mix(df: DataFrame, column: str, bindef: BinDef) -> DataFrame:
     a = churned.groupBy(bindef.label(F.col(column)).alias("range")).agg(
         F.count(F.lit(1)).alias("count"))
     # Total churned = all groups, the NULL bin included (bounded window).
-    a = a.withColumn("_total", F.sum("count").over(_ALL_BINS))
-    total = F.max("_total").over(_ALL_BINS)
+    a = a.withColumn("_total", F.sum("count").over(_ALL_BINS()))
+    total = F.max("_total").over(_ALL_BINS())
     full = (bindef.frame(df.sparkSession, "range")
             .join(a, "range", "left")
             .select("range", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),

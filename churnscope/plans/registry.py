@@ -50,7 +50,8 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # Importing the query modules fills the registry.
-    from churnscope.plans import queries_core, queries_dist, queries_model  # noqa: F401
+    from churnscope.plans import (  # noqa: F401
+        queries_core, queries_dist, queries_model, queries_reports)
 
 
 __all__ = ["register", "on_base", "queries", "oracle_sql", "with_base"]
