@@ -96,20 +96,20 @@ from (select coalesce(sum({CHURN}), 0)::bigint as churned_users, count(*) as tot
     kpis.implied_total)
 
 on_base("readiness", with_base(f"""
-select count(*) as total_rows, count_if(Churn = 'Yes') as churned_rows,
+select count(*) as total_rows, count_if(Churn = 'Yes')::bigint as churned_rows,
        count(distinct {UNK_CONTRACT}) as contract_types,
-       count_if(Churn = 'Yes' and tenure is not null) as churned_with_tenure,
-       count_if(Churn = 'Yes' and MonthlyCharges is not null) as churned_with_charges,
-       count_if(tenure is not null and MonthlyCharges is not null) as model_usable_rows
+       count_if(Churn = 'Yes' and tenure is not null)::bigint as churned_with_tenure,
+       count_if(Churn = 'Yes' and MonthlyCharges is not null)::bigint as churned_with_charges,
+       count_if(tenure is not null and MonthlyCharges is not null)::bigint as model_usable_rows
 from subs"""))(kpis.readiness)
 
 on_base("churned_with_value", with_base("""
-select count_if(Churn = 'Yes' and tenure is not null) as churned_with_tenure,
-       count_if(Churn = 'Yes' and MonthlyCharges is not null) as churned_with_charges
+select count_if(Churn = 'Yes' and tenure is not null)::bigint as churned_with_tenure,
+       count_if(Churn = 'Yes' and MonthlyCharges is not null)::bigint as churned_with_charges
 from subs"""))(kpis.churned_with_value)
 
 on_base("model_usable_rows", with_base("""
-select count_if(tenure is not null and MonthlyCharges is not null) as usable_rows from subs"""))(
+select count_if(tenure is not null and MonthlyCharges is not null)::bigint as usable_rows from subs"""))(
     kpis.model_usable_rows)
 
 on_base("distinct_segments", with_base(f"""
@@ -148,10 +148,10 @@ g as (select 'PaymentMethod' as seg, * from ({_seg_sql(UNK_PAYMENT)})
       union all select 'Contract' as seg, * from ({_seg_sql(UNK_CONTRACT)})),
 a as (select coalesce(max(case when seg = 'PaymentMethod' then churn_rate end), 0.0) as payment_highest_rate,
              coalesce(min(case when seg = 'PaymentMethod' then churn_rate end), 0.0) as payment_lowest_rate,
-             count_if(seg = 'PaymentMethod') as payment_count,
+             count_if(seg = 'PaymentMethod')::bigint as payment_count,
              coalesce(max(case when seg = 'Contract' then churn_rate end), 0.0) as contract_highest_rate,
              coalesce(min(case when seg = 'Contract' then churn_rate end), 0.0) as contract_lowest_rate,
-             count_if(seg = 'Contract') as contract_count
+             count_if(seg = 'Contract')::bigint as contract_count
       from g),
 c as (select *, round(payment_highest_rate - payment_lowest_rate, 4) as payment_rate_spread,
              round(contract_highest_rate - contract_lowest_rate, 4) as contract_rate_spread from a)"""

@@ -149,7 +149,7 @@ select '{",".join(_ALL)}' as analyzed_features, sum(n)::bigint as total_feature_
 on_base("feature_impact", with_base("""
 select feature, yes_churn_rate, no_churn_rate, churn_reduction, yes_customers, no_customers, rank,
        rank = 1 as is_best, rank = count(*) over () as is_worst
-from (select *, row_number() over (order by churn_reduction desc, feature_order) as rank
+from (select *, row_number() over (order by churn_reduction desc, feature_order)::integer as rank
       from (select *, round(no_churn_rate - yes_churn_rate, 4) as churn_reduction from fw
             where yes_customers > 0 and no_customers > 0))""", _FEAT_CTES))(
     lambda df: feat.feature_impact(df, _ALL))
@@ -214,8 +214,8 @@ from subs"""))(lambda df: df.select(
 on_base("safe_aggregates", with_base(f"""
 select round(avg({_NUM}), 4) as mean_total_charges,
        round(coalesce(sum({_NUM}), 0.0), 2) as sum_total_charges,
-       count(*) as n_rows, count_if(Churn = 'Yes') as n_churned,
-       count_if({_NUM} is null) as n_unparseable
+       count(*) as n_rows, count_if(Churn = 'Yes')::bigint as n_churned,
+       count_if({_NUM} is null)::bigint as n_unparseable
 from subs"""))(lambda df: df.agg(
     F.round(sc.safe_mean(sc.to_number("TotalCharges")), 4).alias("mean_total_charges"),
     F.round(sc.safe_sum(sc.to_number("TotalCharges")), 2).alias("sum_total_charges"),

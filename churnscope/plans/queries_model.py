@@ -60,7 +60,7 @@ from m where not is_test group by churn""", _M_CTES))(M.class_weights)
 on_base("model_training_info", with_base("""
 select count(*) as total_samples,
        (4 + count(distinct Contract) - 1 + count(distinct PaymentMethod) - 1)::bigint as total_features,
-       count_if(not is_test) as train_samples, count_if(is_test) as test_samples,
+       count_if(not is_test)::bigint as train_samples, count_if(is_test)::bigint as test_samples,
        round(avg(churn), 4) as positive_rate
 from m""", _M_CTES))(M.training_info)
 

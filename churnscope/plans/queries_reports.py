@@ -27,7 +27,7 @@ cb as (select *, try_cast(TotalCharges as double) as tc_num,
               {_case('tenure', TENURE_BATCH, True)} as tr,
               {_case('MonthlyCharges', MONTHLY_BATCH, True)} as mr,
               {CHURN} as y from subs),
-tc as (select count_if(y = 1) as tch from cb)"""
+tc as (select count_if(y = 1)::bigint as tch from cb)"""
 
 
 def _r1_bins(col, b, sec):
@@ -42,7 +42,7 @@ select 'averages' as section, 'avg_tenure' as key, null::bigint as count, null::
        null::double as churn_rate, round(avg(case when y = 1 then tenure end), 6) as value from cb
 union all select 'averages', 'avg_monthly', null, null, null, round(avg(case when y = 1 then MonthlyCharges end), 6) from cb
 union all select 'averages', 'avg_total', null, null, null, round(avg(case when y = 1 then tc_num end), 6) from cb
-union all select 'averages', 'count', count_if(y = 1), null, null, null from cb
+union all select 'averages', 'count', count_if(y = 1)::bigint, null, null, null from cb
 union all select 'total_customers', 'total', count(*), null, null, null from cb
 union all select 'by_contract', c_key, count(*), count(*)::double / (select tch from tc) * 100, null, null
           from cb where y = 1 group by c_key
@@ -111,7 +111,7 @@ def _dist(col, b, sec, tag):
 _T_CTES, _T_SEL = _dist("tenure", TENURE_API, "tenure_distribution", "t")
 _M_CTES, _M_SEL = _dist("MonthlyCharges", MONTHLY_API, "monthly_charges_distribution", "m")
 _R3_CTES = f"""
-tt as (select count(*) as n, sum({CHURN}) as churned, avg(tenure) as avg_t, avg(MonthlyCharges) as avg_m from subs),
+tt as (select count(*) as n, sum({CHURN})::bigint as churned, avg(tenure) as avg_t, avg(MonthlyCharges) as avg_m from subs),
 tr as (select *, coalesce(round(churned::double / nullif(n, 0), 4), 0.0) as rate from tt),
 fc as ({_FC}),
 fr as (select d.feature, d.key, d.item_order, coalesce(round(fc.churned::double / nullif(fc.n, 0), 4), 0.0) as churn_rate,
@@ -141,8 +141,8 @@ on_base("insight_payload", with_base(
     _R3_CTES))(rep.insight_payload_long)
 
 on_base("data_points", with_base("""
-select (count_if(section = 'overall_churn_rate') + count_if(section = 'churn_by_contract')
-        + count_if(section = 'churn_by_payment') + count_if(section = 'churn_by_features'))::bigint as data_points
+select (count_if(section = 'overall_churn_rate')::bigint + count_if(section = 'churn_by_contract')::bigint
+        + count_if(section = 'churn_by_payment')::bigint + count_if(section = 'churn_by_features')::bigint)::bigint as data_points
 from ipl""", _R3_CTES))(lambda df: rep.data_points(rep.insight_payload_long(df)))
 
 
@@ -257,15 +257,15 @@ PARAM_CONTRACT = "One year"
 
 
 @register("param_query", with_base(f"""
-select count(*) as n, count_if(Churn = 'Yes') as churned,
+select count(*) as n, count_if(Churn = 'Yes')::bigint as churned,
        round(count_if(Churn = 'Yes')::double / nullif(count(*), 0), 4) as churn_rate
 from subs where Contract = '{PARAM_CONTRACT}'"""))
 def _param_query(spark, sf_dir):
     """IO4: named-parameter SQL over the base (the value is bound, not spliced)."""
     return sinks.param_query(
         spark,
-        "SELECT count(*) AS n, count_if(Churn = 'Yes') AS churned, "
-        "round(try_divide(CAST(count_if(Churn = 'Yes') AS DOUBLE), count(*)), 4) AS churn_rate "
+        "SELECT count(*) AS n, count_if(Churn = 'Yes')::bigint AS churned, "
+        "round(try_divide(CAST(count_if(Churn = 'Yes')::bigint AS DOUBLE), count(*)), 4) AS churn_rate "
         "FROM {base} WHERE Contract = :contract",
         {"contract": PARAM_CONTRACT}, base=subscriptions(spark, sf_dir))
 
