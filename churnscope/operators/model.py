@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.scalar import round_fp, safe_div
 from churnscope.functions.sequence import prefix_sum
+from churnscope.session import checkpoint_dir
 
 # --- fixed values: model configuration ---------------------------------------
 NUMERIC_FEATURES = ["tenure", "MonthlyCharges"]
@@ -199,7 +200,11 @@ def preprocessing_sql(med: dict, cats: dict, stats: dict, weights: dict[int, flo
 
 def train(df: DataFrame) -> tuple[PipelineModel, dict]:
     """M7: fit the pipeline on the training rows; return it and its metrics."""
-    base = with_split(training_set(df))
+    # Counts, medians, categories, scaling and the L-BFGS passes all read the
+    # model rows: materialise them once (reliable checkpoint, survives
+    # executor loss) instead of re-deriving the base for every pass.
+    checkpoint_dir(df.sparkSession)
+    base = with_split(training_set(df)).checkpoint(eager=True)
     counts = base.agg(F.count(F.lit(1)).alias("n"),
                       F.count_if(~F.col("is_test")).alias("n_train"),
                       F.count_if(~F.col("is_test") & (F.col("churn") == 1)).alias("n_train_pos"),
@@ -221,7 +226,7 @@ def train(df: DataFrame) -> tuple[PipelineModel, dict]:
         VectorAssembler(inputCols=cols, outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="churn", weightCol="weight",
                            regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                           standardization=False, maxIter=MAX_ITER, tol=1e-8),
+                           standardization=False, maxIter=MAX_ITER),
     ])
     model = pipe.fit(train_rows)
     scored = score(model, base.where(F.col("is_test")))

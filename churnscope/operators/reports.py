@@ -17,12 +17,9 @@ from pyspark.sql import functions as F
 from churnscope.functions.bins import (
     MONTHLY_API, MONTHLY_BATCH, MONTHLY_JS, TENURE_API, TENURE_BATCH, TENURE_JS, BinDef)
 from churnscope.functions.scalar import (
-    churn_flag, fixed_text, no_if_null, pct_text, round_fp, safe_div, senior_filled,
-    thousands_text, to_number, unknown_if_blank)
+    churn_flag, fixed_text, no_if_null, parse_or_zero, pct_text, round_fp, safe_div,
+    senior_filled, thousands_text, to_number, unknown_if_blank)
 from churnscope.operators.features import DEFAULT_FEATURES, FEATURE_KEYS, validate_features
-from churnscope.operators.histograms import js_bins
-from churnscope.operators.kpis import churned_averages_js
-from churnscope.operators.segments import churned_mix
 from churnscope.session import checkpoint_dir
 
 # --- fixed values: columns the batch job fills with 'Unknown' ----------------
@@ -85,13 +82,16 @@ def _rows(sec: str, key: Column, count: Column | None = None, pct: Column | None
 
 
 def _bins_section(g: DataFrame, set_name: str, bindef: BinDef, section: str,
-                  count_col: str, total: Column, pct_digits: int | None) -> DataFrame:
+                  count_col: str, total: Column, pct_digits: int | None,
+                  digits: int | None = None) -> DataFrame:
     counts = g.where(F.col("set") == set_name).select(F.col("key").alias("range"),
                                                       F.col(count_col).alias("_c"), "_total")
     dim = bindef.frame(g.sparkSession, "range")
     j = dim.join(counts, "range", "left").withColumn("_total", F.max("_total").over(_TINY()))
     cnt = F.coalesce(F.col("_c"), F.lit(0))
     pct = safe_div(cnt, total) * 100 if pct_digits is None else round_fp(safe_div(cnt, total), pct_digits)
+    if digits is not None:
+        pct = F.round(pct, digits)
     return j.select(*_rows(section, F.col("range"), cnt, F.coalesce(pct, F.lit(0.0))))
 
 
@@ -170,34 +170,45 @@ def summary_payload(long: DataFrame, generated_at: Column | None = None) -> Data
 
 # --- R2: dashboard-script summary ---------------------------------------------
 def js_summary(df: DataFrame) -> DataFrame:
-    """R2 long frame: churned total, 2-dp averages (NULL adds 0), churned mix
-    by raw contract/payment value (2 dp), script tenure/charge bins (2 dp)."""
-    a = churned_averages_js(df)
-    mix = churned_mix(df, ("Contract", "PaymentMethod"), rule="js", digits=2)
-    bins = js_bins(df)
-    parts = [
-        a.select(*_rows("totals", F.lit("churned"), count=F.col("churned"))),
-        a.select(*_rows("averages", F.lit("avgTenure"), value=F.col("avg_tenure"))),
-        a.select(*_rows("averages", F.lit("avgMonthly"), value=F.col("avg_monthly"))),
-        a.select(*_rows("averages", F.lit("avgTotal"), value=F.col("avg_total"))),
-        mix.select(F.when(F.col("segment") == "Contract", "by_contract").otherwise("by_payment")
-                    .alias("section"), F.col("key"), F.col("count").cast("long").alias("count"),
-                   F.col("pct").cast("double").alias("pct"),
-                   F.lit(None).cast("double").alias("churn_rate"),
-                   F.lit(None).cast("double").alias("value")),
-        bins.select(F.when(F.col("attribute") == "tenure", "tenure_ranges")
-                     .otherwise("monthly_charge_ranges").alias("section"),
-                    F.col("range").alias("key"), F.col("count").cast("long").alias("count"),
-                    F.col("pct").cast("double").alias("pct"),
-                    F.lit(None).cast("double").alias("churn_rate"),
-                    F.lit(None).cast("double").alias("value")),
-    ]
+    """R2 long frame, one scan of the churned rows: churned total, 2-dp
+    averages (NULL / unparseable add 0 but still count), churned mix by raw
+    contract / payment value (2 dp), script tenure / charge bins (2 dp, all
+    bins listed; a NULL value compares as 0)."""
+    churned = df.where(F.col("Churn") == "Yes")
+    js_key = KEYS_JS
+    keys = {"by_contract": js_key(F.col("Contract")), "by_payment": js_key(F.col("PaymentMethod")),
+            "tenure_ranges": TENURE_JS.label(F.coalesce(F.col("tenure").cast("double"), F.lit(0.0))),
+            "monthly_charge_ranges": MONTHLY_JS.label(F.coalesce(F.col("MonthlyCharges"), F.lit(0.0)))}
+    g = _sets_agg(churned, keys, [
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.coalesce(F.col("tenure").cast("double"), F.lit(0.0))).alias("_st"),
+        F.sum(F.coalesce(F.col("MonthlyCharges"), F.lit(0.0))).alias("_sm"),
+        F.sum(parse_or_zero("TotalCharges")).alias("_stc")])
+    g = g.withColumn("_total", F.max(F.when(F.col("set") == "total", F.col("n"))).over(_TINY()))
+    tot = g.where(F.col("set") == "total")
+    total = F.col("_total")
+    parts = [tot.select(*_rows("totals", F.lit("churned"), count=F.col("n")))]
+    for k, c in (("avgTenure", "_st"), ("avgMonthly", "_sm"), ("avgTotal", "_stc")):
+        parts.append(tot.select(*_rows("averages", F.lit(k),
+                                       value=F.round(safe_div(c, "n"), 2))))
+    for sec in ("by_contract", "by_payment"):
+        s = g.where(F.col("set") == sec)
+        parts.append(s.select(*_rows(sec, F.col("key"), F.col("n"),
+                                     F.round(safe_div("n", total) * 100, 2))))
+    for sec, b in (("tenure_ranges", TENURE_JS), ("monthly_charge_ranges", MONTHLY_JS)):
+        parts.append(_bins_section(g.withColumnRenamed("n", "_cnt"), sec, b, sec, "_cnt",
+                                   total, None, digits=2))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def KEYS_JS(c: Column) -> Column:
+    """A value as the dashboard script keys it: text, NULL -> 'null'."""
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
 # --- R3: dashboard payload (one scan) -----------------------------------------
 def dashboard_aggregate(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Counts for every dashboard section in one GROUPING SETS aggregate."""
