@@ -47,6 +47,7 @@ TOP_K = 10
 # A categorical column with more distinct values than this is not a
 # low-cardinality feature; refuse rather than pull an unbounded list.
 MAX_CATEGORIES = 10_000
+EXACT_MEDIAN_MAX_DISTINCT = 5_000_000
 
 
 def training_set(df: DataFrame) -> DataFrame:
@@ -58,12 +59,22 @@ def training_set(df: DataFrame) -> DataFrame:
 
 
 def medians(df: DataFrame) -> dict[str, float | None]:
-    """Exact medians of the numeric features in one aggregate.
+    """Medians of the numeric features in one aggregate.
 
-    ``median`` keeps a value->count map per task, so its buffer is bounded by
-    the number of distinct values (small for tenure months and cent charges).
+    ``median`` is exact and keeps a value->count map per task, so its buffer
+    grows with the number of DISTINCT values (small for tenure months and
+    cent charges).  A column with more than ``EXACT_MEDIAN_MAX_DISTINCT``
+    distinct values (estimated in the same pass) falls back to
+    ``percentile_approx`` with a 1e-6 rank error instead of an unbounded map.
     """
-    row = df.agg(*[F.median(c).alias(c) for c in NUMERIC_FEATURES]).first()
+    probe = df.agg(*[F.approx_count_distinct(c).alias(c) for c in NUMERIC_FEATURES]).first()
+    aggs = []
+    for c in NUMERIC_FEATURES:
+        if probe[c] <= EXACT_MEDIAN_MAX_DISTINCT:
+            aggs.append(F.median(c).alias(c))
+        else:
+            aggs.append(F.percentile_approx(c, 0.5, 1_000_000).cast("double").alias(c))
+    row = df.agg(*aggs).first()
     return {c: (None if row[c] is None else float(row[c])) for c in NUMERIC_FEATURES}
 
 
