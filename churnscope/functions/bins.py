@@ -12,6 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnscope.functions.dims import literal_frame
 from churnscope.functions.scalar import right_closed_bins
 
 
@@ -38,7 +39,7 @@ class BinDef:
 
     def frame(self, spark: SparkSession, label_name: str = "range") -> DataFrame:
         rows = [(lab, i) for i, lab in enumerate(self.labels)]
-        return spark.createDataFrame(rows, f"`{label_name}` string, bin_order int")
+        return literal_frame(spark, rows, [(label_name, "string"), ("bin_order", "int")])
 
 
 # --- fixed values: bin edges and labels that must match the reference -------
@@ -70,5 +71,6 @@ def definitions_frame(spark: SparkSession) -> DataFrame:
     for d in ALL_BINDEFS:
         for i, lab in enumerate(d.labels):
             rows.append((d.name, i, lab, float(d.edges[i]), float(d.edges[i + 1])))
-    return spark.createDataFrame(rows, "bin_set string, bin_order int, `range` string, "
-                                       "lower_edge double, upper_edge double")
+    return literal_frame(spark, rows, [("bin_set", "string"), ("bin_order", "int"),
+                                       ("range", "string"), ("lower_edge", "double"),
+                                       ("upper_edge", "double")])

@@ -13,6 +13,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnscope.functions.dims import literal_frame
 from churnscope.functions.scalar import round_fp, safe_div
 from churnscope.operators.segments import segment_counts
 
@@ -59,10 +60,12 @@ def feature_churn(df: DataFrame, features: Sequence[str] | None = None) -> DataF
     feats = validate_features(features)
     counts = segment_counts(df, feats, "no").withColumnRenamed("segment", "feature")
     spark = df.sparkSession
-    dim = spark.createDataFrame(
-        [(f, k, i, j) for i, f in enumerate(feats) for j, k in enumerate(FEATURE_KEYS)],
-        "feature string, key string, feature_order int, key_order int")
-    j = dim.join(counts, ["feature", "key"], "left")
+    dim = literal_frame(
+        spark, [(f, k, i, j) for i, f in enumerate(feats) for j, k in enumerate(FEATURE_KEYS)],
+        [("feature", "string"), ("key", "string"), ("feature_order", "int"), ("key_order", "int")])
+    # Only Yes/No rows are emitted, so the broadcast side has <= 2 rows per feature.
+    kept = counts.where(F.col("key").isin(*FEATURE_KEYS))
+    j = F.broadcast(kept).join(dim, ["feature", "key"], "right")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
     return (j.select("feature", "key",
                      F.coalesce(round_fp(safe_div("churned", n), 4), F.lit(0.0)).alias("churn_rate"),

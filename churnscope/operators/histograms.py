@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.bins import (
     MONTHLY_API, MONTHLY_BATCH, MONTHLY_JS, TENURE_API, TENURE_BATCH, TENURE_JS, BinDef)
+from churnscope.functions.dims import literal_frame
 from churnscope.functions.scalar import round_fp, safe_div
 
 def _ALL_BINS():
@@ -34,7 +35,8 @@ def _on_dimension(counts: DataFrame, bindef: BinDef) -> DataFrame:
     """Every bin of the definition with its count (0 if absent), in order;
     ranges not in the definition are dropped (zero-fill, H5)."""
     dim = bindef.frame(counts.sparkSession, "range")
-    return (dim.join(counts, "range", "left")
+    # counts has at most one row per bin (+ NULL): broadcast it, stream the dimension.
+    return (F.broadcast(counts).join(dim, "range", "right")
                .select("range", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
                        "bin_order"))
 
@@ -70,7 +72,7 @@ def order_bins(rows: DataFrame, bindef: BinDef) -> DataFrame:
 def complete_bins(rows: DataFrame, bindef: BinDef) -> DataFrame:
     """H5: (range, count, pct) rows completed to every bin; unknown dropped."""
     dim = bindef.frame(rows.sparkSession, "range")
-    return (dim.join(rows, "range", "left")
+    return (rows.join(dim, "range", "right")
                .select("range", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
                        F.coalesce(F.col("pct"), F.lit(0.0)).alias("pct"), "bin_order")
                .orderBy("bin_order"))
@@ -164,8 +166,7 @@ def batch_bin_mix(df: DataFrame, column: str, bindef: BinDef) -> DataFrame:
     # Total churned = all groups, the NULL bin included (bounded window).
     a = a.withColumn("_total", F.sum("count").over(_ALL_BINS()))
     total = F.max("_total").over(_ALL_BINS())
-    full = (bindef.frame(df.sparkSession, "range")
-            .join(a, "range", "left")
+    full = (F.broadcast(a).join(bindef.frame(df.sparkSession, "range"), "range", "right")
             .select("range", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
                     "bin_order", "_total"))
     return (full.select("range", "count",
@@ -186,10 +187,9 @@ def js_bins(df: DataFrame, columns: Sequence[tuple[str, BinDef]] = (
         labelled.select(F.lit(cols[0][0]).alias("attribute"), F.col(cols[0][0]).alias("range"))
     counts = long.groupBy("attribute", "range").agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
-    dim = spark.createDataFrame(
-        [(c, lab, i) for c, b in cols for i, lab in enumerate(b.labels)],
-        "attribute string, `range` string, bin_order int")
-    full = dim.join(counts, ["attribute", "range"], "left").select(
+    dim = literal_frame(spark, [(c, lab, i) for c, b in cols for i, lab in enumerate(b.labels)],
+                        [("attribute", "string"), ("range", "string"), ("bin_order", "int")])
+    full = F.broadcast(counts).join(dim, ["attribute", "range"], "right").select(
         "attribute", "range", "bin_order",
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
     total = F.sum("count").over(Window.partitionBy("attribute"))

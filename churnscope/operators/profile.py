@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions.bins import MONTHLY_JS, TENURE_JS
+from churnscope.functions.dims import literal_frame
 
 # --- fixed values: attribute names of the profile and their columns ---------
 PROFILE_ATTRIBUTES = [
@@ -43,9 +44,9 @@ def churned_profile(df: DataFrame) -> DataFrame:
     counts = (wide.unpivot([], names, "attribute", "value")
                   .groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("count")))
     # Zero rows for every bin so empty bins still appear; summed away below.
-    zeros = df.sparkSession.createDataFrame(
-        [(a, lab, 0) for a, _, b in PROFILE_BINS for lab in b.labels],
-        "attribute string, value string, count long")
+    zeros = literal_frame(df.sparkSession,
+                          [(a, lab, 0) for a, _, b in PROFILE_BINS for lab in b.labels],
+                          [("attribute", "string"), ("value", "string"), ("count", "bigint")])
     full = counts.unionByName(zeros).groupBy("attribute", "value").agg(
         F.sum("count").cast("long").alias("count"))
     # Every churned row has exactly one value per attribute, so the total is

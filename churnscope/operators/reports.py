@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.bins import (
     MONTHLY_API, MONTHLY_BATCH, MONTHLY_JS, TENURE_API, TENURE_BATCH, TENURE_JS, BinDef)
+from churnscope.functions.dims import literal_frame
 from churnscope.functions.scalar import (
     churn_flag, fixed_text, no_if_null, parse_or_zero, pct_text, round_fp, safe_div,
     senior_filled, thousands_text, to_number, unknown_if_blank)
@@ -87,7 +88,8 @@ def _bins_section(g: DataFrame, set_name: str, bindef: BinDef, section: str,
     counts = g.where(F.col("set") == set_name).select(F.col("key").alias("range"),
                                                       F.col(count_col).alias("_c"), "_total")
     dim = bindef.frame(g.sparkSession, "range")
-    j = dim.join(counts, "range", "left").withColumn("_total", F.max("_total").over(_TINY()))
+    j = F.broadcast(counts).join(dim, "range", "right").withColumn(
+        "_total", F.max("_total").over(_TINY()))
     cnt = F.coalesce(F.col("_c"), F.lit(0))
     pct = safe_div(cnt, total) * 100 if pct_digits is None else round_fp(safe_div(cnt, total), pct_digits)
     if digits is not None:
@@ -266,11 +268,12 @@ def insight_payload_long(df: DataFrame, features: Sequence[str] | None = None) -
         rank = F.row_number().over(Window.orderBy(F.col("_r").desc(), F.col("key")))
         parts.append(s.select(*row(sec, item=F.col("key"), order=rank, rate=F.col("_r"),
                                    n=F.col("n"))))
-    fdim = spark.createDataFrame(
-        [(f"feature:{f}", f, k, 10 * i + j + 1) for i, f in enumerate(feats)
-         for j, k in enumerate(FEATURE_KEYS)],
-        "set string, feature string, key string, item_order int")
-    fj = fdim.join(g.select("set", "key", "n", "churned"), ["set", "key"], "left")
+    fdim = literal_frame(
+        spark, [(f"feature:{f}", f, k, 10 * i + j + 1) for i, f in enumerate(feats)
+                for j, k in enumerate(FEATURE_KEYS)],
+        [("set", "string"), ("feature", "string"), ("key", "string"), ("item_order", "int")])
+    fcounts = g.where(F.col("set").startswith("feature:") & F.col("key").isin(*FEATURE_KEYS))
+    fj = F.broadcast(fcounts.select("set", "key", "n", "churned")).join(fdim, ["set", "key"], "right")
     parts.append(fj.select(*row("churn_by_features", item=F.col("feature"), sub=F.col("key"),
                                 order=F.col("item_order"),
                                 rate=F.coalesce(round_fp(safe_div("churned", "n"), 4), F.lit(0.0)),
@@ -279,7 +282,7 @@ def insight_payload_long(df: DataFrame, features: Sequence[str] | None = None) -
                              ("monthly_bin", "monthly_charges_distribution", MONTHLY_API)):
         s = g.where((F.col("set") == set_name) & F.col("key").isNotNull()) \
              .select(F.col("key").alias("range"), F.col("churned").alias("_c"))
-        j = b.frame(spark, "range").join(s, "range", "left")
+        j = F.broadcast(s).join(b.frame(spark, "range"), "range", "right")
         cnt = F.coalesce(F.col("_c"), F.lit(0))
         j = j.withColumn("_t", F.sum(cnt).over(_TINY()))
         parts.append(j.select(*row(sec, item=F.col("range"), order=F.col("bin_order"), count=cnt,

@@ -303,3 +303,11 @@ def _streaming_snapshots(spark, sf_dir):
     running.run_running(spark, src, running.kpi_stream, running.scratch(spark, "stream-out"),
                         snapshots=snaps)
     return spark.read.parquet(snaps).select("batch_id", "payload")
+
+
+@register("bulk_append", with_base(_GEN_SQL))
+def _bulk_append(spark, sf_dir):
+    """IO7: append a generated batch to a (fresh) customer table; read it back."""
+    path = running.scratch(spark, "customers")
+    cust.append_customers(cust.generate_customers(subscriptions(spark, sf_dir)), path)
+    return spark.read.parquet(path)
