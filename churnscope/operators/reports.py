@@ -48,10 +48,18 @@ def clean_batch(df: DataFrame) -> DataFrame:
     return out.fillna("Unknown", subset=[c for c in BATCH_CATEGORICAL if c in df.columns])
 
 
-def _sets_agg(df: DataFrame, keys: dict[str, Column], aggs: list[Column]) -> DataFrame:
+def _sets_agg(df: DataFrame, keys: dict[str, Column], aggs: list[Column],
+              zero_fill: dict[str, list[tuple[str, int]]] | None = None,
+              post=None) -> DataFrame:
     """One GROUPING SETS aggregate: each key alone plus the grand total.
 
-    Output: ``set`` (key name or 'total'), ``key`` (string), then ``aggs``."""
+    Output: ``set`` (key name or 'total'), ``key`` (string), ``bin_order``
+    (position of the key in ``zero_fill[set]``, else NULL), then ``aggs``.
+    ``zero_fill`` adds every listed (set, key) even when absent (aggregates
+    NULL).  ``post`` adds columns over the small aggregated frame (totals,
+    ranks).  The result — a few dozen rows — is materialised once in a
+    reliable checkpoint, so the scan + aggregate run exactly once and every
+    report section afterwards is a plain filter/projection of it."""
     names = list(keys)
     alias = {k: f"_k{i}" for i, k in enumerate(names)}
     slim = df.select(*[v.cast("string").alias(alias[k]) for k, v in keys.items()], *df.columns)
@@ -64,15 +72,32 @@ def _sets_agg(df: DataFrame, keys: dict[str, Column], aggs: list[Column]) -> Dat
         c = alias[k]
         which = F.when(F.col(f"_g{c}") == 0, F.lit(k)).otherwise(which)
         key = F.when(F.col(f"_g{c}") == 0, F.col(c)).otherwise(key)
-    out = g.select(which.alias("set"), key.alias("key"),
-                   *[c for c in g.columns if c not in cols and not c.startswith("_g_k")])
-    # Every report section reads this frame; materialise it once (a few
-    # dozen rows) so the scan + aggregate runs exactly once, in a reliable
-    # checkpoint that survives executor loss.
-    checkpoint_dir(df.sparkSession)
+    agg_cols = [c for c in g.columns if c not in cols and not c.startswith("_g_k")]
+    out = g.select(which.alias("set"), key.alias("key"), *agg_cols)
+    spark = df.sparkSession
+    fill = [(sname, lab, i) for sname, labs in (zero_fill or {}).items() for lab, i in labs]
+    order = literal_frame(spark, fill, [("set", "string"), ("key", "string"), ("bin_order", "int")])
+    if fill:
+        # Union the zero rows in and re-aggregate: each (set, key) has at most
+        # one real row and one fill row, so max() just picks the real value.
+        z = order.select("set", "key", "bin_order",
+                         *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in agg_cols])
+        out = (out.withColumn("bin_order", F.lit(None).cast("int")).unionByName(z)
+                  .groupBy("set", "key")
+                  .agg(F.max("bin_order").alias("bin_order"), *[F.max(c).alias(c) for c in agg_cols]))
+    else:
+        out = out.withColumn("bin_order", F.lit(None).cast("int"))
+    if post is not None:
+        out = post(out)
+    checkpoint_dir(spark)
     return out.checkpoint(eager=True)
 
 
+def _grand(col: str) -> Column:
+    """The 'total' row's value of ``col`` on every row (tiny frame window)."""
+    return F.max(F.when(F.col("set") == "total", F.col(col))).over(_TINY())
+
+
 def _rows(sec: str, key: Column, count: Column | None = None, pct: Column | None = None,
           rate: Column | None = None, value: Column | None = None) -> list[Column]:
     def d(c, t):
@@ -82,19 +107,15 @@ def _rows(sec: str, key: Column, count: Column | None = None, pct: Column | None
             d(rate, "double").alias("churn_rate"), d(value, "double").alias("value")]
 
 
-def _bins_section(g: DataFrame, set_name: str, bindef: BinDef, section: str,
-                  count_col: str, total: Column, pct_digits: int | None,
-                  digits: int | None = None) -> DataFrame:
-    counts = g.where(F.col("set") == set_name).select(F.col("key").alias("range"),
-                                                      F.col(count_col).alias("_c"), "_total")
-    dim = bindef.frame(g.sparkSession, "range")
-    j = F.broadcast(counts).join(dim, "range", "right").withColumn(
-        "_total", F.max("_total").over(_TINY()))
-    cnt = F.coalesce(F.col("_c"), F.lit(0))
-    pct = safe_div(cnt, total) * 100 if pct_digits is None else round_fp(safe_div(cnt, total), pct_digits)
-    if digits is not None:
-        pct = F.round(pct, digits)
-    return j.select(*_rows(section, F.col("range"), cnt, F.coalesce(pct, F.lit(0.0))))
+def _fill(bindef: BinDef) -> list[tuple[str, int]]:
+    return [(lab, i) for i, lab in enumerate(bindef.labels)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # --- R1: batch clean -> bin -> aggregate --------------------------------------
@@ -114,8 +135,10 @@ def batch_summary(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("churned"),
         F.avg(F.when(y == 1, F.col("tenure"))).alias("avg_tenure"),
         F.avg(F.when(y == 1, F.col("MonthlyCharges"))).alias("avg_monthly"),
-        F.avg(F.when(y == 1, F.col("TotalCharges"))).alias("avg_total")])
-    g = g.withColumn("_total", F.max(F.when(F.col("set") == "total", F.col("churned"))).over(_TINY()))
+        F.avg(F.when(y == 1, F.col("TotalCharges"))).alias("avg_total")],
+        zero_fill={"tenure_range": _fill(TENURE_BATCH),
+                   "monthly_charge_range": _fill(MONTHLY_BATCH)},
+        post=lambda t: t.withColumn("_total", _grand("churned")))
     tot = g.where(F.col("set") == "total")
     total = F.col("_total")
     parts = [
@@ -134,14 +157,12 @@ def batch_summary(df: DataFrame) -> DataFrame:
         s = g.where(F.col("set") == set_name)
         parts.append(s.select(*_rows(sec, F.col("key"),
                                      rate=F.col("churned") / F.col("n") * 100)))
-    parts.append(_bins_section(g, "tenure_range", TENURE_BATCH, "tenure_ranges", "churned",
-                               total, None))
-    parts.append(_bins_section(g, "monthly_charge_range", MONTHLY_BATCH, "monthly_charge_ranges",
-                               "churned", total, None))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for set_name, sec in (("tenure_range", "tenure_ranges"),
+                          ("monthly_charge_range", "monthly_charge_ranges")):
+        s = g.where((F.col("set") == set_name) & F.col("bin_order").isNotNull())
+        cnt = F.coalesce(F.col("churned"), F.lit(0))
+        parts.append(s.select(*_rows(sec, F.col("key"), cnt, safe_div(cnt, total) * 100)))
+    return _union(parts)
 
 
 def summary_payload(long: DataFrame, generated_at: Column | None = None) -> DataFrame:
@@ -171,58 +192,67 @@ def summary_payload(long: DataFrame, generated_at: Column | None = None) -> Data
 
 
 # --- R2: dashboard-script summary ---------------------------------------------
+def KEYS_JS(c: Column) -> Column:
+    """A value as the dashboard script keys it: text, NULL -> 'null'."""
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
 def js_summary(df: DataFrame) -> DataFrame:
     """R2 long frame, one scan of the churned rows: churned total, 2-dp
     averages (NULL / unparseable add 0 but still count), churned mix by raw
     contract / payment value (2 dp), script tenure / charge bins (2 dp, all
     bins listed; a NULL value compares as 0)."""
     churned = df.where(F.col("Churn") == "Yes")
-    js_key = KEYS_JS
-    keys = {"by_contract": js_key(F.col("Contract")), "by_payment": js_key(F.col("PaymentMethod")),
+    keys = {"by_contract": KEYS_JS(F.col("Contract")), "by_payment": KEYS_JS(F.col("PaymentMethod")),
             "tenure_ranges": TENURE_JS.label(F.coalesce(F.col("tenure").cast("double"), F.lit(0.0))),
             "monthly_charge_ranges": MONTHLY_JS.label(F.coalesce(F.col("MonthlyCharges"), F.lit(0.0)))}
     g = _sets_agg(churned, keys, [
         F.count(F.lit(1)).alias("n"),
         F.sum(F.coalesce(F.col("tenure").cast("double"), F.lit(0.0))).alias("_st"),
         F.sum(F.coalesce(F.col("MonthlyCharges"), F.lit(0.0))).alias("_sm"),
-        F.sum(parse_or_zero("TotalCharges")).alias("_stc")])
-    g = g.withColumn("_total", F.max(F.when(F.col("set") == "total", F.col("n"))).over(_TINY()))
+        F.sum(parse_or_zero("TotalCharges")).alias("_stc")],
+        zero_fill={"tenure_ranges": _fill(TENURE_JS), "monthly_charge_ranges": _fill(MONTHLY_JS)},
+        post=lambda t: t.withColumn("_total", _grand("n")))
     tot = g.where(F.col("set") == "total")
     total = F.col("_total")
     parts = [tot.select(*_rows("totals", F.lit("churned"), count=F.col("n")))]
     for k, c in (("avgTenure", "_st"), ("avgMonthly", "_sm"), ("avgTotal", "_stc")):
         parts.append(tot.select(*_rows("averages", F.lit(k),
                                        value=F.round(safe_div(c, "n"), 2))))
-    for sec in ("by_contract", "by_payment"):
+    for sec in ("by_contract", "by_payment", "tenure_ranges", "monthly_charge_ranges"):
         s = g.where(F.col("set") == sec)
-        parts.append(s.select(*_rows(sec, F.col("key"), F.col("n"),
-                                     F.round(safe_div("n", total) * 100, 2))))
-    for sec, b in (("tenure_ranges", TENURE_JS), ("monthly_charge_ranges", MONTHLY_JS)):
-        parts.append(_bins_section(g.withColumnRenamed("n", "_cnt"), sec, b, sec, "_cnt",
-                                   total, None, digits=2))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def KEYS_JS(c: Column) -> Column:
-    """A value as the dashboard script keys it: text, NULL -> 'null'."""
-    return F.coalesce(c.cast("string"), F.lit("null"))
+        cnt = F.coalesce(F.col("n"), F.lit(0))
+        parts.append(s.select(*_rows(sec, F.col("key"), cnt, F.round(safe_div(cnt, total) * 100, 2))))
+    return _union(parts)
 
 
 # --- R3: dashboard payload (one scan) -----------------------------------------
 def dashboard_aggregate(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """Counts for every dashboard section in one GROUPING SETS aggregate."""
+    """Counts for every dashboard section in one GROUPING SETS aggregate, with
+    bins and Yes/No feature keys zero-filled, rates and in-set ranks added."""
     feats = validate_features(features or DEFAULT_FEATURES)
     keys = {"contract": unknown_if_blank("Contract"), "payment": unknown_if_blank("PaymentMethod"),
             "tenure_bin": TENURE_API.label(F.col("tenure")),
             "monthly_bin": MONTHLY_API.label(F.col("MonthlyCharges"))}
     keys.update({f"feature:{f}": no_if_null(f) for f in feats})
+    fill = {"tenure_bin": _fill(TENURE_API), "monthly_bin": _fill(MONTHLY_API)}
+    fill.update({f"feature:{f}": [(k, 10 * i + j + 1) for j, k in enumerate(FEATURE_KEYS)]
+                 for i, f in enumerate(feats)})
+
+    def post(t: DataFrame) -> DataFrame:
+        rate = F.coalesce(round_fp(safe_div("churned", "n"), 4), F.lit(0.0))
+        known = F.col("bin_order").isNotNull()
+        return (t.withColumn("_rate", rate)
+                 .withColumn("_rank", F.row_number().over(
+                     Window.partitionBy("set").orderBy(F.col("_rate").desc(), F.col("key"))))
+                 .withColumn("_bin_total", F.sum(F.when(known, F.coalesce(F.col("churned"), F.lit(0))))
+                             .over(Window.partitionBy("set"))))
+
     y = churn_flag()
     return _sets_agg(df, keys, [F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("churned"),
                                 F.avg("tenure").alias("avg_tenure"),
-                                F.avg("MonthlyCharges").alias("avg_monthly")])
+                                F.avg("MonthlyCharges").alias("avg_monthly")],
+                     zero_fill=fill, post=post)
 
 
 def insight_payload_long(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
@@ -236,7 +266,6 @@ def insight_payload_long(df: DataFrame, features: Sequence[str] | None = None) -
     monthly_charges_distribution (definition order)."""
     feats = validate_features(features or DEFAULT_FEATURES)
     g = dashboard_aggregate(df, feats)
-    spark = df.sparkSession
 
     def row(section, item=None, sub=None, order=None, rate=None, n=None, count=None, pct=None,
             value=None):
@@ -249,7 +278,7 @@ def insight_payload_long(df: DataFrame, features: Sequence[str] | None = None) -
                 d(value, "double").alias("value")]
 
     tot = g.where(F.col("set") == "total")
-    rate = F.coalesce(round_fp(safe_div("churned", "n"), 4), F.lit(0.0))
+    rate = F.col("_rate")
     churned = F.coalesce(F.col("churned"), F.lit(0))
     parts = [
         tot.select(*row("overall_churn_rate", order=F.lit(0), value=rate)),
@@ -262,35 +291,20 @@ def insight_payload_long(df: DataFrame, features: Sequence[str] | None = None) -
                         value=F.coalesce(round_fp("avg_monthly", 1), F.lit(0.0)))),
     ]
     for set_name, sec in (("contract", "churn_by_contract"), ("payment", "churn_by_payment")):
-        s = g.where(F.col("set") == set_name).withColumn(
-            "_r", F.coalesce(round_fp(safe_div("churned", "n"), 4), F.lit(0.0)))
-        # Rank among the segment's groups (a handful of rows).
-        rank = F.row_number().over(Window.orderBy(F.col("_r").desc(), F.col("key")))
-        parts.append(s.select(*row(sec, item=F.col("key"), order=rank, rate=F.col("_r"),
+        s = g.where(F.col("set") == set_name)
+        parts.append(s.select(*row(sec, item=F.col("key"), order=F.col("_rank"), rate=rate,
                                    n=F.col("n"))))
-    fdim = literal_frame(
-        spark, [(f"feature:{f}", f, k, 10 * i + j + 1) for i, f in enumerate(feats)
-                for j, k in enumerate(FEATURE_KEYS)],
-        [("set", "string"), ("feature", "string"), ("key", "string"), ("item_order", "int")])
-    fcounts = g.where(F.col("set").startswith("feature:") & F.col("key").isin(*FEATURE_KEYS))
-    fj = F.broadcast(fcounts.select("set", "key", "n", "churned")).join(fdim, ["set", "key"], "right")
-    parts.append(fj.select(*row("churn_by_features", item=F.col("feature"), sub=F.col("key"),
-                                order=F.col("item_order"),
-                                rate=F.coalesce(round_fp(safe_div("churned", "n"), 4), F.lit(0.0)),
+    fs = g.where(F.col("set").startswith("feature:") & F.col("bin_order").isNotNull())
+    parts.append(fs.select(*row("churn_by_features", item=F.substring(F.col("set"), 9, 1000),
+                                sub=F.col("key"), order=F.col("bin_order"), rate=rate,
                                 n=F.coalesce(F.col("n"), F.lit(0)))))
-    for set_name, sec, b in (("tenure_bin", "tenure_distribution", TENURE_API),
-                             ("monthly_bin", "monthly_charges_distribution", MONTHLY_API)):
-        s = g.where((F.col("set") == set_name) & F.col("key").isNotNull()) \
-             .select(F.col("key").alias("range"), F.col("churned").alias("_c"))
-        j = F.broadcast(s).join(b.frame(spark, "range"), "range", "right")
-        cnt = F.coalesce(F.col("_c"), F.lit(0))
-        j = j.withColumn("_t", F.sum(cnt).over(_TINY()))
-        parts.append(j.select(*row(sec, item=F.col("range"), order=F.col("bin_order"), count=cnt,
-                                   pct=F.coalesce(round_fp(safe_div(cnt, "_t"), 4), F.lit(0.0)))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for set_name, sec in (("tenure_bin", "tenure_distribution"),
+                          ("monthly_bin", "monthly_charges_distribution")):
+        s = g.where((F.col("set") == set_name) & F.col("bin_order").isNotNull())
+        parts.append(s.select(*row(sec, item=F.col("key"), order=F.col("bin_order"), count=churned,
+                                   pct=F.coalesce(round_fp(safe_div(churned, "_bin_total"), 4),
+                                                  F.lit(0.0)))))
+    return _union(parts)
 
 
 def insight_json(long: DataFrame) -> DataFrame:
