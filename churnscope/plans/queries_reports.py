@@ -62,7 +62,8 @@ def _snapshot(spark, sf_dir):
     """IO6: append the batch summary payload as a snapshot; return the row."""
     payload = rep.summary_payload(rep.batch_summary(subscriptions(spark, sf_dir)))
     path = running.scratch(spark, "snapshots")
-    return sinks.latest_snapshot(spark, sinks.append_snapshot(payload, path) and path)
+    sinks.append_snapshot(payload, path)
+    return sinks.latest_snapshot(spark, path)
 
 
 @on_base("summary_json")
@@ -311,3 +312,24 @@ def _bulk_append(spark, sf_dir):
     path = running.scratch(spark, "customers")
     cust.append_customers(cust.generate_customers(subscriptions(spark, sf_dir)), path)
     return spark.read.parquet(path)
+
+
+# --- Materialised base: pushdown and partition pruning ---------------------------
+def _materialized(spark, sf_dir):
+    from churnscope.sources.subscriptions import materialize_subscriptions, read_subscriptions
+    path = running.scratch(spark, "subscriptions")
+    return read_subscriptions(spark, materialize_subscriptions(spark, sf_dir, path))
+
+
+@register("materialized_churned_scan", with_base("select * from subs where Churn = 'Yes'"))
+def _mat_churned(spark, sf_dir):
+    """IO1/IO2 on the written base: the Churn filter prunes partitions."""
+    from churnscope.sources.subscriptions import churned_scan
+    return churned_scan(_materialized(spark, sf_dir))
+
+
+@register("materialized_keyset_page", with_base(
+    f"select {_LIST_COLS} from subs where customerID > '{AFTER}' order by customerID limit 20"))
+def _mat_keyset(spark, sf_dir):
+    """P4 on the written base: ``customerID > last`` is pushed to the scan."""
+    return cust.keyset_page(_materialized(spark, sf_dir), AFTER)

@@ -180,3 +180,24 @@ def model_input_scan(df: DataFrame) -> DataFrame:
 def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
     """First ``n`` rows by customerID (a deterministic connectivity sample)."""
     return df.orderBy("customerID").limit(n)
+
+
+def materialize_subscriptions(spark: SparkSession, sf_dir: str, path: str,
+                              files: int | None = None) -> str:
+    """Write the derived base once as a table (the ETL step of a deployment).
+
+    * ``partitionBy("Churn")``: churned-only queries prune to one directory.
+    * ``repartitionByRange("customerID")`` + sorted files: each file covers a
+      contiguous id range, so ``customerID > last`` (keyset paging) and id
+      searches skip files and row groups by their min/max statistics.
+    """
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    (subscriptions(spark, sf_dir)
+        .repartitionByRange(n, "customerID").sortWithinPartitions("customerID")
+        .write.mode("overwrite").partitionBy("Churn").parquet(path))
+    return path
+
+
+def read_subscriptions(spark: SparkSession, path: str) -> DataFrame:
+    """Read a materialised base with the canonical column order."""
+    return spark.read.parquet(path).select(*SUBSCRIPTION_COLUMNS)
