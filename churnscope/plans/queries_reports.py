@@ -285,7 +285,8 @@ from subs"""))
 def _streaming_kpis(spark, sf_dir):
     """ST1: KPIs as a streaming aggregate; the final state equals the batch result."""
     src = _staged(spark, sf_dir)
-    return running.run_running(spark, src, running.kpi_stream, running.scratch(spark, "stream-out"))
+    return running.run_running(spark, src, running.kpi_stream, running.scratch(spark, "stream-out"),
+                               files_per_trigger=running.files_per_trigger(spark, src))
 
 
 @register("streaming_churn_by_contract", with_base(_seg_sql(UNK_CONTRACT)))
@@ -293,7 +294,8 @@ def _streaming_contract(spark, sf_dir):
     """ST1: churn by contract as a streaming aggregate."""
     src = _staged(spark, sf_dir)
     return running.run_running(spark, src, running.segment_stream("Contract"),
-                               running.scratch(spark, "stream-out"))
+                               running.scratch(spark, "stream-out"),
+                               files_per_trigger=running.files_per_trigger(spark, src))
 
 
 @register("streaming_snapshots")
@@ -302,7 +304,7 @@ def _streaming_snapshots(spark, sf_dir):
     src = _staged(spark, sf_dir)
     snaps = running.scratch(spark, "stream-snapshots")
     running.run_running(spark, src, running.kpi_stream, running.scratch(spark, "stream-out"),
-                        snapshots=snaps)
+                        snapshots=snaps, files_per_trigger=running.files_per_trigger(spark, src))
     return spark.read.parquet(snaps).select("batch_id", "payload")
 
 

@@ -34,12 +34,22 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return os.path.join(checkpoint_dir(spark), kind, uuid.uuid4().hex)
 
 
-def stage_rows(df: DataFrame, path: str, files: int = 4) -> str:
-    """Write derived rows as ``files`` parquet files for a file-source stream."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def stage_rows(df: DataFrame, path: str, files: int | None = None) -> str:
+    """Write derived rows as parquet files for a file-source stream.
+
+    By default the natural layout is kept (one file per final task, so the
+    file count scales with the data); ``files`` forces a count (tests)."""
+    (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
     return path
 
 
+def files_per_trigger(spark: SparkSession, path: str, batches: int = 4) -> int:
+    """Files per micro-batch so that ``path`` streams in about ``batches``
+    triggers (file listing only; one entry per written file)."""
+    n = len(spark.read.parquet(path).inputFiles())
+    return max(1, -(-n // batches))
+
+
 def kpi_stream(stream: DataFrame) -> DataFrame:
     """K1 as a streaming aggregate (one global group)."""
     a = stream.agg(F.count(F.lit(1)).alias("_total"), F.sum(churn_flag()).alias("_churned"),
