@@ -100,6 +100,7 @@ def readiness(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(churned).alias("churned_rows"),
         F.count_distinct(unknown_if_blank("Contract")).alias("contract_types"),
+        F.count_distinct(unknown_if_blank("PaymentMethod")).alias("payment_methods"),
         F.count_if(churned & F.col("tenure").isNotNull()).alias("churned_with_tenure"),
         F.count_if(churned & F.col("MonthlyCharges").isNotNull()).alias("churned_with_charges"),
         F.count_if(F.col("tenure").isNotNull() & F.col("MonthlyCharges").isNotNull())

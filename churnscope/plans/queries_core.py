@@ -98,6 +98,7 @@ from (select coalesce(sum({CHURN}), 0)::bigint as churned_users, count(*) as tot
 on_base("readiness", with_base(f"""
 select count(*) as total_rows, count_if(Churn = 'Yes')::bigint as churned_rows,
        count(distinct {UNK_CONTRACT}) as contract_types,
+       count(distinct {UNK_PAYMENT}) as payment_methods,
        count_if(Churn = 'Yes' and tenure is not null)::bigint as churned_with_tenure,
        count_if(Churn = 'Yes' and MonthlyCharges is not null)::bigint as churned_with_charges,
        count_if(tenure is not null and MonthlyCharges is not null)::bigint as model_usable_rows
