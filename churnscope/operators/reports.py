@@ -242,9 +242,11 @@ def dashboard_aggregate(df: DataFrame, features: Sequence[str] | None = None) ->
     def post(t: DataFrame) -> DataFrame:
         rate = F.coalesce(round_fp(safe_div("churned", "n"), 4), F.lit(0.0))
         known = F.col("bin_order").isNotNull()
+        raw = safe_div("churned", "n")
         return (t.withColumn("_rate", rate)
                  .withColumn("_rank", F.row_number().over(
-                     Window.partitionBy("set").orderBy(F.col("_rate").desc(), F.col("key"))))
+                     Window.partitionBy("set").orderBy(F.col("_rate").desc(), raw.desc(),
+                                                       F.col("key"))))
                  .withColumn("_bin_total", F.sum(F.when(known, F.coalesce(F.col("churned"), F.lit(0))))
                              .over(Window.partitionBy("set"))))
 

@@ -44,14 +44,18 @@ def segment_counts(df: DataFrame, columns: Sequence[str], rule: str = "blank",
 
 
 def with_rate(counts: DataFrame, digits: int = 4) -> DataFrame:
-    return counts.withColumn("churn_rate", round_fp(safe_div("churned", "n"), digits))
+    """Adds ``churn_rate`` (rounded) and ``_raw_rate`` (unrounded, for ties)."""
+    raw = safe_div("churned", "n")
+    return counts.withColumn("churn_rate", round_fp(raw, digits)).withColumn("_raw_rate", raw)
 
 
 def churn_by(df: DataFrame, column: str) -> DataFrame:
-    """Key, churn_rate (4 dp), n; highest rate first, ties by key."""
+    """Key, churn_rate (4 dp), n; highest rate first.  Rounded ties
+    keep the unrounded order (as the SQL sort feeding a stable re-sort does),
+    then key."""
     return (with_rate(segment_counts(df, [column], "blank"))
-            .select("key", "churn_rate", "n")
-            .orderBy(F.col("churn_rate").desc(), F.col("key")))
+            .orderBy(F.col("churn_rate").desc(), F.col("_raw_rate").desc(), F.col("key"))
+            .select("key", "churn_rate", "n"))
 
 
 def churn_by_contract(df: DataFrame) -> DataFrame:
@@ -70,9 +74,10 @@ def segment_metadata(df: DataFrame, column: str) -> DataFrame:
 
 
 def _summary_aggs(prefix: str = "") -> list[Column]:
+    # First max / first min of the list ordered by (rate desc, raw rate desc, key).
     row = F.struct("key", "churn_rate", "n")
-    hi = F.min_by(row, F.struct(-F.col("churn_rate"), F.col("key")))
-    lo = F.min_by(row, F.struct(F.col("churn_rate"), F.col("key")))
+    hi = F.min_by(row, F.struct(-F.col("churn_rate"), -F.col("_raw_rate"), F.col("key")))
+    lo = F.min_by(row, F.struct(F.col("churn_rate"), -F.col("_raw_rate"), F.col("key")))
     return [
         hi.getField("key").alias(f"{prefix}highest_key"),
         hi.getField("churn_rate").alias(f"{prefix}highest_rate"),

@@ -12,11 +12,12 @@ UNK_PAYMENT = "case when PaymentMethod is null or trim(PaymentMethod) = '' then
 CHURN = "case when Churn = 'Yes' then 1 else 0 end"
 
 
-def _seg_sql(key_expr: str) -> str:
+def _seg_sql(key_expr: str, raw: bool = False) -> str:
+    extra = f", sum({CHURN})::double / count(*) as raw_rate" if raw else ""
     return f"""
 select {key_expr} as key,
        round(sum({CHURN})::double / count(*), 4) as churn_rate,
-       count(*) as n
+       count(*) as n{extra}
 from subs group by 1"""
 
 
@@ -130,15 +131,15 @@ on_base("payment_meta", _meta_sql(UNK_PAYMENT))(lambda df: seg.segment_metadata(
 
 def _summary_sql(key_expr):
     return with_base(f"""
-select first(key order by churn_rate desc, key) as highest_key,
-       first(churn_rate order by churn_rate desc, key) as highest_rate,
-       first(n order by churn_rate desc, key) as highest_n,
-       first(key order by churn_rate, key) as lowest_key,
-       first(churn_rate order by churn_rate, key) as lowest_rate,
-       first(n order by churn_rate, key) as lowest_n,
+select first(key order by churn_rate desc, raw_rate desc, key) as highest_key,
+       first(churn_rate order by churn_rate desc, raw_rate desc, key) as highest_rate,
+       first(n order by churn_rate desc, raw_rate desc, key) as highest_n,
+       first(key order by churn_rate, raw_rate desc, key) as lowest_key,
+       first(churn_rate order by churn_rate, raw_rate desc, key) as lowest_rate,
+       first(n order by churn_rate, raw_rate desc, key) as lowest_n,
        coalesce(round(sum(churn_rate * n) / nullif(sum(n), 0), 4), 0.0) as average_churn_rate,
        count(*) as total_types
-from ({_seg_sql(key_expr)}) g""")
+from ({_seg_sql(key_expr, raw=True)}) g""")
 
 
 on_base("contract_summary", _summary_sql(UNK_CONTRACT))(lambda df: seg.segment_summary(df, "Contract"))

@@ -129,10 +129,12 @@ ipl as (
   union all select 'churned_customers', null, null, 2, null, null, coalesce(churned, 0), null, null from tr
   union all select 'average_tenure', null, null, 3, null, null, null, null, coalesce(round(avg_t, 1), 0.0) from tr
   union all select 'average_monthly_charges', null, null, 4, null, null, null, null, coalesce(round(avg_m, 1), 0.0) from tr
-  union all select 'churn_by_contract', key, null, row_number() over (order by churn_rate desc, key), churn_rate, n, null, null, null
-            from ({_seg_sql(UNK_CONTRACT)})
-  union all select 'churn_by_payment', key, null, row_number() over (order by churn_rate desc, key), churn_rate, n, null, null, null
-            from ({_seg_sql(UNK_PAYMENT)})
+  union all select 'churn_by_contract', key, null, row_number() over (order by churn_rate desc, raw_rate desc, key),
+                   churn_rate, n, null, null, null
+            from ({_seg_sql(UNK_CONTRACT, raw=True)})
+  union all select 'churn_by_payment', key, null, row_number() over (order by churn_rate desc, raw_rate desc, key),
+                   churn_rate, n, null, null, null
+            from ({_seg_sql(UNK_PAYMENT, raw=True)})
   union all select 'churn_by_features', feature, key, item_order, churn_rate, n, null, null, null from fr
   union all {_T_SEL}
   union all {_M_SEL})"""

@@ -111,3 +111,12 @@ def test_churned_averages_js_counts_nulls_in_denominator(spark):
     assert (r.churned, r.avg_tenure, r.avg_monthly, r.avg_total) == (2, 5.0, 25.0, 50.0)
     b = kpis.churned_averages(df).first()
     assert (b.avg_tenure, b.avg_total, b["count"]) == (10.0, 100.0, 2)
+
+
+def test_rounded_ties_keep_unrounded_order(spark):
+    # Both round to 0.3333; "z" (1/3) is higher unrounded than "a" (3333/10000).
+    df = counts_frame(spark, "Contract", [("a", 10000, 3333), ("z", 3, 1), ("m", 10, 1)])
+    rows = seg.churn_by_contract(df).collect()
+    assert [r.key for r in rows] == ["z", "a", "m"]
+    s = seg.segment_summary(df, "Contract").first()
+    assert s.highest_key == "z" and s.lowest_key == "m"
