@@ -37,9 +37,6 @@ def _TINY():
     return Window.partitionBy()
 
 
-LONG_SCHEMA = "section string, key string, count long, pct double, churn_rate double, value double"
-
-
 def clean_batch(df: DataFrame) -> DataFrame:
     """SC9-SC11: numeric TotalCharges, SeniorCitizen NULL -> 0, NULL -> 'Unknown'
     in the 15 categorical columns (blanks stay)."""

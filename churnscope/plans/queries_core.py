@@ -40,7 +40,6 @@ on_base("sample_rows", with_base("select * from subs order by customerID limit 3
 # --- K1-K6, R7, G10, H14, M14: overall metrics -------------------------------
 from pyspark.sql import functions as F  # noqa: E402
 
-from churnscope.functions import scalar as sc  # noqa: E402
 from churnscope.operators import kpis  # noqa: E402
 from churnscope.plans.registry import register  # noqa: E402
 from churnscope.sources.subscriptions import churn_customers  # noqa: E402

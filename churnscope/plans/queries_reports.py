@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnscope.functions.bins import (
-    MONTHLY_API, MONTHLY_BATCH, MONTHLY_JS, TENURE_API, TENURE_BATCH, TENURE_JS)
+    MONTHLY_API, MONTHLY_BATCH, TENURE_API, TENURE_BATCH)
 from churnscope.operators import customers as cust
 from churnscope.operators import reports as rep
 from churnscope.operators.features import DEFAULT_FEATURES, FEATURE_KEYS
@@ -18,7 +18,6 @@ from churnscope.sources import sinks
 from churnscope.sources.subscriptions import subscriptions
 from churnscope.streaming import running
 
-_NULLS = "null::bigint, null::double, null::double, null::double"
 
 # --- R1: batch summary (long form) -------------------------------------------
 _R1_CTES = f"""
