@@ -74,7 +74,7 @@ def page_stats(df: DataFrame, page_no: int = 1, term: str | None = None,
     return a.select(
         "total_count",
         F.ceil(total / size).cast("long").alias("total_pages"),
-        F.when(total == 0, F.lit(0)).otherwise(F.lit((p - 1) * size + 1)).cast("long").alias("start_index"),
+        F.lit((p - 1) * size + 1).cast("long").alias("start_index"),
         F.least(F.lit(p * size).cast("long"), total).alias("end_index"))
 
 

@@ -209,7 +209,7 @@ on_base("customer_search_page", with_base(
     lambda df: cust.page(df, 2, TERM))
 on_base("page_stats", with_base(f"""
 select count(*) as total_count, ceil(count(*) / 20)::bigint as total_pages,
-       case when count(*) = 0 then 0 else {(PAGE_NO - 1) * 20 + 1} end::bigint as start_index,
+       {(PAGE_NO - 1) * 20 + 1}::bigint as start_index,
        least({PAGE_NO * 20}, count(*))::bigint as end_index
 from subs where customerID ilike '%{TERM}%'"""))(lambda df: cust.page_stats(df, PAGE_NO, TERM))
 on_base("keyset_page", with_base(
