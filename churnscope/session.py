@@ -47,15 +47,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) do we create a scratch folder and register it.
+    (local tests) do we create a scratch folder and register it.  On a
+    session without a local SparkContext (Spark Connect) the server's own
+    setting applies.
     """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        sc = None
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="churnscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
