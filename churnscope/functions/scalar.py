@@ -75,6 +75,14 @@ def to_number(x, fill: float | None = None) -> Column:
     return v if fill is None else F.coalesce(v, F.lit(float(fill)))
 
 
+def clean_numeric_column(df, column: str, fill_value: float | None = None):
+    """SC6 on a frame: the column coerced to double (bad values -> NULL or
+    ``fill_value``); a missing column gives an empty one-column frame."""
+    if column not in df.columns:
+        return df.select(F.lit(None).cast("double").alias(column)).where(F.lit(False))
+    return df.select(to_number(column, fill_value).alias(column))
+
+
 # JavaScript ``parseFloat``: optional leading blanks, sign, digits with an
 # optional fraction, optional exponent; the longest such prefix is used.
 _JS_NUMBER_PREFIX = r"^\s*([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)"

@@ -95,3 +95,10 @@ def test_formatting(spark):
                   sc.fixed_text("t", 1).alias("t"), sc.pct_text("r", 1).alias("p1")).first()
     assert (r.p, r.n, r.t, r.p1) == ("26.54%", "7,043", "32.4", "26.5%")
     assert not math.isnan(0.0)
+
+
+def test_clean_numeric_column(spark):
+    df = spark.createDataFrame([("1",), ("2.5",), ("invalid",), (None,)], "col string")
+    assert [r.col for r in sc.clean_numeric_column(df, "col", 0).collect()] == [1.0, 2.5, 0.0, 0.0]
+    missing = sc.clean_numeric_column(df, "nope")
+    assert missing.columns == ["nope"] and missing.count() == 0
