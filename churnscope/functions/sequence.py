@@ -57,9 +57,13 @@ def prefix_sum(df: DataFrame, order: Sequence[str], value: str, out: str,
 
 
 def lead_in_group(df: DataFrame, group: str, order: Sequence[str], value: str,
-                  out: str, parts: int | None = None) -> DataFrame:
+                  out: str, parts: int | None = None, default_to_max: bool = False) -> DataFrame:
     """``lead(value) over (partition by group order by order)`` without putting
-    a hot group in one task (``order`` must be unique within a group)."""
+    a hot group in one task (``order`` must be unique within a group).
+
+    ``default_to_max``: where the lead is NULL, use the maximum of ``value``
+    over the whole frame (carried in the per-partition table, so no second
+    scan or scalar subquery is needed)."""
     key = [group] + list(order)
     ranged = range_partitioned(df, key, parts)
     w = Window.partitionBy("_pid", group).orderBy(*order)
@@ -67,12 +71,15 @@ def lead_in_group(df: DataFrame, group: str, order: Sequence[str], value: str,
                    .withColumn("_next_local", F.lead(value).over(w)))
     # First row of every non-empty partition (one row per partition).
     heads = ranged.groupBy("_pid").agg(
-        F.min(F.struct(*[F.col(c) for c in key], F.col(value).alias("_v"))).alias("_head"))
-    nxt = heads.select("_pid", F.lead("_head").over(Window.orderBy("_pid")).alias("_nh"))
+        F.min(F.struct(*[F.col(c) for c in key], F.col(value).alias("_v"))).alias("_head"),
+        F.max(value).alias("_pmax"))
+    nxt = heads.select("_pid", F.lead("_head").over(Window.orderBy("_pid")).alias("_nh"),
+                       F.max("_pmax").over(Window.partitionBy()).alias("_gmax"))
     joined = local.join(F.broadcast(nxt), "_pid", "left")
     carry = F.when(F.col("_nh").getField(group).eqNullSafe(F.col(group)),
                    F.col("_nh").getField("_v"))
-    return (joined
-            .withColumn(out, F.when(F.col("_has_next").isNotNull(), F.col("_next_local"))
-                              .otherwise(carry))
-            .drop("_pid", "_has_next", "_next_local", "_nh"))
+    res = F.when(F.col("_has_next").isNotNull(), F.col("_next_local")).otherwise(carry)
+    if default_to_max:
+        res = F.coalesce(res, F.col("_gmax"))
+    return (joined.withColumn(out, res)
+                  .drop("_pid", "_has_next", "_next_local", "_nh", "_gmax"))
