@@ -211,6 +211,13 @@ def preprocessing_sql(med: dict, cats: dict, stats: dict, weights: dict[int, flo
 
 def train(df: DataFrame) -> tuple[PipelineModel, dict]:
     """M7: fit the pipeline on the training rows; return it and its metrics."""
+    model, metrics, _ = train_with_scores(df)
+    return model, metrics
+
+
+def train_with_scores(df: DataFrame) -> tuple[PipelineModel, dict, DataFrame]:
+    """M7 + M8: fit, evaluate, and also return the scored held-out rows
+    (read from the same materialised model rows, not re-derived)."""
     # Counts, medians, categories, scaling and the L-BFGS passes all read the
     # model rows: materialise them once (reliable checkpoint, survives
     # executor loss) instead of re-deriving the base for every pass.
@@ -258,7 +265,7 @@ def train(df: DataFrame) -> tuple[PipelineModel, dict]:
                    "class_weight": "balanced", "test_fraction": TEST_FRACTION},
         "preprocessing": {"medians": med, "categories": cats},
     }
-    return model, metrics
+    return model, metrics, scored
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

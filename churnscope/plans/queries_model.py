@@ -93,17 +93,13 @@ def _coefs(spark, sf_dir):
 @register("model_scores")
 def _scores(spark, sf_dir):
     """M8: P(churn) on the held-out rows."""
-    model, _ = _trained(spark, sf_dir)
-    base = M.with_split(M.training_set(subscriptions(spark, sf_dir)))
-    return M.score(model, base.where(F.col("is_test")))
+    return M.train_with_scores(subscriptions(spark, sf_dir))[2]
 
 
 @register("model_auc")
 def _auc(spark, sf_dir):
     """M9 on the trained model's held-out scores."""
-    model, _ = _trained(spark, sf_dir)
-    base = M.with_split(M.training_set(subscriptions(spark, sf_dir)))
-    return M.rank_auc(M.score(model, base.where(F.col("is_test"))))
+    return M.rank_auc(M.train_with_scores(subscriptions(spark, sf_dir))[2])
 
 
 @register("model_top_features")
