@@ -35,3 +35,16 @@ def test_prefix_sum_matches_window(spark):
     ref = df.withColumn("ref", F.coalesce(F.sum("v").over(w), F.lit(0)))
     bad = got.join(ref.select("k", "ref"), "k").where(F.col("ps") != F.col("ref"))
     assert bad.count() == 0
+
+
+def test_lead_in_group_null_groups_span_partitions(spark):
+    df = spark.range(4000).select(
+        F.col("id").alias("k"),
+        F.when(F.col("id") % 4 == 0, F.lit(None).cast("long")).otherwise(F.col("id") % 5).alias("g"),
+        ((F.col("id") * 7919) % 1009).alias("t"))
+    got = lead_in_group(df, "g", ["t", "k"], "t", "nxt", parts=8, default_to_max=True)
+    gmax = df.agg(F.max("t")).first()[0]
+    ref = df.withColumn("ref", F.coalesce(
+        F.lead("t").over(Window.partitionBy("g").orderBy("t", "k")), F.lit(gmax)))
+    bad = got.join(ref.select("k", "ref"), "k").where(~F.col("nxt").eqNullSafe(F.col("ref")))
+    assert bad.count() == 0
