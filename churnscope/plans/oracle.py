@@ -14,8 +14,9 @@ li as (
   from lineitem group by l_orderkey),
 o as (
   select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, o_orderdate,
-    coalesce(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), m.as_of) end_dt
-  from orders cross join (select max(o_orderdate) as_of from orders) m),
+    coalesce(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey),
+             (select max(o_orderdate) from orders)) end_dt
+  from orders),
 b as (
   select o.*, li.*, c_mktsegment, c_acctbal, c_nationkey,
     case when o_orderkey % 103 = 0 then null else (year(end_dt)-year(o_orderdate))*12 + month(end_dt)-month(o_orderdate) end tenure,
