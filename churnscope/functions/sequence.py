@@ -7,10 +7,10 @@ hot group over many partitions), work within each partition, and repair
 partition boundaries with a table that has one row per partition — a size
 bound that does not grow with the data, so it is safe to broadcast.
 
-The range-partitioned frame is materialised once with a reliable
-``checkpoint()`` (in ``spark.checkpoint.dir``): range bounds come from a
-sample seeded by the RDD id, so two executions of the same exchange could
-cut differently, and every branch must see the same partition ids.
+The frame that carries the partition ids is materialised once with a
+reliable ``checkpoint()`` (in ``spark.checkpoint.dir``): range bounds come
+from a sample seeded by the RDD id, so two executions of the same exchange
+could cut differently, and every branch must see the same partition ids.
 """
 
 from __future__ import annotations
