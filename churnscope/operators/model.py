@@ -31,6 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnscope.functions.dims import literal_frame
 from churnscope.functions.scalar import round_fp, safe_div
 from churnscope.functions.sequence import prefix_sum
 from churnscope.session import checkpoint_dir
@@ -292,15 +293,18 @@ def rank_auc(scored: DataFrame, label: str = "churn", score_col: str = "score")
 
 
 def coefficients_frame(spark: SparkSession, metrics: dict) -> DataFrame:
-    """M7/M10 input: (feature, weight) — one row per model feature."""
-    rows = list(zip(metrics["feature_names"], metrics["coefficients"]))
-    return spark.createDataFrame(rows, "feature string, weight double")
+    """M7/M10 input: (feature, weight, position) — one row per model feature."""
+    rows = [(n, float(w), i) for i, (n, w) in
+            enumerate(zip(metrics["feature_names"], metrics["coefficients"]))]
+    return literal_frame(spark, rows, [("feature", "string"), ("weight", "double"),
+                                       ("position", "int")])
 
 
 def top_features(coefs: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Weights at 4 dp, largest |weight| first, top ``k`` (a top-k report)."""
-    w = coefs.select("feature", F.round("weight", 4).alias("weight"))
-    return w.orderBy(F.abs("weight").desc(), "feature").limit(k)
+    """Weights at 4 dp, largest |weight| first (ties keep the feature
+    order, as a stable sort does), top ``k`` (a top-k report)."""
+    w = coefs.select("feature", F.round("weight", 4).alias("weight"), "position")
+    return w.orderBy(F.abs("weight").desc(), "position").limit(k).drop("position")
 
 
 def directions(coefs: DataFrame, k: int = 5) -> DataFrame:

@@ -85,7 +85,7 @@ def _trained(spark, sf_dir):
 def _coefs(spark, sf_dir):
     """M7: fitted weight per feature plus the intercept."""
     _, metrics = _trained(spark, sf_dir)
-    c = M.coefficients_frame(spark, metrics)
+    c = M.coefficients_frame(spark, metrics).drop("position")
     return c.unionByName(spark.createDataFrame([("(intercept)", metrics["intercept"])],
                                                "feature string, weight double"))
 
