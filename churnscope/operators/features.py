@@ -58,8 +58,18 @@ def feature_churn(df: DataFrame, features: Sequence[str] | None = None) -> DataF
     """per feature, the Yes and No rows (NULL counts as No): churn rate
     (4 dp) and n; absent key -> 0.0 / 0; other values are not emitted."""
     feats = validate_features(features)
-    counts = segment_counts(df, feats, "no").withColumnRenamed("segment", "feature")
-    spark = df.sparkSession
+    return feature_rates(feature_counts(df, feats), feats)
+
+
+def feature_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, key, n, churned) for the features in one pass (NULL -> No)."""
+    return segment_counts(df, list(features), "no").withColumnRenamed("segment", "feature")
+
+
+def feature_rates(counts: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Yes/No rows per feature from ``feature_counts`` output (zero-filled)."""
+    feats = list(features)
+    spark = counts.sparkSession
     dim = literal_frame(
         spark, [(f, k, i, j) for i, f in enumerate(feats) for j, k in enumerate(FEATURE_KEYS)],
         [("feature", "string"), ("key", "string"), ("feature_order", "int"), ("key_order", "int")])

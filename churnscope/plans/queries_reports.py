@@ -12,7 +12,8 @@ from churnscope.operators import reports as rep
 from churnscope.operators.features import DEFAULT_FEATURES, FEATURE_KEYS
 from churnscope.plans.oracle import with_base
 from churnscope.plans.queries_core import CHURN, UNK_CONTRACT, UNK_PAYMENT, _seg_sql
-from churnscope.plans.queries_dist import _JS_BINS_SQL, _case, _dim, _hist_ctes
+from churnscope.operators.features import ALLOWED_FEATURES
+from churnscope.plans.queries_dist import _FEAT_CTES, _JS_BINS_SQL, _case, _dim, _hist_ctes
 from churnscope.plans.registry import on_base, register
 from churnscope.sources import sinks
 from churnscope.sources.subscriptions import subscriptions
@@ -299,6 +300,26 @@ def _streaming_contract(spark, sf_dir):
                                files_per_trigger=running.files_per_trigger(spark, src))
 
 
+@register("streaming_churn_by_payment", with_base(_seg_sql(UNK_PAYMENT)))
+def _streaming_payment(spark, sf_dir):
+    """ST1: churn by payment method as a streaming aggregate."""
+    src = _staged(spark, sf_dir)
+    return running.run_running(spark, src, running.segment_stream("PaymentMethod"),
+                               running.scratch(spark, "stream-out"),
+                               files_per_trigger=running.files_per_trigger(spark, src))
+
+
+@register("streaming_feature_churn", with_base("select * from fr", _FEAT_CTES))
+def _streaming_features(spark, sf_dir):
+    """ST1: feature churn (all allow-listed features) over a stream."""
+    src = _staged(spark, sf_dir)
+    feats = ALLOWED_FEATURES
+    return running.run_running(spark, src, running.feature_stream(feats),
+                               running.scratch(spark, "stream-out"),
+                               files_per_trigger=running.files_per_trigger(spark, src),
+                               post=running.feature_post(feats))
+
+
 @register("streaming_snapshots")
 def _streaming_snapshots(spark, sf_dir):
     """ST2: one appended KPI snapshot per micro-batch (idempotent per batch id)."""

@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from typing import Callable
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.functions.scalar import churn_flag, round_fp, safe_div, unknown_if_blank
+from churnscope.operators.features import feature_counts, feature_rates, validate_features
 from churnscope.session import checkpoint_dir
 from churnscope.sources.subscriptions import SUBSCRIPTION_SCHEMA
 
@@ -70,17 +71,39 @@ def segment_stream(column: str) -> Callable[[DataFrame], DataFrame]:
     return build
 
 
+def feature_stream(features: Sequence[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """F1 state as a streaming aggregate: (feature, key, n, churned)."""
+    feats = validate_features(features)
+
+    def build(stream: DataFrame) -> DataFrame:
+        return feature_counts(stream, feats)
+    return build
+
+
+def feature_post(features: Sequence[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """F1 per micro-batch: zero-filled Yes/No rates from the running counts.
+
+    A join with the static dimension cannot follow a streaming aggregation,
+    so it runs on each (static, small) micro-batch result instead."""
+    feats = validate_features(features)
+    return lambda batch: feature_rates(batch, feats)
+
+
 def run_running(spark: SparkSession, source: str, build: Callable[[DataFrame], DataFrame],
                 out: str, snapshots: str | None = None, files_per_trigger: int = 1,
-                checkpoint: str | None = None) -> DataFrame:
+                checkpoint: str | None = None,
+                post: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """ST1 (+ ST2): stream ``source`` through ``build`` to completion; return
-    the final result table.  With ``snapshots``, every micro-batch result is
-    also appended there with its batch id and time."""
+    the final result table.  ``post`` runs on each micro-batch result (a
+    static frame) before it is written.  With ``snapshots``, every
+    micro-batch result is also appended there with its batch id and time."""
     stream = (spark.readStream.schema(SUBSCRIPTION_SCHEMA)
                    .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
     result = build(stream)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if post is not None:
+            batch = post(batch)
         batch.write.mode("overwrite").parquet(out)
         if snapshots:
             (batch.select(F.lit(batch_id).alias("batch_id"),

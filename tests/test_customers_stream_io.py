@@ -74,3 +74,14 @@ def test_append_customers(spark, tmp_path):
     cust.append_customers(cust.generate(spark, 20), path)
     cust.append_customers(cust.generate(spark, 20, start=20), path)
     assert spark.read.parquet(path).count() == 40
+
+
+def test_streaming_features_equal_batch(spark, tmp_path):
+    from churnscope.operators import features as feat
+    base = subscriptions(spark, SF_SMALL)
+    src = running.stage_rows(base, str(tmp_path / "src"), files=3)
+    out = running.run_running(spark, src, running.feature_stream(), str(tmp_path / "out"),
+                              checkpoint=str(tmp_path / "ck"), post=running.feature_post())
+    key = ["feature", "key"]
+    assert sorted(map(tuple, out.select(*key, "churn_rate", "n").collect())) == \
+        sorted(map(tuple, feat.feature_churn(base).select(*key, "churn_rate", "n").collect()))
