@@ -29,7 +29,7 @@ on_base("churn_by_payment", with_base(_seg_sql(UNK_PAYMENT)))(seg.churn_by_payme
 # --- IO1-IO3, IO5: scans ------------------------------------------------------
 from churnscope.sources import subscriptions as src  # noqa: E402
 
-on_base("subscriptions_scan", with_base("select * from subs"))(lambda df: df)
+on_base("subscriptions_scan", with_base("select * from subs"))(src.require_rows)
 on_base("churned_scan", with_base("select * from subs where Churn = 'Yes'"))(src.churned_scan)
 on_base("model_input_scan", with_base(f"""
 select {CHURN} as churn, tenure, MonthlyCharges, Contract, PaymentMethod, OnlineSecurity, TechSupport

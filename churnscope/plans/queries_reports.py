@@ -60,7 +60,8 @@ on_base("batch_summary", with_base(_R1_SQL, _R1_CTES))(
 @register("summary_snapshot")
 def _snapshot(spark, sf_dir):
     """IO6: append the batch summary payload as a snapshot; return the row."""
-    payload = rep.summary_payload(rep.batch_summary(subscriptions(spark, sf_dir)))
+    from churnscope.sources.subscriptions import require_rows
+    payload = rep.summary_payload(rep.batch_summary(require_rows(subscriptions(spark, sf_dir))))
     path = running.scratch(spark, "snapshots")
     sinks.append_snapshot(payload, path)
     return sinks.latest_snapshot(spark, path)

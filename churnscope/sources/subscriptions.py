@@ -201,3 +201,12 @@ def materialize_subscriptions(spark: SparkSession, sf_dir: str, path: str,
 def read_subscriptions(spark: SparkSession, path: str) -> DataFrame:
     """Read a materialised base with the canonical column order."""
     return spark.read.parquet(path).select(*SUBSCRIPTION_COLUMNS)
+
+
+def require_rows(df: DataFrame, what: str = "churn_customers") -> DataFrame:
+    """IO1: fail early on an empty source, as the batch load does.
+
+    ``isEmpty`` reads at most one row (a limit-1 job), not the table."""
+    if df.isEmpty():
+        raise ValueError(f"No data returned from {what}")
+    return df

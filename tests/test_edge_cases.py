@@ -58,3 +58,11 @@ def test_materialized_base_prunes_and_pushes(spark, tmp_path):
     assert "PartitionFilters" in plan or "Churn" in plan
     ks = m.where(F.col("customerID") > "0000000500")
     assert "GreaterThan(customerID" in ks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_require_rows(spark):
+    import pytest
+    base = _base(spark)
+    assert S.require_rows(base) is base
+    with pytest.raises(ValueError):
+        S.require_rows(base.where(F.lit(False)))
