@@ -77,8 +77,8 @@ def messages(log: DataFrame) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """One row per conversation: (conv_id, formatted, loss_mask).
 
-    ``loss_mask`` lists, per assistant turn, the turn's index, the offset of
-    its text in that turn and the length there, in code points.
+    ``loss_mask`` has one span per turn, in code points: the offset in the
+    rendered turn and the length, which is 0 for turns without loss.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     said = escape(text)
@@ -89,12 +89,11 @@ def render(turns: DataFrame) -> DataFrame:
         F.col("turn").alias("turn"), role.alias("role"), piece.alias("piece"), own.alias("own"),
         F.char_length(said).alias("length")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    spans = F.transform("t", lambda t, i: F.struct(
-        i.alias("turn_index"), F.lit(len(ASSISTANT)).alias("offset"), t["length"].alias("length"), t["own"].alias("own")))
+    span = lambda t: F.struct(F.lit(len(ASSISTANT)).alias("offset"),
+                              F.when(t["own"], t["length"]).otherwise(F.lit(0)).alias("length"))
     return grouped.select(
         "conv_id", F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("formatted"),
-        F.transform(F.filter(spans, lambda s: s["own"]),
-                    lambda s: F.struct(s["turn_index"], s["offset"], s["length"])).alias("loss_mask"))
+        F.transform("t", span).alias("loss_mask"))
 
 
 def pieces(formatted: Column) -> Column:
@@ -118,9 +117,8 @@ def parse(formatted: Column) -> Column:
 
 def masked_text(formatted: Column, loss_mask: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    parts = pieces(formatted)
-    return F.array_join(F.transform(loss_mask, lambda s: unescape(
-        F.substring(F.get(parts, s["turn_index"]), s["offset"] + 1, s["length"]))), "")
+    return F.array_join(F.zip_with(pieces(formatted), loss_mask, lambda p, span: unescape(
+        F.substring(p, span["offset"] + 1, span["length"]))), "")
 
 
 def digests(rendered: DataFrame) -> DataFrame:
