@@ -27,9 +27,10 @@ Equal sets are one class beforehand.  Sets that share an index entry form a
 group.  Small groups give all pairs, large ones the pairs with their smallest
 member; pairs are screened by parity sketches, which never reject a true pair,
 and verified exactly on the texts.  Groups that the links found so far do not
-hold together are completed: their pairs across components are screened in
-blocks and verified as well.  So no link between components is lost, and a
-large group of near copies never gives all its pairs.
+hold together are completed in rounds: pairs across components are screened in
+blocks, a spanning few are verified, components join, and what failed makes
+room for further pairs, until none is left.  So no link between components is
+lost, and a large group of near copies never gives all its pairs.
 
 Defined cases: null, empty and all-blank texts have no shingles and link with
 nothing; a null doc_id gives a row with a null component and links nothing;
@@ -363,17 +364,24 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
-def _across(groups: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
-    """Screened pairs (a, b) across components inside large groups that span several components."""
+def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed: DataFrame, limit: int) -> DataFrame:
+    """Screened pairs (a, b) that may join components inside large groups that span several of them.
+
+    A block names up to ``limit`` pairs for two components and then takes them
+    as one, members in order of id, so groups of the same documents mostly name
+    the same pairs, and a block names about as many as it has members.  Pairs
+    that were verified in vain (``failed``) are not named again.
+    """
     member = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
     member = member.join(labels, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
     spans = kept(member.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
                  .filter("low <> high").select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node", "g"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = member.join(spans, "g").withColumn("own", own).withColumn("other", other).join(
+    known = failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("vain"))
+    rows = member.join(spans, "g").join(known, "node", "left").withColumn("own", own).withColumn("other", other).join(
         described.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").select(
-        "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+        "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch", "vain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, []
@@ -381,28 +389,36 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame) -> DataF
         def out() -> Iterator[pa.RecordBatch]:
             if len(block) < 2:
                 return
-            block.sort(key=lambda r: (r[2], r[1]))
+            block.sort(key=lambda r: r[1])
             own, node, n, label = (np.array([r[k] for r in block], dtype=np.int64) for k in range(4))
-            sketch = [r[4] for r in block]
-            least = min(len(s) for s in sketch)
-            folded = np.stack([np.bitwise_xor.reduce(s.reshape(-1, least), axis=0) for s in sketch])
-            ends = np.searchsorted(n, 4 * n // 3, "right")
-            pairs = set()
-            for x in range(len(block)):
-                y = np.arange(x + 1, ends[x])
-                y = y[(label[y] != label[x]) & (node[y] != node[x]) & ((own[y] != own[x]) | (now[1] == now[2]))]
+            least = min(len(r[4]) for r in block)
+            folded = np.stack([np.bitwise_xor.reduce(r[4].reshape(-1, least), axis=0) for r in block])
+            within = now[1] == now[2]
+            pairs, named = set(), {}
+            for x in range(len(block) - 1):
+                y = np.flatnonzero(label[x + 1:] != label[x]) + x + 1
+                y = y[(node[y] != node[x]) & ((own[y] != own[x]) | within)
+                      & (4 * np.minimum(n[y], n[x]) >= 3 * np.maximum(n[y], n[x]))]
                 y = y[np.bitwise_count(folded[y] ^ folded[x]).sum(axis=1) <= (n[y] + n[x]) // 7]
-                pairs.update((int(min(node[x], node[k])), int(max(node[x], node[k]))) for k in y
-                             if may_be_similar(sketch[x], int(n[x]), sketch[k], int(n[k])))
+                vain = block[x][5]
+                for k in y.tolist():
+                    a, b = sorted((int(label[x]), int(label[k])))
+                    if a == b or vain and int(node[k]) in vain or not may_be_similar(
+                            block[x][4], int(n[x]), block[k][4], int(n[k])):
+                        continue
+                    pairs.add((int(node[x]), int(node[k])))
+                    named[a, b] = named.get((a, b), 0) + 1
+                    if named[a, b] >= limit:
+                        label[label == b] = a
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for b in batches:
-            for g, i, j, own, node, label, n, sketch in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for g, i, j, own, node, label, n, sketch, vain in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if (g, i, j) != now:
                     yield from out()
                     now, block = (g, i, j), []
-                block.append((own, node, n, label, np.frombuffer(sketch, np.uint8)))
+                block.append((own, node, n, label, np.frombuffer(sketch, np.uint8), set(vain or ())))
         yield from out()
 
     return (rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long").distinct())
@@ -433,9 +449,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     same = described.filter("doc_id is not null").join(classes, "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = kept(links.union(same).filter("a <> b"))
     labels = components(edges)
-    late = kept(_across(large, labels, one))
-    if not late.isEmpty():
-        labels = components(edges.union(_verified(late, docs)))
+    failed, limit = links.limit(0), 1
+    while True:  # each round joins components, or names ever more pairs of those that did not join
+        late = kept(_across(large, labels, one, failed, limit))
+        if late.isEmpty():
+            break
+        found = kept(_verified(late, docs))
+        failed = kept(failed.union(late.join(found, ["a", "b"], "left_anti").select("a", "b")))
+        edges = kept(edges.union(found))
+        labels = components(edges)
+        limit *= 4
     return described.select("doc_id", F.col("n").alias("n_shingles")).join(
         labels.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
