@@ -27,9 +27,9 @@ Equal sets are one class beforehand.  Sets that share an index entry form a
 group.  Small groups give all pairs, large ones the pairs with their smallest
 member; pairs are screened by parity sketches, which never reject a true pair,
 and verified exactly on the texts.  Groups that the links found so far do not
-hold together are completed in rounds: pairs across components are screened in
-blocks, a spanning few are verified, components join, and what failed makes
-room for further pairs, until none is left.  So no link between components is
+hold together are completed in two rounds: pairs across components are screened
+in blocks; a spanning few are verified and join components; then all that are
+left between different components.  So no link between components is
 lost, and a large group of near copies never gives all its pairs.
 
 Defined cases: null, empty and all-blank texts have no shingles and link with
@@ -367,10 +367,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed: DataFrame, limit: int) -> DataFrame:
     """Screened pairs (a, b) that may join components inside large groups that span several of them.
 
-    A block names up to ``limit`` pairs for two components and then takes them
-    as one, members in order of id, so groups of the same documents mostly name
-    the same pairs, and a block names about as many as it has members.  Pairs
-    that were verified in vain (``failed``) are not named again.
+    With a ``limit`` a block names so many pairs for two components and then
+    takes them as one, members in order of id: groups of the same documents
+    mostly name the same pairs, and a block about as many as it has members.
+    With 0 it names all.  Pairs that were verified in vain (``failed``) are not
+    named again.
     """
     member = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
     member = member.join(labels, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
@@ -395,20 +396,20 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed:
             folded = np.stack([np.bitwise_xor.reduce(r[4].reshape(-1, least), axis=0) for r in block])
             within = now[1] == now[2]
             pairs, named = set(), {}
-            for x in range(len(block) - 1):
-                y = np.flatnonzero(label[x + 1:] != label[x]) + x + 1
-                y = y[(node[y] != node[x]) & ((own[y] != own[x]) | within)
-                      & (4 * np.minimum(n[y], n[x]) >= 3 * np.maximum(n[y], n[x]))]
-                y = y[np.bitwise_count(folded[y] ^ folded[x]).sum(axis=1) <= (n[y] + n[x]) // 7]
-                vain = block[x][5]
-                for k in y.tolist():
-                    a, b = sorted((int(label[x]), int(label[k])))
-                    if a == b or vain and int(node[k]) in vain or not may_be_similar(
-                            block[x][4], int(n[x]), block[k][4], int(n[k])):
+            for low in range(0, len(block), 64):  # rows of the block's matrix of pairs
+                x = slice(low, low + 64)
+                ok = ((label[x, None] != label) & (node[x, None] < node) & (within | (own[x, None] != own))
+                      & (4 * np.minimum(n[x, None], n) >= 3 * np.maximum(n[x, None], n)))
+                i, k = np.nonzero(ok)
+                i += low
+                close = np.bitwise_count(folded[i] ^ folded[k]).sum(axis=1) <= (n[i] + n[k]) // 7
+                for i, k in zip(i[close].tolist(), k[close].tolist(), strict=True):
+                    a, b = sorted((int(label[i]), int(label[k])))
+                    if a == b or int(node[k]) in block[i][5] or not may_be_similar(block[i][4], int(n[i]), block[k][4], int(n[k])):
                         continue
-                    pairs.add((int(node[x]), int(node[k])))
+                    pairs.add((int(node[i]), int(node[k])))
                     named[a, b] = named.get((a, b), 0) + 1
-                    if named[a, b] >= limit:
+                    if named[a, b] == limit:
                         label[label == b] = a
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -449,16 +450,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     same = described.filter("doc_id is not null").join(classes, "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = kept(links.union(same).filter("a <> b"))
     labels = components(edges)
-    failed, limit = links.limit(0), 1
-    while True:  # each round joins components, or names ever more pairs of those that did not join
+    failed = links.limit(0)
+    for limit in (1, 0):  # a spanning pair of each two components first; then all pairs of those that did not join
         late = kept(_across(large, labels, one, failed, limit))
         if late.isEmpty():
             break
         found = kept(_verified(late, docs))
-        failed = kept(failed.union(late.join(found, ["a", "b"], "left_anti").select("a", "b")))
+        failed = late.join(found, ["a", "b"], "left_anti").select("a", "b")
         edges = kept(edges.union(found))
         labels = components(edges)
-        limit *= 4
     return described.select("doc_id", F.col("n").alias("n_shingles")).join(
         labels.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
