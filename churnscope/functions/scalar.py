@@ -69,9 +69,14 @@ def array_safe_mean(arr) -> Column:
     return F.when(F.size(fin) > 0, total / F.size(fin))
 
 
+_NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+
+
 def to_number(x, fill: float | None = None) -> Column:
     """Coerce a string/numeric column to double; bad values -> NULL or ``fill``."""
-    v = _c(x).try_cast("double")
+    s = F.trim(_c(x).cast("string"))
+    # plain decimal numbers only: a cast also takes 'NaN', '12d' and '0x1p3'
+    v = F.when(s.rlike(_NUMBER), s.try_cast("double"))
     return v if fill is None else F.coalesce(v, F.lit(float(fill)))
 
 

@@ -29,6 +29,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from churnscope.functions.dims import literal_frame
@@ -48,7 +49,6 @@ TOP_K = 10
 # A categorical column with more distinct values than this is not a
 # low-cardinality feature; refuse rather than pull an unbounded list.
 MAX_CATEGORIES = 10_000
-EXACT_MEDIAN_MAX_DISTINCT = 5_000_000
 
 
 def training_set(df: DataFrame) -> DataFrame:
@@ -60,23 +60,24 @@ def training_set(df: DataFrame) -> DataFrame:
 
 
 def medians(df: DataFrame) -> dict[str, float | None]:
-    """Medians of the numeric features in one aggregate.
+    """Exact medians of the numeric features, at any number of rows and values.
 
-    ``median`` is exact and keeps a value->count map per task, so its buffer
-    grows with the number of DISTINCT values (small for tenure months and
-    cent charges).  A column with more than ``EXACT_MEDIAN_MAX_DISTINCT``
-    distinct values (estimated in the same pass) falls back to
-    ``percentile_approx`` with a 1e-6 rank error instead of an unbounded map.
+    Values are counted, the counts summed up in value order across partitions,
+    and the one or two middle values picked; only those reach the driver.
     """
-    probe = df.agg(*[F.approx_count_distinct(c).alias(c) for c in NUMERIC_FEATURES]).first()
-    aggs = []
+    out = {}
     for c in NUMERIC_FEATURES:
-        if probe[c] <= EXACT_MEDIAN_MAX_DISTINCT:
-            aggs.append(F.median(c).alias(c))
-        else:
-            aggs.append(F.percentile_approx(c, 0.5, 1_000_000).cast("double").alias(c))
-    row = df.agg(*aggs).first()
-    return {c: (None if row[c] is None else float(row[c])) for c in NUMERIC_FEATURES}
+        counts = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v"))
+                    .agg(F.count(F.lit(1)).alias("n")))
+        below = prefix_sum(counts, ["v"], "n", "below")
+        total = df.where(F.col(c).isNotNull()).count()
+        # the middle places (from 0): both for an even total
+        low, high = (total - 1) // 2, total // 2
+        hit = lambda p: (F.col("below") <= p) & (F.col("below") + F.col("n") > p)
+        row = below.agg(F.max(F.when(hit(low), F.col("v"))).alias("low"),
+                        F.max(F.when(hit(high), F.col("v"))).alias("high")).first()
+        out[c] = (row.low + row.high) / 2 if total else None
+    return out
 
 
 def impute_encode(df: DataFrame, med: dict[str, float | None] | None = None) -> DataFrame:
@@ -285,9 +286,9 @@ def rank_auc(scored: DataFrame, label: str = "churn", score_col: str = "score")
         F.sum(label).cast("long").alias("_pos"),
         (F.count(F.lit(1)) - F.sum(label)).cast("long").alias("_neg"))
     g = prefix_sum(g, [score_col], "_neg", "_neg_below")
-    a = g.agg(F.sum(F.col("_pos") * (F.col("_neg_below") + 0.5 * F.col("_neg"))).alias("_u"),
+    a = g.agg(F.sum(F.col("_pos").cast("double") * (F.col("_neg_below") + 0.5 * F.col("_neg"))).alias("_u"),
               F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
-    return a.select(round_fp(safe_div("_u", F.col("n_pos") * F.col("n_neg"), None), 4).alias("auc"),
+    return a.select(round_fp(safe_div("_u", F.col("n_pos").cast("double") * F.col("n_neg").cast("double"), None), 4).alias("auc"),
                     F.coalesce("n_pos", F.lit(0)).cast("long").alias("n_pos"),
                     F.coalesce("n_neg", F.lit(0)).cast("long").alias("n_neg"))
 
@@ -346,14 +347,23 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     return model, json.loads(row.metrics)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a saved table is there; any error but a missing path is raised."""
+    try:
+        spark.read.parquet(path).schema  # noqa: B018  reads the footer
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def load_or_train(df: DataFrame, path: str, retrain: bool = False) -> tuple[PipelineModel, dict]:
     """Load the saved model if both parts exist, else (or if ``retrain``) train and save."""
     spark = df.sparkSession
     if not retrain:
-        try:
+        if exists(spark, os.path.join(path, "metrics")):  # other errors of storage are not hidden
             return load(spark, path)
-        except Exception:  # missing or unreadable -> train
-            pass
     model, metrics = train(df)
     save(model, metrics, path)
     return model, metrics
@@ -361,13 +371,12 @@ def load_or_train(df: DataFrame, path: str, retrain: bool = False) -> tuple[Pipe
 
 def model_info(spark: SparkSession, path: str) -> DataFrame:
     """Whether a model is saved, when it was trained, its AUC and size."""
-    try:
-        m = spark.read.parquet(os.path.join(path, "metrics"))
-        return m.select(F.lit(True).alias("model_exists"), "trained_at", "auc", "total_features")
-    except Exception:
+    if not exists(spark, os.path.join(path, "metrics")):
         return spark.createDataFrame([(False, None, None, None)],
                                      "model_exists boolean, trained_at string, auc double, "
                                      "total_features int")
+    m = spark.read.parquet(os.path.join(path, "metrics"))
+    return m.select(F.lit(True).alias("model_exists"), "trained_at", "auc", "total_features")
 
 
 def model_config() -> dict:

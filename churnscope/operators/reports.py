@@ -164,9 +164,11 @@ def batch_summary(df: DataFrame) -> DataFrame:
 
 def summary_payload(long: DataFrame, generated_at: Column | None = None) -> DataFrame:
     """R1 payload: one row, one nested struct, from the long summary frame."""
-    def items(sec, *fields):
-        st = F.struct(*[F.col(f) for f in fields])
-        return F.sort_array(F.collect_list(F.when(F.col("section") == sec, st))).alias(sec)
+    def items(sec, name, *fields):
+        # counts descending, then key; rates in the same way
+        st = F.struct((-F.col(fields[0])).alias("_o"), F.col("key").alias(name), *[F.col(f) for f in fields])
+        rows = F.sort_array(F.collect_list(F.when(F.col("section") == sec, st)))
+        return F.transform(rows, lambda r: F.struct(r[name], *[r[f] for f in fields])).alias(sec)
 
     def avg_of(k):
         return F.max(F.when((F.col("section") == "averages") & (F.col("key") == k), F.col("value")))
@@ -178,8 +180,8 @@ def summary_payload(long: DataFrame, generated_at: Column | None = None) -> Data
                               F.col("count"))).alias("count")).alias("averages"),
         items("by_contract", "key", "count", "pct"),
         items("by_payment", "key", "count", "pct"),
-        items("tenure_ranges", "key", "count", "pct"),
-        items("monthly_charge_ranges", "key", "count", "pct"),
+        items("tenure_ranges", "range", "count", "pct"),
+        items("monthly_charge_ranges", "range", "count", "pct"),
         items("churn_rate_by_contract", "key", "churn_rate"),
         items("churn_rate_by_payment", "key", "churn_rate"),
         F.max(F.when(F.col("section") == "total_customers", F.col("count"))).alias("total_customers"))
@@ -294,7 +296,7 @@ def insight_payload_long(df: DataFrame, features: Sequence[str] | None = None) -
         parts.append(s.select(*row(sec, item=F.col("key"), order=F.col("_rank"), rate=rate,
                                    n=F.col("n"))))
     fs = g.where(F.col("set").startswith("feature:") & F.col("bin_order").isNotNull())
-    parts.append(fs.select(*row("churn_by_features", item=F.substring(F.col("set"), 9, 1000),
+    parts.append(fs.select(*row("churn_by_features", item=F.expr("substring(set, 9)"),
                                 sub=F.col("key"), order=F.col("bin_order"), rate=rate,
                                 n=F.coalesce(F.col("n"), F.lit(0)))))
     for set_name, sec in (("tenure_bin", "tenure_distribution"),
@@ -313,19 +315,30 @@ def insight_json(long: DataFrame) -> DataFrame:
     def scalar(name, col):
         return F.max(F.when(sec == name, F.col(col))).alias(name)
 
-    def items(name, *fields):
-        return F.collect_list(F.when(sec == name, F.struct(*fields))).alias(name)
+    def ordered(name, *fields):
+        rows = F.sort_array(F.collect_list(F.when(sec == name, F.struct(
+            F.col("item_order").alias("_o"), F.coalesce("sub_item", "item").alias("_k"), F.struct(*fields).alias("_r")))))
+        return F.transform(rows, lambda r: r["_r"])
 
-    p = long.agg(scalar("overall_churn_rate", "value"), scalar("total_customers", "count"),
+    def items(name, *fields):
+        return ordered(name, *fields).alias(name)
+
+    features = ordered("churn_by_features", F.col("item").alias("feature"), F.col("sub_item").alias("key"), "churn_rate", "n")
+    names = F.array_distinct(F.transform(features, lambda r: r["feature"]))
+    by_feature = F.map_from_arrays(names, F.transform(names, lambda f: F.transform(
+        F.filter(features, lambda r: r["feature"] == f), lambda r: F.struct(r["key"], r["churn_rate"], r["n"]))))
+    p = long.agg(F.count(F.lit(1)).alias("_rows"),
+                 scalar("overall_churn_rate", "value"), scalar("total_customers", "count"),
                  scalar("churned_customers", "count"), scalar("average_tenure", "value"),
                  scalar("average_monthly_charges", "value"),
                  items("churn_by_contract", F.col("item").alias("key"), "churn_rate", "n"),
                  items("churn_by_payment", F.col("item").alias("key"), "churn_rate", "n"),
-                 items("churn_by_features", F.col("item").alias("feature"),
-                       F.col("sub_item").alias("key"), "churn_rate", "n"),
+                 by_feature.alias("churn_by_features"),
                  items("tenure_distribution", F.col("item").alias("range"), "count", "pct"),
                  items("monthly_charges_distribution", F.col("item").alias("range"), "count", "pct"))
-    return p.select(F.to_json(F.struct(*p.columns)).alias("payload_json"))
+    payload = F.to_json(F.struct(*[c for c in p.columns if c != "_rows"]))
+    return p.select(F.when(F.col("_rows") > 0, payload).otherwise(
+        F.raise_error(F.lit("the payload has no rows"))).alias("payload_json"))
 
 
 # --- R5 / R6 -----------------------------------------------------------------

@@ -25,7 +25,7 @@ b as (
     case when o_custkey % 5 = 0 then 'No' when o_custkey % 5 in (1,2) then 'DSL' else 'Fiber optic' end isvc
   from o left join li on l_orderkey = o_orderkey join customer on c_custkey = o_custkey),
 subs as (
-select lpad(cast(o_orderkey as string), 10, '0') || '-' || substr(c_mktsegment, 1, 5) as customerID,
+select lpad(cast(o_orderkey as string), 20, '0') || '-' || substr(c_mktsegment, 1, 5) as customerID,
   case when o_custkey % 2 = 0 then 'Male' else 'Female' end as gender,
   case when o_orderkey % 107 = 0 then null when o_custkey % 10 < 3 then 1 else 0 end as SeniorCitizen,
   case when c_acctbal >= 4500 then 'Yes' else 'No' end as Partner,

@@ -1,11 +1,10 @@
-"""Session construction and lineage-cutting helpers."""
+"""Session construction and the checkpoint folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every session gets.  AQE re-plans at runtime (coalesces small
 # shuffle partitions, splits skewed join partitions); the UI is off because
@@ -69,15 +68,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(d)
     return d
 
-
-def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Materialise ``df`` as parquet under the checkpoint folder and re-read it.
-
-    A written table survives executor loss (unlike a local checkpoint) and
-    gives later stages a short lineage and fresh file statistics.
-    """
-    spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    path = os.path.join(base, "tables", name or f"t{os.getpid()}_{id(df)}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

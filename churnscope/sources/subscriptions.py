@@ -26,10 +26,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.sequence import lead_in_group
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -72,6 +71,30 @@ def lineitem_rollup(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def month_of(date) -> Column:
+    return F.year(date) * 12 + F.month(date)
+
+
+def term_months(orders: DataFrame) -> DataFrame:
+    """Months until the customer's next order, or until the last month of all
+    orders, for each customer's last order of a month: (term_key, term_months).
+
+    Only months matter, so orders are first aggregated to one row per customer
+    and month; the window then sees at most 12 rows a year of any customer.
+    The final aggregate is on the join key, so queries that do not use the
+    tenure lose this branch.
+    """
+    # order date and key as one sortable number, so that a hash aggregate finds the last order
+    place = F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("decimal(19,0)") * F.expr("10000000000000000000BD")
+    months = orders.groupBy("o_custkey", month_of("o_orderdate").alias("month")).agg(
+        F.max((place + F.col("o_orderkey")).cast("decimal(38,0)")).alias("last"))
+    as_of = orders.agg(F.max(month_of("o_orderdate")).alias("as_of"))  # one row
+    following = F.lead("month").over(Window.partitionBy("o_custkey").orderBy("month"))
+    return (months.withColumn("next", following).crossJoin(F.broadcast(as_of))
+            .groupBy((F.col("last") % F.expr("10000000000000000000BD")).cast("long").alias("term_key"))
+            .agg(F.max(F.coalesce("next", "as_of") - F.col("month")).alias("term_months")))
+
+
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 21-column subscription base (IO1), derived from the given tables."""
     orders = read_table(spark, sf_dir, "orders").select(
@@ -80,18 +103,14 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
 
-    # Term end: the customer's next order date, else the last order date of
-    # all orders (carried by the per-partition table, no extra scan).
-    o = lead_in_group(orders, "o_custkey", ["o_orderdate", "o_orderkey"],
-                      "o_orderdate", "end_dt", default_to_max=True)
-
-    b = (o.join(customer, F.col("c_custkey") == F.col("o_custkey"), "inner")
-          .join(lineitem_rollup(lineitem), F.col("l_orderkey") == F.col("o_orderkey"), "left"))
+    b = (orders.join(customer, F.col("c_custkey") == F.col("o_custkey"), "inner")
+          .join(lineitem_rollup(lineitem), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+          .join(term_months(orders), F.col("term_key") == F.col("o_orderkey"), "left"))
 
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     n_lines = F.col("n_lines")
-    months = ((F.year("end_dt") - F.year("o_orderdate")) * 12
-              + F.month("end_dt") - F.month("o_orderdate"))
+    # an order that is not its customer's last of a month ends in that month
+    months = F.coalesce("term_months", F.lit(0))
     b = (b.withColumn("tenure", F.when(k % 103 == 0, F.lit(None)).otherwise(months))
           .withColumn("mc", F.when(k % 101 == 0, F.lit(None).cast("double"))
                              .otherwise(F.round(F.col("o_totalprice") / 4000, 2)))
@@ -114,7 +133,7 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mc").cast("decimal(10,2)") * tenure).cast("decimal(18,2)").cast("string"))
 
     return b.select(
-        F.concat(F.lpad(k.cast("string"), 10, "0"), F.lit("-"),
+        F.concat(F.lpad(k.cast("string"), 20, "0"), F.lit("-"),
                  F.substring("c_mktsegment", 1, 5)).alias("customerID"),
         F.when(ck % 2 == 0, "Male").otherwise("Female").alias("gender"),
         F.when(k % 107 == 0, F.lit(None)).when(ck % 10 < 3, 1).otherwise(0)
@@ -191,10 +210,9 @@ def materialize_subscriptions(spark: SparkSession, sf_dir: str, path: str,
       contiguous id range, so ``customerID > last`` (keyset paging) and id
       searches skip files and row groups by their min/max statistics.
     """
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    (subscriptions(spark, sf_dir)
-        .repartitionByRange(n, "customerID").sortWithinPartitions("customerID")
-        .write.mode("overwrite").partitionBy("Churn").parquet(path))
+    base = subscriptions(spark, sf_dir)
+    ranged = base.repartitionByRange(files, "customerID") if files else base.repartitionByRange("customerID")
+    ranged.sortWithinPartitions("customerID").write.mode("overwrite").partitionBy("Churn").parquet(path)
     return path
 
 

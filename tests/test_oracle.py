@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from churnscope.plans import registry
 from churnscope.sources.subscriptions import TABLES
 from conftest import SF_SMALL
 
-SQLS = E.oracle_sql()
+SQLS = registry.oracle_sql()
 QUERIES = E.queries()
 
 
