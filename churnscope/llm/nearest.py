@@ -182,11 +182,11 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, every: int, k: int)
 
 #: The query's rows in DuckDB SQL.
 SQL = """
-with v as (select vec_id id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) v
+with v as (select vec_id id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v
   from embeddings where vec_id is not null and embedding is not null
-  and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.id query_id, c.id vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v),
-    p -> coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) score
+    lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) score
   from v q, v c where q.id % 50 = 0 and c.id <> q.id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
 select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 5
