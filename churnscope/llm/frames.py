@@ -12,9 +12,19 @@ BROADCAST_IDS = 1_000_000
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The frame computed once and written to the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame computed once and written to the shared checkpoint folder.
+
+    Spark deletes shuffle and checkpoint files of frames that nobody refers to
+    once the driver's JVM has collected them, which a driver with little to do
+    may put off for half an hour.  So each step asks for that: files of
+    finished steps are gone before the next ones are written.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def with_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
