@@ -44,7 +44,7 @@ def page(df: DataFrame, page_no: int = 1, term: str | None = None,
     """Rows ``[(p-1)*size, p*size)`` of the (searched) list by customerID,
     numeric fields parsed the way the list view parses them."""
     p = max(int(page_no), 1)
-    rows = search(df, term).orderBy("customerID").offset((p - 1) * size).limit(size)
+    rows = search(df, term).orderBy("customerID", _row_digest(df)).offset((p - 1) * size).limit(size)
     return parsed_view(rows)
 
 
@@ -56,13 +56,48 @@ def parsed_view(df: DataFrame) -> DataFrame:
     return out
 
 
-def keyset_page(df: DataFrame, after: str | None = None, term: str | None = None,
+def _row_digest(df: DataFrame) -> Column:
+    """Orders rows of one customerID; rows that still tie are equal in every column."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+
+
+def keyset_page(df: DataFrame, after: str | tuple[str, str, int] | None = None, term: str | None = None,
                 size: int = PAGE_SIZE) -> DataFrame:
-    """The page that follows ``after`` (exclusive) in customerID order."""
-    rows = search(df, term)
+    """The page that follows ``after`` in customerID order, then row digest.
+
+    ``after`` is a customerID (its rows are all skipped) or, where ids may
+    repeat, the cursor ``next_cursor`` gives for the page before: no row is
+    lost or shown twice.  NULL ids come on the first pages, before any cursor
+    of theirs exists, so page a table whose ids may be NULL without them.
+    """
+    return parsed_view(_after(search(df, term), after).limit(size))
+
+
+def _after(rows: DataFrame, after: str | tuple[str, str, int] | None) -> DataFrame:
+    digest = _row_digest(rows)
+    if isinstance(after, tuple):
+        last, seen_digest, seen = after
+        # a condition on the id alone, for the scan; then the exact place
+        rows = rows.where((F.col("customerID") >= F.lit(last))
+                          & ((F.col("customerID") > F.lit(last)) | (digest >= F.lit(seen_digest))))
+        return rows.orderBy("customerID", digest).offset(seen)
     if after is not None:
         rows = rows.where(F.col("customerID") > F.lit(after))
-    return parsed_view(rows.orderBy("customerID").limit(size))
+    return rows.orderBy("customerID", digest)
+
+
+def next_cursor(df: DataFrame, after: str | tuple[str, str, int] | None = None, term: str | None = None,
+                size: int = PAGE_SIZE) -> tuple[str, str, int] | None:
+    """(customerID, row digest, rows shown with both) at the end of the page after ``after``; None past the end."""
+    rows = search(df, term)
+    shown = _after(rows, after).limit(size).select("customerID", _row_digest(rows).alias("digest")).collect()
+    if not shown:
+        return None
+    last = (shown[-1].customerID, shown[-1].digest)
+    seen = sum((r.customerID, r.digest) == last for r in shown)
+    if isinstance(after, tuple) and after[:2] == last:
+        seen += after[2]
+    return (*last, seen)
 
 
 def page_stats(df: DataFrame, page_no: int = 1, term: str | None = None,

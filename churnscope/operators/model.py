@@ -8,8 +8,8 @@ category list of two low-cardinality columns, the fitted coefficients).
   alphabetically first value dropped, z-scoring with the population
   deviation of the training rows, balanced class weights) is one
   ``SQLTransformer`` stage, so the saved ``PipelineModel`` replays it.
-* The 80/20 split is a per-row hash threshold: deterministic, needs no
-  global ordering or per-class window, and gives each class ~20 % test rows.
+* The 80/20 split is stratified: each class is cut at its own 20 % point in
+  the order of the ids' digests, found from bucket counts.
 * ``LogisticRegression`` (L-BFGS, distributed) with ``regParam = 1/n_train``
   and class weights summing to ``n_train`` minimises the same L2 objective
   as an inverse-regularisation strength C = 1 (the intercept is not
@@ -28,7 +28,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -133,15 +133,36 @@ def features_long(df: DataFrame) -> DataFrame:
     return sel.unpivot(["customerID"], names, "feature", "value")
 
 
-def split_fraction(id_col: str | Column = "customerID") -> Column:
-    """Stable pseudo-random fraction in [0, 1) from a row id (md5-based)."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("double") / float(2 ** 32)
+#: leading hex digits of an id's digest that make one of 65,536 buckets
+SPLIT_DIGITS = 4
 
 
-def with_split(df: DataFrame, id_col: str = "customerID") -> DataFrame:
-    """M4: ``is_test`` = hash fraction below the test share (same rule per class)."""
-    return df.withColumn("is_test", split_fraction(id_col) < TEST_FRACTION)
+def with_split(df: DataFrame, id_col: str = "customerID", label: str = "churn") -> DataFrame:
+    """M4: ``is_test`` marks the first 20 % (rounded half up) of each class in
+    the order of the ids' md5 digests.
+
+    The place of the cut is found without ranking a class: digests are counted
+    by bucket (at most 65,536 a class), and only the bucket that holds the cut
+    is ranked.  Rows that repeat an id fall on one side; a NULL id is never a
+    test row; a class whose share rounds to 0 has no test rows.
+    """
+    digest = F.md5(F.col(id_col).cast("string"))
+    bucket = F.substring(digest, 1, SPLIT_DIGITS)
+    rows = df.where(F.col(id_col).isNotNull()).select(
+        F.col(label).alias("_class"), bucket.alias("_b"), digest.alias("_d"))
+    by_class = Window.partitionBy("_class")
+    upto, total = F.sum("_n").over(by_class.orderBy("_b")), F.sum("_n").over(by_class)
+    edge = (rows.groupBy("_class", "_b").agg(F.count(F.lit(1)).alias("_n"))
+                .select("_class", "_b", "_n", upto.alias("_upto"), F.round(total * TEST_FRACTION).alias("_want"))
+                .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+                .select("_class", "_b", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_place")))
+    # one edge and one cut per class
+    cut = (rows.join(F.broadcast(edge), ["_class", "_b"])
+               .withColumn("_k", F.row_number().over(by_class.orderBy("_d")))
+               .where(F.col("_k") == F.col("_place")).select("_class", F.col("_d").alias("_cut")))
+    return (df.join(F.broadcast(cut), F.col(label) == F.col("_class"), "left")
+              .withColumn("is_test", F.coalesce(digest <= F.col("_cut"), F.lit(False)))
+              .drop("_class", "_cut"))
 
 
 def scaling_stats(train: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
@@ -175,7 +196,6 @@ def class_weights(df: DataFrame) -> DataFrame:
 
 
 def _tiny():
-    from pyspark.sql import Window
     return Window.partitionBy()   # over <= 2 class rows
 
 
@@ -224,7 +244,7 @@ def train_with_scores(df: DataFrame) -> tuple[PipelineModel, dict, DataFrame]:
     # model rows: materialise them once (reliable checkpoint, survives
     # executor loss) instead of re-deriving the base for every pass.
     checkpoint_dir(df.sparkSession)
-    base = with_split(training_set(df)).checkpoint(eager=True)
+    base = with_split(training_set(df).checkpoint(eager=True)).checkpoint(eager=True)
     counts = base.agg(F.count(F.lit(1)).alias("n"),
                       F.count_if(~F.col("is_test")).alias("n_train"),
                       F.count_if(~F.col("is_test") & (F.col("churn") == 1)).alias("n_train_pos"),

@@ -350,13 +350,28 @@ SECTION_TITLES = {
     4: "## Churn by Service Features",
     5: "## Churned Subscribers by Tenure",
     6: "## Churned Subscribers by Monthly Cost",
+    7: "## Predictive Model Insights",
 }
+REPORT_FEATURES = 5  # model features listed
 
 
-def report_lines(long: DataFrame) -> DataFrame:
+def model_lines(auc: float | None, features: Sequence[tuple[str, float]]) -> list[str]:
+    """R5's model section: its AUC ('N/A' without one) and, if it has features,
+    the first five of them (feature, weight) with the direction of their effect (M15)."""
+    lines = [f"- Model Performance (AUC): {'N/A' if auc is None else auc}"]
+    if features:
+        lines.append("- Most Important Predictive Features:")
+    for place, (name, weight) in enumerate(features[:REPORT_FEATURES], 1):
+        effect = "increases" if weight > 0 else "decreases"
+        lines.append(f"  {place}. {name} ({effect} churn likelihood)")
+    return lines
+
+
+def report_lines(long: DataFrame, model: tuple[float | None, Sequence[tuple[str, float]]] | None = None) -> DataFrame:
     """(section_no, line_no, text) lines of the text report, formatted as
     percent (2 dp / 1 dp), thousands separators and fixed decimals; absent
-    sections are skipped."""
+    sections are skipped.  ``model``: the AUC and the top features (feature,
+    weight) of a trained model, for the last section."""
     s = F.col("section")
     overall = (
         F.when(s == "overall_churn_rate", F.concat(F.lit("- Overall Churn Rate: "), pct_text("value", 2)))
@@ -382,6 +397,10 @@ def report_lines(long: DataFrame) -> DataFrame:
     text = (F.when(sec_no == 1, overall).when(sec_no.isin(2, 3), seg_line)
              .when(sec_no == 4, feat_line).when(sec_no == 5, ten_line).otherwise(mon_line))
     body = long.select(sec_no.alias("section_no"), F.col("item_order").alias("_k"), text.alias("text"))
+    if model is not None:
+        told = [(7, k, line) for k, line in enumerate(model_lines(*model))]
+        body = body.unionByName(literal_frame(
+            long.sparkSession, told, [("section_no", "int"), ("_k", "int"), ("text", "string")]))
     title = F.element_at(F.create_map(*[x for k, v in SECTION_TITLES.items()
                                         for x in (F.lit(k), F.lit(v))]), F.col("section_no"))
     heads = body.select("section_no").distinct().select("section_no", F.lit(-1).alias("_k"),

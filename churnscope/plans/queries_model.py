@@ -10,7 +10,7 @@ from churnscope.plans.registry import on_base, register
 from churnscope.session import checkpoint_dir
 from churnscope.sources.subscriptions import subscriptions
 
-# Model rows, the DuckDB way (M1 + M4 split fraction from md5).
+# Model rows, the DuckDB way (M1 + M4 cut of each class in md5 order).
 _M_CTES = """
 m0 as (select customerID, case when Churn = 'Yes' then 1 else 0 end as churn, tenure, MonthlyCharges,
               Contract, PaymentMethod, OnlineSecurity, TechSupport
@@ -21,7 +21,8 @@ m as (select customerID, churn,
              coalesce(Contract, 'Unknown') as Contract, coalesce(PaymentMethod, 'Unknown') as PaymentMethod,
              case when OnlineSecurity = 'Yes' then 1 else 0 end as OnlineSecurity,
              case when TechSupport = 'Yes' then 1 else 0 end as TechSupport,
-             cast(('0x' || substr(md5(customerID), 1, 8)) as bigint)::double / 4294967296.0 < 0.2 as is_test
+             row_number() over (partition by churn order by md5(customerID))
+               <= round(0.2 * count(*) over (partition by churn)) as is_test
        from m0),
 cats as (select 'Contract' as col, Contract as v from m group by 2
          union all select 'PaymentMethod', PaymentMethod from m group by 2),

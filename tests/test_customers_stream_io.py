@@ -23,6 +23,18 @@ def test_search_page_keyset(spark):
     assert (st.start_index, st.end_index) == (21, min(40, len(hits)))
 
 
+def test_keyset_pages_keep_repeated_ids(spark):
+    cols = "customerID string, MonthlyCharges double, TotalCharges string, tenure int, SeniorCitizen int"
+    rows = [(i, float(c), None, 1, 0) for i, c in [("A", 1), ("B", 1), ("B", 2), ("B", 2), ("B", 2), ("C", 1), ("C", 3)]]
+    df = spark.createDataFrame(rows, cols)
+    for size in (1, 2, 3):
+        seen, cursor = [], None
+        while (following := cust.next_cursor(df, cursor, size=size)) is not None:
+            seen += [(r.customerID, r.MonthlyCharges) for r in cust.keyset_page(df, cursor, size=size).collect()]
+            cursor = following
+        assert sorted(seen) == sorted((r[0], r[1]) for r in rows)
+
+
 def test_generated_customers_rules(spark):
     g = cust.generate(spark, 20000)
     assert g.columns == SUBSCRIPTION_COLUMNS

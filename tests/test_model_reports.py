@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from churnscope.operators import model as M
@@ -49,7 +51,8 @@ def test_rank_auc_matches_bruteforce(spark):
 
 
 def test_split_is_stable_and_near_fraction(spark):
-    df = spark.range(20000).select(F.concat(F.lit("id"), F.col("id").cast("string")).alias("customerID"))
+    df = spark.range(20000).select(F.concat(F.lit("id"), F.col("id").cast("string")).alias("customerID"),
+                                 (F.col("id") % 4 == 0).cast("int").alias("churn"))
     a = M.with_split(df).where("is_test").count()
     assert abs(a / 20000 - M.TEST_FRACTION) < 0.02
     assert M.with_split(df).where("is_test").count() == a
@@ -102,6 +105,19 @@ def test_report_lines_format(spark):
     assert lines[0] == "## Overall Metrics"
 
 
+def test_report_model_section(spark):
+    plain = [tuple(r) for r in rep.report_lines(_payload(spark)).collect()]
+    top = [("tenure", -1.2), ("MonthlyCharges", 0.8), ("a", 0.0), ("it's", 0.3), ("c", -0.2), ("d", 0.1)]
+    lines = [tuple(r) for r in rep.report_lines(_payload(spark), (0.8412, top)).collect()]
+    assert lines[:len(plain)] == plain
+    assert [t for n, _, t in lines if n == 7] == [
+        "## Predictive Model Insights", "- Model Performance (AUC): 0.8412", "- Most Important Predictive Features:",
+        "  1. tenure (decreases churn likelihood)", "  2. MonthlyCharges (increases churn likelihood)",
+        "  3. a (decreases churn likelihood)", "  4. it's (increases churn likelihood)",
+        "  5. c (decreases churn likelihood)"]
+    assert rep.model_lines(None, []) == ["- Model Performance (AUC): N/A"]
+
+
 def test_data_points(spark):
     # 1 overall + 2 contract + 1 payment + 2 feature rows = 6
     assert rep.data_points(_payload(spark)).first().data_points == 6
@@ -110,3 +126,13 @@ def test_data_points(spark):
 def test_insight_json_drops_nulls(spark):
     js = rep.insight_json(_payload(spark)).first().payload_json
     assert '"overall_churn_rate":0.2654' in js and '"n":null' not in js
+
+
+def test_split_cuts_each_class_exactly(spark):
+    rows = [(f"{k:05d}", int(k % 17 == 0)) for k in range(2000)] + [("lone", 2), (None, 0)]
+    got = M.with_split(spark.createDataFrame(rows, "customerID string, churn int")).collect()
+    assert len(got) == len(rows)
+    for label in (0, 1, 2):
+        ids = sorted((r[0] for r in rows if r[1] == label and r[0]), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+        assert {r.customerID for r in got if r.churn == label and r.is_test} == set(ids[:int(len(ids) * 0.2 + 0.5)])
+    assert M.with_split(spark.createDataFrame([], "customerID string, churn int")).count() == 0
