@@ -371,18 +371,25 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed:
     takes them as one, members in order of id: groups of the same documents
     mostly name the same pairs, and a block about as many as it has members.
     With 0 it names all.  Pairs that were verified in vain (``failed``) are not
-    named again.
+    named again.  Documents that share several of these groups are compared in
+    the one of the smallest number, so no pair is named by two groups.
     """
     member = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
     member = member.join(labels, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
     spans = kept(member.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
                  .filter("low <> high").select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    # a pair that shares several groups is named in the smallest of them: each row carries its node's smaller ones
+    placed = member.join(spans, "g").groupBy("node", "label").agg(
+        F.sort_array(F.collect_set(F.struct("g", "blocks"))).alias("of")).select(
+        "node", "label", F.col("of.g").alias("all"), F.posexplode("of").alias("at", "group")).select(
+        "node", "label", "group.g", "group.blocks", F.expr("slice(all, 1, at)").alias("before"))
     own = F.pmod(F.xxhash64("node", "g"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     known = failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("vain"))
-    rows = member.join(spans, "g").join(known, "node", "left").withColumn("own", own).withColumn("other", other).join(
+    rows = placed.join(known, "node", "left").withColumn("own", own).withColumn("other", other).join(
         described.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").select(
-        "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch", "vain")
+        "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch",
+        "vain", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, []
@@ -395,7 +402,7 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed:
             least = min(len(r[4]) for r in block)
             folded = np.stack([np.bitwise_xor.reduce(r[4].reshape(-1, least), axis=0) for r in block])
             within = now[1] == now[2]
-            pairs, named = set(), {}
+            pairs, named, at, mine = set(), {}, -1, frozenset()
             for low in range(0, len(block), 64):  # rows of the block's matrix of pairs
                 x = slice(low, low + 64)
                 ok = ((label[x, None] != label) & (node[x, None] < node) & (within | (own[x, None] != own))
@@ -405,7 +412,11 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed:
                 close = np.bitwise_count(folded[i] ^ folded[k]).sum(axis=1) <= (n[i] + n[k]) // 7
                 for i, k in zip(i[close].tolist(), k[close].tolist(), strict=True):
                     a, b = sorted((int(label[i]), int(label[k])))
-                    if a == b or int(node[k]) in block[i][5] or not may_be_similar(block[i][4], int(n[i]), block[k][4], int(n[k])):
+                    if a == b or int(node[k]) in block[i][5]:
+                        continue
+                    if i != at:
+                        at, mine = i, frozenset(block[i][6].tolist())
+                    if not mine.isdisjoint(block[k][6].tolist()) or not may_be_similar(block[i][4], int(n[i]), block[k][4], int(n[k])):
                         continue
                     pairs.add((int(node[i]), int(node[k])))
                     named[a, b] = named.get((a, b), 0) + 1
@@ -415,11 +426,12 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for b in batches:
-            for g, i, j, own, node, label, n, sketch, vain in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            values, ends = b.column(9).values.to_numpy(zero_copy_only=False), b.column(9).offsets.to_pylist()
+            for r, (g, i, j, own, node, label, n, sketch, vain) in enumerate(zip(*[c.to_pylist() for c in b.columns[:9]], strict=True)):
                 if (g, i, j) != now:
                     yield from out()
                     now, block = (g, i, j), []
-                block.append((own, node, n, label, np.frombuffer(sketch, np.uint8), set(vain or ())))
+                block.append((own, node, n, label, np.frombuffer(sketch, np.uint8), set(vain or ()), values[ends[r]:ends[r + 1]].copy()))
         yield from out()
 
     return (rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long").distinct())
