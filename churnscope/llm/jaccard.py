@@ -57,6 +57,8 @@ SHARE = (0.42, 0.2)
 SAMPLE, SHARED_AT, MAX_SHARED = 20_000, 4, 200_000
 #: groups up to this size give all pairs at once
 SMALL = 8
+#: groups of a node that tell whether a pair was named in an earlier group
+FEW = 8
 #: index entries per bucket, and members per block of a large group
 BUCKET, BLOCK = 400_000, 1_024
 
@@ -371,18 +373,19 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed:
     takes them as one, members in order of id: groups of the same documents
     mostly name the same pairs, and a block about as many as it has members.
     With 0 it names all.  Pairs that were verified in vain (``failed``) are not
-    named again.  Documents that share several of these groups are compared in
-    the one of the smallest number, so no pair is named by two groups.
+    named again.  A pair that shares several of these groups is named in the
+    smallest of them, and again in a later one only if neither of their FEW
+    smallest groups is common to both; such repeats are dropped at the end.
     """
     member = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
     member = member.join(labels, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
     spans = kept(member.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
                  .filter("low <> high").select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    # a pair that shares several groups is named in the smallest of them: each row carries its node's smaller ones
+    # a pair that shares several groups is named in the smallest: each row carries its node's FEW smallest groups before it
     placed = member.join(spans, "g").groupBy("node", "label").agg(
         F.sort_array(F.collect_set(F.struct("g", "blocks"))).alias("of")).select(
         "node", "label", F.col("of.g").alias("all"), F.posexplode("of").alias("at", "group")).select(
-        "node", "label", "group.g", "group.blocks", F.expr("slice(all, 1, at)").alias("before"))
+        "node", "label", "group.g", "group.blocks", F.expr(f"slice(all, 1, least(at, {FEW}))").alias("before"))
     own = F.pmod(F.xxhash64("node", "g"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     known = failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("vain"))
