@@ -403,15 +403,16 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k
 SAMPLES = "key long, rank int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
 
-def sampled(docs: DataFrame, key: str, text: str, path: str, k: int = 2, seed: int = 0, keep=None) -> DataFrame:
+def sampled(docs: DataFrame, key: str, text: str, path: str, k: int = 2, seed: int = 0, keep=None, also=()) -> DataFrame:
     """Per row up to k sampled segmentations (``SAMPLES``), ranked from 1.
 
     ``keep(vocab, text, ids)`` may turn the ids into a struct of what is
     needed of them, declared by its attribute ``schema``; then no ids leave
-    the task.
+    the task.  Columns named in ``also`` follow as they are.
     """
     shape = SAMPLES if keep is None else SAMPLES.replace("ids array<int>", keep.schema)
     names = [c.split()[0] for c in shape.split(", ")]
+    given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -422,27 +423,28 @@ def sampled(docs: DataFrame, key: str, text: str, path: str, k: int = 2, seed: i
                 texts = part.to_pylist()
                 hashed = np.where(own.is_null().to_numpy(zero_copy_only=False), _U(0x51ED270B), T.mix(
                     own.fill_null(0).to_numpy().astype(np.int64).view(_U)))
-                rows = []
-                for key_, t, found in zip(own.to_pylist(), texts, sample_texts(vocab, texts, hashed, k, seed), strict=True):
+                rows, of = [], []
+                for i, (key_, t, found) in enumerate(zip(own.to_pylist(), texts, sample_texts(vocab, texts, hashed, k, seed), strict=True)):
                     for rank, (ids, log_p, value, inclusion) in enumerate(found, 1):
                         held = (ids.tolist(),) if keep is None else keep(vocab, t, ids, rank)
                         rows.append((key_, rank, *held, log_p, value, inclusion))
+                        of.append(at + i)
                 for i in range(0, len(rows), 2_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + 2_000], strict=True)], names)
+                    rest = [c.take(pa.array(of[i:i + 2_000])) for c in b.columns[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + 2_000], strict=True)] + rest, [*names, *also])
 
     from pyspark.sql.types import StructType
 
     arrow_types = {"key": pa.int64(), "rank": pa.int32(), "ids": pa.list_(pa.int32())}
-    schema = StructType.fromDDL(shape)
+    schema = StructType(StructType.fromDDL(shape).fields + given.schema.fields[2:])
 
     def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
         types = [arrow_types.get(f) or wanted[c.split()[1]] for f, c in zip(names, shape.split(", "), strict=True)]
         for b in run(batches):
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, types)] + b.columns[len(types):], [*names, *also])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        typed, schema).withColumnRenamed("key", key)
+    return given.mapInArrow(typed, schema).withColumnRenamed("key", key)
 
 
 def digest(vocab: Vocabulary, text: str, ids: np.ndarray, rank: int) -> tuple:

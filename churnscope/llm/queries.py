@@ -67,12 +67,17 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.ordered(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_jaccard_join, op3_sentencepiece, op4_toxicity, op5_html_extraction, op6_chat_formatting,
-    op7_token_counts, op8_exact_top_k, op9_source_mixing, op10_quality)}
+    op7_token_counts, op8_exact_top_k, op9_source_mixing, op9_training_order, op10_quality)}
 
-ORACLES: dict[str, str] = {"op6_chat_formatting": chat.SQL, "op8_exact_top_k": nearest.SQL, "op9_source_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op6_chat_formatting": chat.SQL, "op8_exact_top_k": nearest.SQL, "op9_source_mixing": mixing.SQL,
+                           "op9_training_order": mixing.CURRICULUM_SQL}

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All but the last
-return the columns of documents.
+return the columns of documents, mixing also each copy's position in training:
+files keep no order, so the last stage returns that position with the result.
 """
 
 from __future__ import annotations
@@ -48,14 +49,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, one row per taken copy, the cut one with its first words only."""
+    """Documents that the mix takes, one row per taken copy, the cut one with its first words only; and ``mixing.ORDER``."""
     rows = mixing.mixed_documents(docs.select(*COLUMNS))
-    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS, *mixing.ORDER)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document."""
-    return pieces.sampled(docs, "doc_id", "text", tokenizer("piece_bpe_32k.model"), k=2, keep=pieces.digest)
+    """Two sampled segmentations of every row, with its ``mixing.ORDER``: sort by position for the training order."""
+    also = [c for c in mixing.ORDER if c in docs.columns]
+    return pieces.sampled(docs, "doc_id", "text", tokenizer("piece_bpe_32k.model"), k=2, keep=pieces.digest, also=also)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
