@@ -403,40 +403,48 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k
 SAMPLES = "key long, rank int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
 
-def sampled(docs: DataFrame, key: str, text: str, path: str, k: int = 2, seed: int = 0, keep=None, also=()) -> DataFrame:
+def sampled(docs: DataFrame, key: str, text: str, path: str, k: int = 2, seed: int = 0, keep=None, also=(), draw: Column | None = None) -> DataFrame:
     """Per row up to k sampled segmentations (``SAMPLES``), ranked from 1.
 
     ``keep(vocab, text, ids)`` may turn the ids into a struct of what is
     needed of them, declared by its attribute ``schema``; then no ids leave
-    the task.  Columns named in ``also`` follow as they are.
+    the task.  Columns named in ``also`` follow as they are.  Rows of one key
+    draw the same random numbers unless ``draw`` (a long) tells them apart.
     """
     shape = SAMPLES if keep is None else SAMPLES.replace("ids array<int>", keep.schema)
     names = [c.split()[0] for c in shape.split(", ")]
-    given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *also)
+    given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"),
+                        (F.col(key) if draw is None else draw).cast("long").alias("draw"), *also)
+
+    def packed(values: tuple) -> pa.Array:
+        if not isinstance(values[0], np.ndarray):
+            return pa.array(values)
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for b in batches:
             column = T.as_strings(b.column(1))
             for at, part in T.slices(column, SLICE):
-                own = b.column(0).slice(at, len(part))
+                own, drawn = (b.column(c).slice(at, len(part)) for c in (0, 2))
                 texts = part.to_pylist()
-                hashed = np.where(own.is_null().to_numpy(zero_copy_only=False), _U(0x51ED270B), T.mix(
-                    own.fill_null(0).to_numpy().astype(np.int64).view(_U)))
+                hashed = np.where(drawn.is_null().to_numpy(zero_copy_only=False), _U(0x51ED270B), T.mix(
+                    drawn.fill_null(0).to_numpy().astype(np.int64).view(_U)))
                 rows, of = [], []
                 for i, (key_, t, found) in enumerate(zip(own.to_pylist(), texts, sample_texts(vocab, texts, hashed, k, seed), strict=True)):
                     for rank, (ids, log_p, value, inclusion) in enumerate(found, 1):
-                        held = (ids.tolist(),) if keep is None else keep(vocab, t, ids, rank)
+                        held = (ids,) if keep is None else keep(vocab, t, ids, rank)
                         rows.append((key_, rank, *held, log_p, value, inclusion))
                         of.append(at + i)
                 for i in range(0, len(rows), 2_000):
-                    rest = [c.take(pa.array(of[i:i + 2_000])) for c in b.columns[2:]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + 2_000], strict=True)] + rest, [*names, *also])
+                    rest = [c.take(pa.array(of[i:i + 2_000])) for c in b.columns[3:]]
+                    yield pa.RecordBatch.from_arrays([packed(c) for c in zip(*rows[i:i + 2_000], strict=True)] + rest, [*names, *also])
 
     from pyspark.sql.types import StructType
 
     arrow_types = {"key": pa.int64(), "rank": pa.int32(), "ids": pa.list_(pa.int32())}
-    schema = StructType(StructType.fromDDL(shape).fields + given.schema.fields[2:])
+    schema = StructType(StructType.fromDDL(shape).fields + given.schema.fields[3:])
 
     def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
@@ -448,16 +456,24 @@ def sampled(docs: DataFrame, key: str, text: str, path: str, k: int = 2, seed: i
 
 
 def digest(vocab: Vocabulary, text: str, ids: np.ndarray, rank: int) -> tuple:
-    """Number of pieces, a digest of the ids, and whether decoding the first sample gives the text back."""
+    """Number of pieces, a digest of the ids, and whether decoding them gives the text back."""
     import hashlib
 
-    back = vocab.decode(ids.tolist()) == text if rank == 1 else None
+    back = vocab.decode(ids.tolist()) == text
     return len(ids), hashlib.blake2b(ids.astype("<i4").tobytes(), digest_size=16).hexdigest(), back
 
 
 digest.schema = "n_pieces int, ids_digest string, round_trip boolean"
 
 
+def checked(vocab: Vocabulary, text: str, ids: np.ndarray, rank: int) -> tuple:
+    """The ids themselves, and their digest beside them."""
+    return ids, *digest(vocab, text, ids, rank)
+
+
+checked.schema = f"ids array<int>, {digest.schema}"
+
+
 def encode(text: Column, path: str) -> Column:
     """The library's own segmentation of a text column, as ids (empty for null)."""
     @F.pandas_udf("array<int>")

@@ -33,7 +33,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sampled(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("piece_bpe_32k.model"),
-                          k=2, keep=pieces.digest)
+                          k=2, keep=pieces.checked)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

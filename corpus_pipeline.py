@@ -55,9 +55,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every row, with its ``mixing.ORDER``: sort by position for the training order."""
+    """Two sampled segmentations of every row, with its ``mixing.ORDER``: sort by position for the training order.
+
+    Copies that the mix repeats draw samples of their own.
+    """
     also = [c for c in mixing.ORDER if c in docs.columns]
-    return pieces.sampled(docs, "doc_id", "text", tokenizer("piece_bpe_32k.model"), k=2, keep=pieces.digest, also=also)
+    copy = F.xxhash64("doc_id", "source", "twin", "copy") if len(also) == len(mixing.ORDER) else None
+    return pieces.sampled(docs, "doc_id", "text", tokenizer("piece_bpe_32k.model"), k=2, keep=pieces.checked, also=also, draw=copy)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

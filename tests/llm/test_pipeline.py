@@ -5,8 +5,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from churnscope.llm import mixing
-from tests.llm.helpers import frame, words_of
+from churnscope.llm import mixing, pieces, queries
+from tests.llm.helpers import SF_SMALL, frame, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,3 +47,20 @@ def test_order_survives_the_reread(spark, tmp_path):
     want = mixing.mixed_documents(docs).collect()
     assert [place(r) for r in want] == sorted(place(r) for r in got)
     assert sum(len(words_of(r["text"])) for r in mixed.collect()) == sum(len(words_of(r["text"])) for r in want)
+
+
+def test_samples_are_returned_whole(spark):
+    got = queries.op3_sentencepiece(spark, SF_SMALL)
+    assert dict(got.dtypes)["ids"] == "array<int>"
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, SF_SMALL, "documents").select("doc_id", "text").collect()}
+    vocab = pieces.vocabulary(queries.tokenizer("piece_bpe_32k.model"))
+    rows = got.collect()
+    assert {(r["doc_id"], 2) for r in rows} >= {(i, 2) for i, t in texts.items() if len(t) > 3}
+    assert all(r["round_trip"] is True and r["n_pieces"] == len(r["ids"]) and vocab.decode(r["ids"]) == texts[r["doc_id"]] for r in rows)
+
+
+def test_repeated_copies_draw_their_own_samples(spark):
+    docs = frame(spark, [(1, "the quick brown fox jumps over a lazy dog " * 4, "en", "a", 0)], DOCS)
+    copies = docs.selectExpr("*", "0.5D as position", "1 as twin", "explode(array(0, 1, 2)) as copy")
+    got = corpus_pipeline.encode(spark, copies, "").collect()
+    assert len(got) == 6 and len({tuple(r["ids"]) for r in got if r["rank"] == 1}) == 3
