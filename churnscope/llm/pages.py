@@ -15,9 +15,12 @@ block becomes one space, blocks are trimmed and joined by one space in page
 order; nothing is capped.
 
 Defined cases: a null or empty html gives an empty text and 0 characters;
-unclosed, stray and truncated tags are read leniently; text outside any block
-belongs to the page's root; repeated pages give repeated rows; other columns
-are not read.
+unclosed, stray and truncated tags are read leniently: a head ends where
+something stands that a head cannot hold, another dropped element at the end
+tag of an element around it, or without an own end tag at the next block start
+(an unclosed script, style, title, textarea or iframe takes the rest of the
+page, as in browsers); text outside any block belongs to the page's root;
+repeated pages give repeated rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +39,14 @@ from pyspark.sql import functions as F
 DROPPED = frozenset("script style noscript template head title svg iframe object select textarea button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meta link br hr "
                    "wbr q ruby rt s samp small span strike strong sub sup time tt u var".split())
+#: start tags that a head may hold (a template is dropped after it as well); any other ends it
+HEAD = frozenset("html head title meta link script style base noscript".split())
+#: dropped elements whose end tag may be missing, and the block starts that end one
+PAIRED = ("svg", "object", "select", "button", "template")
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
+                   "form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot "
+                   "th thead tr ul".split())
+RAW = ("script", "style", "title", "textarea", "iframe", "noscript")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: a start tag of the first kind ends an open element of the second
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -61,6 +72,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|data-content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+_PAIRS = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b.*?(?:</\1|\Z)|<(/?)({'|'.join(PAIRED)})(?=[\s/>])"
+                    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)", re.S | re.I)
+
+
 class Node:
     __slots__ = ("tag", "cue", "parent", "runs", "linked", "own", "below", "mark")
 
@@ -82,12 +97,36 @@ def cue_of(attributes: str) -> tuple[str, str | None]:
     return next((k for k, r in CUES if said and r.search(said)), "none"), mark
 
 
+def closed(page: str) -> set[int]:
+    """Where the ``PAIRED`` start tags with an end tag of their own begin."""
+    found, open_at = set(), {tag: [] for tag in PAIRED}
+    for m in _PAIRS.finditer(page):
+        starts = open_at.get((m[3] or "").lower())
+        if starts is None:
+            continue
+        if not m[2] and not m[4].endswith("/"):
+            starts.append(m.start())
+        elif m[2] and starts:
+            found.add(starts.pop())
+    return found
+
+
 def parse(page: str) -> list[Node]:
     """The block elements in page order, with their own text; node 0 is the root."""
     nodes = [Node("#root", "none", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]
     at = links = block = 0
     skip = ""  # inside a dropped element
+    ended = True  # which has an end tag of its own
+    inside: Counter = Counter()  # elements open within it
+    own_end: set[int] | None = None
+    last: set[str] = set()  # tags without a further end tag
+
+    def past(tag: str) -> int | None:
+        end = None if tag in last else re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
+        if end is None:
+            last.add(tag)
+        return end.end() if end else None
 
     def text(piece: str) -> None:
         if piece and not skip:
@@ -103,18 +142,41 @@ def parse(page: str) -> list[Node]:
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
+        if skip == "head" and page[at:m.start()].strip():
+            skip = ""
         text(page[at:m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if skip:
-            if m[1] and tag == skip or skip == "head" and (tag == "body" or m[1] and tag == "html"):
+        if skip == "head":
+            if m[1]:
+                if tag in ("head", "body", "html"):
+                    skip = ""
+                continue
+            if tag in HEAD:
+                if tag in RAW:
+                    at = past(tag) or (at if tag == "noscript" else len(page))
+                continue
+            skip = ""
+        elif skip:
+            if m[1]:
+                if inside[tag]:
+                    inside[tag] -= 1
+                    continue
+                if tag == skip or not (any(t == tag for t, _ in stack) or not ended and tag in INLINE):
+                    skip = "" if tag == skip else skip
+                    continue
+                skip = ""  # the end of an element around it
+            elif tag in BLOCKS and not ended:
                 skip = ""
-            if skip or tag != "body":
-                if not m[1] and tag in ("script", "style", "title") and skip == "head":
-                    end = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+            else:
+                if tag in RAW:
+                    at = past(tag) or at
+                elif tag == skip and tag in ("button", "select"):  # these do not nest: the open one ends
+                    ended, inside = m.start() in own_end, Counter()
+                elif tag not in VOID and not m[3].endswith("/"):
+                    inside[tag] += 1
                 continue
         if m[1]:  # end tag
             if tag == "a":
@@ -130,11 +192,12 @@ def parse(page: str) -> list[Node]:
                         break
             continue
         if tag in DROPPED:
-            if tag in ("script", "style", "title", "textarea", "iframe", "noscript"):
-                end = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if tag in RAW:
+                at = past(tag) or (at if tag == "noscript" else len(page))
             elif not m[3].endswith("/"):
-                skip = tag
+                if own_end is None and tag != "head":
+                    own_end = closed(page)
+                skip, ended, inside = tag, tag == "head" or m.start() in own_end, Counter()
             if tag not in ("script", "style"):
                 text(" ")
             continue
@@ -158,6 +221,8 @@ def parse(page: str) -> list[Node]:
         cue, mark = cue_of(m[3]) if m[3] else ("none", None)
         nodes.append(Node(tag, cue, stack[-1][1], mark))
         stack.append((tag, len(nodes) - 1))
+    if skip == "head" and page[at:].strip():
+        skip = ""
     text(page[at:])
     for node in nodes:
         node.own = sum(len(" ".join(t.split())) for _, t in node.runs)
