@@ -4,9 +4,11 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from churnscope.llm import mixing, pieces, queries
-from tests.llm.helpers import SF_SMALL, frame, words_of
+from tests.llm.helpers import SF_SMALL, frame, shingles, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,3 +66,51 @@ def test_repeated_copies_draw_their_own_samples(spark):
     copies = docs.selectExpr("*", "0.5D as position", "1 as twin", "explode(array(0, 1, 2)) as copy")
     got = corpus_pipeline.encode(spark, copies, "").collect()
     assert len(got) == 6 and len({tuple(r["ids"]) for r in got if r["rank"] == 1}) == 3
+
+
+def plain_groups(rows):
+    """Groups of row numbers whose texts are equal or similar, by comparing all pairs; rows without an id are alone."""
+    sets, to = [shingles(r[1]) if r[0] is not None else set() for r in rows], list(range(len(rows)))
+
+    def root(i):
+        while to[i] != i:
+            i = to[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for k, b in enumerate(sets[:i]):
+            if a and b and (a == b or min(len(a), len(b)) > 2 and 100 * len(a & b) >= 75 * len(a | b)):
+                to[root(i)] = root(k)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(root(i), []).append(i)
+    return list(groups.values())
+
+
+def near_copy_rows():
+    rng = random.Random(3)
+    new = lambda: " ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99)) for _ in range(60))
+    base = [new() for _ in range(6)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in base]
+    rows = [(7, None), (7, "real text of seven"), (7, ""), (8, base[0]), (8, new()), (8, base[1]), (3, near[0]), (9, near[1]), (9, near[1]),
+            (4, base[2]), (5, near[2]), (6, base[2]), (None, base[2]), (None, base[2]), (None, None), (2**62, base[3]), (-5, near[3]),
+            (-5, new()), (10, "  "), (10, " "), (11, base[4]), (11, base[4]), (11, near[4]), (12, base[5])]
+    return rows + [(99, new()) for _ in range(12)]  # a hot id
+
+
+@pytest.mark.parametrize("repeated", [True, False])
+def test_near_copies(spark, repeated):
+    rows = near_copy_rows()
+    if not repeated:
+        seen = set()
+        rows = [r for r in rows if r[0] is None or not (r[0] in seen or seen.add(r[0]))]
+    rows = [(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)]  # n_chars numbers the rows
+    docs = frame(spark, rows, DOCS + ", node long, component_id long, hash long, part int")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    left = Counter(r["n_chars"] for r in got.collect())
+    assert set(left.values()) == {1}
+    for group in plain_groups(rows):
+        stays = [k for k in group if k in left]
+        assert len(stays) == 1 and (len(group) == 1 or rows[stays[0]][0] == min(rows[k][0] for k in group))
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
