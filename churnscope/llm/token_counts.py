@@ -8,9 +8,11 @@ shuffled and a frequent pre-token is no hot key.
 
 Supported vocabulary: a ``tokenizers`` JSON file whose pre-tokenizer is a
 regular expression split (optionally followed by byte mapping), without ids
-that span pre-tokens.  The split is checked against the library where a text
-has characters outside ``PLAIN``: such a text goes through the library's own
-normalizer and pre-tokenizer.
+that span pre-tokens.  A text is first split at the vocabulary's added tokens,
+of one token each.  A part with characters outside ``PLAIN`` goes through the
+library's own normalizer and pre-tokenizer, in pieces cut at spaces, and its
+pre-tokens through the same dictionary.  Another kind of vocabulary, or added
+tokens that take in what is around them, leave the whole text to the library.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); special
 strings inside a text count as the library does by default; rows are never
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 LIMIT = 2048
 HELD = 300_000
+#: characters, more or less, that the library splits at a time
+PART = 1 << 16
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 #: Characters for which lower() and NFC are the same here and in the library: printable ASCII, the usual white
@@ -62,21 +66,45 @@ class PieceCounter:
             r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] and normal == ["NFC", "Replace", "Lowercase"]
         self.is_plain = re.compile(PLAIN).fullmatch
         self.words = regex.compile(WORDS).findall
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, int] = {}
+        added = spec["added_tokens"]
+        self.plain &= not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        # the longest of those that begin at one place
+        special = sorted((re.escape(t["content"]) for t in added), key=len, reverse=True)
+        self.parts = re.compile("|".join(special)).split if special else lambda text: [text]
+        self.known: dict[str | bytes, int] = {}
 
     def __call__(self, text: str) -> int:
-        if not self.plain or not self.is_plain(text) or any(s in text for s in self.special):
+        if not self.plain:
             return len(self.library.encode(text, add_special_tokens=False))
-        frequency = Counter(self.words(text.lower()))
+        parts = self.parts(text)
+        return len(parts) - 1 + sum(map(self._part, parts))
+
+    def _part(self, text: str) -> int:
+        """Tokens of a text without added tokens."""
+        if self.is_plain(text):
+            return self._sum(Counter(self.words(text.lower())), lambda new: map(len, self.library.encode_batch(new, add_special_tokens=False)))
+        frequency: Counter = Counter()
+        at = 0
+        while at < len(text):  # no pre-token holds or spans a space, and no character composes with one
+            end = text.rfind(" ", at + 1, at + PART) if len(text) - at > PART else len(text)
+            end = end if end > 0 else text.find(" ", at + PART)
+            end = end if end > 0 else len(text)
+            piece = self.library.normalizer.normalize_str(text[at:end])
+            # as bytes, since the library spells them in byte characters
+            frequency.update(w.encode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece))
+            at = end
+        return self._sum(frequency, lambda new: [len(self.library.model.tokenize(w.decode())) for w in new])
+
+    def _sum(self, frequency: Counter, count: Callable) -> int:
+        """Frequencies times tokens, joined through the dictionary."""
         known = self.known
         new = [w for w in frequency if w not in known]
         if new:
             if len(known) + len(new) > HELD:
                 known.clear()
                 new = list(frequency)
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = len(e)
+            for w, n in zip(new, count(new), strict=True):
+                known[w] = n
         return sum(n * known[w] for w, n in frequency.items())
 
 
