@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from churnscope.llm import mixing, pieces, queries
+from churnscope.llm import mixing, pieces, quality, queries, toxicity
 from tests.llm.helpers import SF_SMALL, frame, shingles, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -114,3 +114,78 @@ def test_near_copies(spark, repeated):
         stays = [k for k in group if k in left]
         assert len(stays) == 1 and (len(group) == 1 or rows[stays[0]][0] == min(rows[k][0] for k in group))
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+EXTRA = ", score double, position double, twin int, copy int, label int, key string, row int"
+
+
+def corpus(spark, folder):
+    """A small corpus with nulls, repeated ids, ties and columns of names that stages use; written as tables."""
+    rng = random.Random(9)
+    plain = lambda n=40: " ".join(rng.choice("river stone field bread cloud walks north paper seven light".split()) for _ in range(n))
+    bad = lambda: plain() + " blarghoid $$$ ### !!! @@@ " * 3
+    rows = [(i, bad() if i % 5 == 0 else plain(20 + i % 30), "en", rng.choice(["a", "b", None]), i) for i in range(300)]
+    rows += [(7, None, None, "a", None), (7, "a b", "en", "b", 3), (7, "", "en", "b", 0), (None, None, None, None, None), (None, plain(), "en", "a", 1),
+             (11, rows[11][1], "en", rows[11][3], 11), (301, rows[12][1], "en", "b", 9), (302, rows[12][1] + " more", "en", "a", 9)]
+    frame(spark, rows, DOCS + EXTRA).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, int(i % 5 == 0), int(i % 5 != 0)) for i in range(300)]
+    frame(spark, labels, "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def counted(df, columns=corpus_pipeline.COLUMNS):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("stage,model,keeps", [
+    (corpus_pipeline.drop_toxic, toxicity, lambda score: score < toxicity.THRESHOLD), (corpus_pipeline.drop_poor, quality, lambda score: score >= 0.5)])
+def test_classifier_stages_lose_no_other_row(spark, tmp_path, stage, model, keeps):
+    folder = corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    fitted = model.fit(docs, queries.table(spark, folder, "labels"))
+    scores = {}
+    for r in model.scored(docs.select(*corpus_pipeline.COLUMNS), fitted).collect():
+        scores[tuple(r[c] for c in corpus_pipeline.COLUMNS)] = r["score"]
+    every = counted(docs)
+    assert set(scores) == set(every)
+    got = stage(spark, docs, folder)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert counted(got) == Counter({row: n for row, n in every.items() if keeps(scores[row])})
+    assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_mixing_and_encoding_stages(spark, tmp_path):
+    folder = corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = Counter()  # words per document and copy
+    for r in mixing.taken(docs).collect():
+        for copy in range(3):
+            n = min(r["size"], math.floor(r["target"]) - copy * r["source_size"] - r["before"])
+            want[r["doc_id"], r["source"], copy, n] += n > 0
+    mixed = corpus_pipeline.mix_sources(spark, docs, folder)
+    assert mixed.columns == [*corpus_pipeline.COLUMNS, *mixing.ORDER]
+    rows = mixed.collect()
+    assert Counter((r["doc_id"], r["source"], r["copy"], len(words_of(r["text"]))) for r in rows) == +want
+    texts = {(r["doc_id"], r["source"]): set() for r in rows}
+    for r in docs.filter("text is not null").collect():
+        texts.setdefault((r["doc_id"], r["source"]), set()).add(r["text"])
+    assert all(any(t.startswith(r["text"]) for t in texts[r["doc_id"], r["source"]]) for r in rows)
+    vocab = pieces.vocabulary(queries.tokenizer("piece_bpe_32k.model"))
+    place = lambda r: (r["doc_id"], r["position"], r["twin"], r["copy"])
+    got = corpus_pipeline.encode(spark, mixed, folder).collect()
+    for rank in (1, 2):
+        assert Counter((*place(r), vocab.decode(r["ids"])) for r in got if r["rank"] == rank) == Counter((*place(r), r["text"]) for r in rows)
+    for stage in (corpus_pipeline.mix_sources, corpus_pipeline.encode):
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    folder = corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/out/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/out/{name}")
+    want = Counter((r["doc_id"], r["position"], r["rank"], tuple(r["ids"])) for r in docs.collect())
+    assert want and Counter((r["doc_id"], r["position"], r["rank"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, folder).collect()) == want
+    ids = {r["doc_id"] for r in docs.collect()}
+    assert not ids & set(range(0, 300, 5)) and ids <= {None, *range(303)}
