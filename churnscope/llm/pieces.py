@@ -28,6 +28,7 @@ for reading ids back.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -326,8 +327,10 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k
     ends = np.append(starts[1:], n)
     total, down = _sums(flat)
     _, example, unit = np.unique((total[ends] - total[starts]) * down[starts], return_index=True, return_inverse=True)
+    del total, down, mark, begin, spelled
     lattice = Lattice(vocab, flat, starts[example], ends[example])
     bounds = np.searchsorted(starts, offsets)  # units of each text
+    del flat, starts, ends, example
     rows = np.repeat(np.arange(n_texts), np.diff(bounds))
     base = T.mix(keys ^ T.mix(np.array([seed + 1], dtype=_U))[0])
     place = (np.arange(len(unit)) - bounds[rows]).astype(_U) * _U(0xA24BAED4963EE407)
@@ -389,6 +392,7 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k
         new = np.concatenate([[True], layer.unit[1:] != layer.unit[:-1]])[:len(layer.unit)]
         first = np.where(new, lattice.start[unit[layer.unit]], np.concatenate([[0], lattice.to[layer.edges]])[:-1])
         ids, many = lattice.ids(layer.edges, first)
+        ids = ids.astype(np.int32)
         cut = np.concatenate([[0], np.cumsum(many)])[layer.cuts]
         with np.errstate(divide="ignore", over="ignore"):
             score = np.log(-np.expm1(-np.exp(np.minimum(layer.log_p - kappa[layer.text], 700))))
@@ -440,9 +444,15 @@ def sampled(docs: DataFrame, key: str, text: str, path: str, k: int = 2, seed: i
                 for i in range(0, len(rows), 2_000):
                     rest = [c.take(pa.array(of[i:i + 2_000])) for c in b.columns[3:]]
                     yield pa.RecordBatch.from_arrays([packed(c) for c in zip(*rows[i:i + 2_000], strict=True)] + rest, [*names, *also])
+                rows = found = ids = held = texts = None
+                trim()
 
     from pyspark.sql.types import StructType
 
+    def trim() -> None:
+        """Gives the freed arrays of a slice back to the system, where the C library can."""
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
     arrow_types = {"key": pa.int64(), "rank": pa.int32(), "ids": pa.list_(pa.int32())}
     schema = StructType(StructType.fromDDL(shape).fields + given.schema.fields[3:])
 
