@@ -27,7 +27,7 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
-def with_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def with_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose id is (left_semi) or is not (left_anti) among the distinct ``ids``.
 
     The ids are broadcast only when counted to be at most ``BROADCAST_IDS``;

@@ -109,8 +109,8 @@ def _times(a: int, b: int) -> np.uint64:
 def _sums(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(flat)
     total = np.zeros(n + 1, dtype=_U)
-    np.cumsum(_SPELL[flat] * T._power("up", n), out=total[1:])
-    return total, T._power("down", n + 1)
+    np.cumsum(_SPELL[flat] * T.power("up", n), out=total[1:])
+    return total, T.power("down", n + 1)
 
 
 _SPELL = T.mix(np.arange(1, 257, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))  # unlike the word hashes, keeps case

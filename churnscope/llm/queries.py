@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnscope.llm import chat, fingerprints, jaccard, mixing, nearest, pages, pieces, quality, token_counts, toxicity
+from churnscope.llm import (
+    chat,
+    divergence,
+    fingerprints,
+    interactions,
+    jaccard,
+    mixing,
+    nearest,
+    pages,
+    pieces,
+    quality,
+    repeats,
+    token_counts,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,9 +89,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_jaccard_join, op3_sentencepiece, op4_toxicity, op5_html_extraction, op6_chat_formatting,
-    op7_token_counts, op8_exact_top_k, op9_source_mixing, op9_training_order, op10_quality)}
+    op7_token_counts, op8_exact_top_k, op9_source_mixing, op9_training_order, op10_quality, op11_suffix_dedup,
+    op12_source_divergence, op13_filter_interactions)}
 
 ORACLES: dict[str, str] = {"op6_chat_formatting": chat.SQL, "op8_exact_top_k": nearest.SQL, "op9_source_mixing": mixing.SQL,
-                           "op9_training_order": mixing.CURRICULUM_SQL}
+                           "op9_training_order": mixing.CURRICULUM_SQL, "op12_source_divergence": divergence.SQL,
+                           "op13_filter_interactions": interactions.SQL}

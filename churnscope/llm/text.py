@@ -39,12 +39,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _BASE)[LOWER]
+#: A number for each byte, and the same with A-Z lower-cased.
+BYTES = mix(np.arange(1, 257, dtype=_U) * _BASE)
+_BYTE = BYTES[LOWER]
 
 _powers = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
     """The first n powers of the base (or of its inverse) modulo 2^64."""
     have = _powers[kind]
     if len(have) < n:
@@ -86,13 +88,13 @@ def slices(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, pa.Array
         at = to
 
 
-def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, words per text)."""
+def word_spans(flat: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, words per text); words are runs of bytes that are no ``separator``."""
     n = len(flat)
     if not n:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(len(offsets) - 1, dtype=np.int64)
-    word = ~SEPARATOR[flat]
+    word = ~separator[flat]
     edge = np.zeros(n + 1, dtype=bool)  # a text begins here
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
@@ -112,8 +114,8 @@ def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, dtype=_U)
     total = np.zeros(len(flat) + 1, dtype=_U)
-    np.cumsum(_BYTE[flat] * _power("up", len(flat)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("down", len(flat))[starts]
+    np.cumsum(_BYTE[flat] * power("up", len(flat)), out=total[1:])
+    h = (total[ends] - total[starts]) * power("down", len(flat))[starts]
     return mix(h + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
 
 
