@@ -20,9 +20,12 @@ segments count together before anything gathers them, and the bytes of each are
 fetched once, from one of the texts that have it; the index holds a segment
 that occurs more than once as two copies.  Segments are dealt by minimum to
 indexes of about ``CHUNK`` bytes.  Where the segments of one minimum have more
-than ``MOST`` bytes, as around a passage in countless documents, they are cut
-in the same way again by longer grams, up to the window itself, where all that
-share a minimum are equal.
+than ``MOST`` bytes, as around a passage in countless documents, each is first
+laid against one of them: the gram that has the minimum aligns the two, and
+windows within the bytes that they share around it are repeats.  Windows beyond
+those bytes equal none that was found so, so only the ends that stick out go on;
+they are cut in the same way again by longer grams, up to the window itself,
+where all that share a minimum are equal.
 
 Everything is keyed by content, as two 64-bit hashes of a text, and marks of a
 segment come back to all its places by a join, so exact copies are never
@@ -44,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm.frames import kept, with_ids
-from churnscope.llm.text import BYTES, mix, power, raw, slices
+from churnscope.llm.text import BYTES, mix, power, raw, slices, tidy
 
 WIDTH = 400
 #: Bytes of the grams whose minimum deals out the segments: the first, and those for what is too large.
@@ -190,9 +193,16 @@ def segments(flat: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarr
 
 
 def _cut(gram: int):
-    """Segments of texts (a, b, n, body), as arrays a text."""
+    """Segments of texts (a, b, n, body), as arrays a text; equal texts of a batch are one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            a, b, n = (batch.column(i).to_numpy() for i in range(3))
+            order = np.lexsort((b, a))
+            new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[:len(order)]
+            first = order[new]
+            many = np.bincount(np.cumsum(new) - 1, n[order], minlength=len(first)).astype(np.int64)
+            batch = pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(many), batch.column(3).take(pa.array(first))],
+                                               ["a", "b", "n", "body"])
             for at, part in slices(batch.column(3).cast(pa.large_binary())):
                 keys, prints, start, many, own, each = segments(*raw(part), gram)
                 bounds = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
@@ -269,6 +279,81 @@ def _indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _marks(pa.Table.from_batches(held))
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _against(gram: int):
+    """Segments (key, print, n, own, body) laid against their minimum's first one (ref_print, ref).
+
+    Gives (key, print, part, off, n, body, lo, hi, ref_print, ref_lo, ref_hi):
+    the windows [lo, hi) that equal those at [ref_lo, ref_hi) there, as part -1,
+    and what goes on, as parts 0 and 1 at offset off.
+    """
+    def place(key: int, body: np.ndarray) -> int:
+        total = np.zeros(len(body) + 1, dtype=_U)
+        np.cumsum(BYTES[body] * power("up", len(body)), out=total[1:])
+        count = len(body) - gram + 1
+        h = mix((total[gram:] - total[:count]) * power("down", len(body))[:count])
+        return int(np.flatnonzero(h == np.int64(key).view(_U))[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, int] = {}
+        for batch in batches:
+            out = []
+            for key, mark, n, own, body, ref_mark, ref in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own or n > 1 or ref is None or mark == ref_mark:
+                    out.append((key, mark, 0, 0, n, body, None, None, None, None, None))
+                    continue
+                if key not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[key] = place(key, np.frombuffer(ref, np.uint8))
+                at, own_at = known[key], body.find(ref[known[key]:known[key] + gram])
+                x, y = np.frombuffer(body, np.uint8), np.frombuffer(ref, np.uint8)
+                left = _shared(x[:own_at][::-1], y[:at][::-1]) if own_at >= 0 else 0
+                right = _shared(x[own_at:], y[at:]) if own_at >= 0 else 0
+                many = len(body) - WIDTH + 1
+                if left + right < WIDTH:
+                    out.append((key, mark, 0, 0, n, body, None, None, None, None, None))
+                    continue
+                lo, hi = own_at - left, own_at + right - WIDTH + 1
+                out.append((key, mark, -1, 0, n, None, lo, hi, ref_mark, at - left, at + right - WIDTH + 1))
+                if lo:
+                    out.append((key, mark, 0, 0, n, body[:lo + WIDTH - 1], None, None, None, None, None))
+                if hi < many:
+                    out.append((key, mark, 1, hi, n, body[hi:], None, None, None, None, None))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            names = ["key", "print", "part", "off", "n", "body", "lo", "hi", "ref_print", "ref_lo", "ref_hi"]
+            for i in range(0, len(out), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i:i + 4096], strict=True), types, strict=True)], names)
+
+    return tidy(run)
+
+
+def _large(bodies: DataFrame, level: int) -> DataFrame:
+    """(key, print, ranges) of the segments (key, print, n, own, body) of minima with more than ``MOST`` bytes."""
+    bodies = kept(bodies)
+    ref = bodies.filter(~F.col("own")).groupBy("key").agg(F.min(F.struct("print", "body")).alias("r")).select(
+        "key", F.col("r.print").alias("ref_print"), F.col("r.body").alias("ref"))
+    laid = kept(bodies.join(ref, "key", "left").select("key", "print", "n", "own", "body", "ref_print", "ref").mapInArrow(
+        _against(LEVELS[level]), "key long, print long, part int, off int, n long, body binary, lo int, hi int, "
+        "ref_print long, ref_lo int, ref_hi int"))
+    both = laid.filter("part = -1")
+    shared = both.select("key", "print", F.struct("lo", "hi").alias("r")).union(
+        both.select("key", "ref_print", F.struct("ref_lo", "ref_hi").alias("r")).distinct())
+    part = F.xxhash64("print", "part")
+    left = laid.filter("part >= 0").withColumn("b", part)
+    inner = repeated_windows(left.select(F.col("key").alias("a"), "b", "n", "body"), level + 1)
+    back = left.select(F.col("key").alias("a"), "b", "print", "off").join(inner, ["a", "b"]).select(
+        F.col("a").alias("key"), "print", F.explode(F.transform("ranges", lambda r: F.struct(
+            (r.lo + F.col("off")).alias("lo"), (r.hi + F.col("off")).alias("hi")))).alias("r"))
+    return shared.union(back).groupBy("key", "print").agg(F.collect_set("r").alias("ranges"))
+
+
 def repeated_windows(texts: DataFrame, level: int = 0) -> DataFrame:
     """(a, b, ranges): starts [lo, hi) of the windows of each text that start elsewhere too.
 
@@ -276,7 +361,7 @@ def repeated_windows(texts: DataFrame, level: int = 0) -> DataFrame:
     there are of it, and its bytes; a content may come in several rows.
     """
     gram, final = LEVELS[level], LEVELS[level] == WIDTH
-    cut = kept(texts.select("a", "b", "n", "body").mapInArrow(_cut(gram), SEGMENTS))
+    cut = kept(texts.select("a", "b", "n", "body").mapInArrow(tidy(_cut(gram)), SEGMENTS))
     rows = cut.select("a", "b", "n", F.explode(F.arrays_zip("keys", "prints", "starts", "many", "own")).alias("s")).select(
         "a", "b", "n", F.col("s.keys").alias("key"), F.col("s.prints").alias("print"), F.col("s.starts").alias("start"),
         F.col("s.many").alias("many"), F.col("s.own").alias("own"))
@@ -287,24 +372,22 @@ def repeated_windows(texts: DataFrame, level: int = 0) -> DataFrame:
     strings = F.least("copies", F.lit(2))
     again = each.groupBy("key").agg(F.sum(strings * F.col("from.size")).alias("bytes"),
                                     F.sum(strings + F.col("own").cast("int")).alias("total")).filter("total > 1").drop("total")
-    wanted = kept(each.join(again, "key").select("key", "print", strings.cast("int").alias("copies"), "from", "copies", "bytes").toDF(
-        "key", "print", "copies", "from", "all", "bytes"))
+    wanted = kept(each.join(again, "key").select("key", "print", strings.cast("int").alias("copies"), "from", "own", "bytes"))
     lists = kept(wanted.groupBy(F.col("from.a").alias("a"), F.col("from.b").alias("b")).agg(F.collect_list(F.struct(
         F.col("from.start").alias("start"), F.col("from.size").alias("size"), "key", "print", "copies")).alias("wanted")))
     owners = with_ids(texts.select("a", "b", "body"), lists.select("a", "b"), ["a", "b"])
     owners = owners.groupBy("a", "b").agg(F.first("body").alias("body"))
-    bodies = owners.join(lists, ["a", "b"]).select("body", "wanted").mapInArrow(_bodies, "key long, print long, copies int, body binary")
+    bodies = owners.join(lists, ["a", "b"]).select("body", "wanted").mapInArrow(tidy(_bodies), "key long, print long, copies int, body binary")
     marks = None
     if not final:
-        large = wanted.filter(F.col("bytes") > MOST).select("key", "print", F.col("all").alias("n"))
+        large = wanted.filter(F.col("bytes") > MOST)
         if not large.isEmpty():
             bodies = kept(bodies)
             over = kept(large.select("key").distinct())
-            inner = with_ids(bodies, over, "key").join(large, ["key", "print"]).select(
-                F.col("key").alias("a"), F.col("print").alias("b"), "n", "body")
-            marks = repeated_windows(inner, level + 1).toDF("key", "print", "ranges")
+            marks = _large(with_ids(bodies, over, "key").join(large.select("key", "print", "own"), ["key", "print"]).select(
+                "key", "print", F.col("copies").cast("long").alias("n"), "own", "body"), level)
             bodies = with_ids(bodies, over, "key", "left_anti")
-    found = bodies.repartition("key").sortWithinPartitions("key").mapInArrow(_indexes, f"key long, print long, ranges {RANGES}")
+    found = bodies.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_indexes), f"key long, print long, ranges {RANGES}")
     found = kept(found if marks is None else found.unionByName(marks))
     at = F.col("start")
     shifted = F.array(F.struct(at.alias("lo"), (at + F.col("many")).alias("hi"))) if final else F.transform(

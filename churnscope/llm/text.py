@@ -9,7 +9,8 @@ whole, so memory is bounded by the longest text plus ``CHUNK`` bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, giving what it freed back to the system at its end.
+
+    Python workers live on between tasks and stages, and their C library and
+    Arrow's pool keep freed memory, which then adds to that of later stages.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return task
+
+
+def release() -> None:
+    for kind, have in _powers.items():
+        _powers[kind] = have[:CHUNK].copy() if len(have) > CHUNK else have
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser, so equal inputs and only those stay equal."""
     x = x ^ (x >> _U(30))
