@@ -50,9 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        smallest = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
-            "node", F.least("node", "near").alias("to"))
-        # a node's target may itself point on: follow it once more
+        smallest = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
+            "node", F.least("node", "near").alias("to")))
+        # a node's target may itself point on: follow it once more; Spark splits the rows of a target that many point to
         onward = smallest.select(F.col("node").alias("to"), F.col("to").alias("next"))
         step = kept(smallest.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
         if labels is None:

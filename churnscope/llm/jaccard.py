@@ -48,6 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnscope.functions.sequence import prefix_sum
 from churnscope.llm import text as T
 from churnscope.llm.frames import components, kept, with_ids
 
@@ -61,6 +62,8 @@ SMALL = 8
 FEW = 8
 #: index entries per bucket, and members per block of a large group
 BUCKET, BLOCK = 400_000, 1_024
+#: bytes of sketches that are compared at a time
+SCREEN = 1 << 25
 
 _U = np.uint64
 
@@ -190,7 +193,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 sketch.append(parity(s).tobytes() if len(s) > 2 else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
                                               pa.array(sketch, pa.binary())], ["doc_id", "n", "key", "sketch"])
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, sketch binary")
+    return docs.mapInArrow(T.tidy(run), "doc_id long, n long, key binary, sketch binary")
 
 
 def _shared(docs: DataFrame, reps: DataFrame) -> np.ndarray:
@@ -216,7 +219,7 @@ def _shared(docs: DataFrame, reps: DataFrame) -> np.ndarray:
                     size = 0
         yield from out()
 
-    found = (with_broadcast(docs, picked).select("text").mapInArrow(run, "token long, c long").groupBy("token")
+    found = (with_broadcast(docs, picked).select("text").mapInArrow(T.tidy(run), "token long, c long").groupBy("token")
              .agg(F.sum("c").alias("c")).filter(F.col("c") >= SHARED_AT).orderBy(F.desc("c"), "token").limit(MAX_SHARED)
              .select("token").toPandas())
     return np.sort(found["token"].to_numpy().astype(np.int64).view(_U))
@@ -274,7 +277,7 @@ def _index(docs: DataFrame, reps: DataFrame, shared: np.ndarray, buckets: int) -
                     held, nodes, size = [], [], 0
         yield from out()
 
-    return docs.mapInArrow(run, "bucket long, entries binary, owners binary, nodes binary")
+    return docs.mapInArrow(T.tidy(run), "bucket long, entries binary, owners binary, nodes binary")
 
 
 def _groups(index: DataFrame, parts: int) -> DataFrame:
@@ -318,7 +321,7 @@ def _groups(index: DataFrame, parts: int) -> DataFrame:
         yield from out()
 
     return (index.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
-            .mapInArrow(run, "members array<long>").distinct())
+            .mapInArrow(T.tidy(run), "members array<long>").distinct())
 
 
 def _screened(pairs: DataFrame, described: DataFrame) -> DataFrame:
@@ -334,7 +337,7 @@ def _screened(pairs: DataFrame, described: DataFrame) -> DataFrame:
                                       F.col("sketch").alias(f"s_{x}"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
             .filter("k_a <> k_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")  # equal sets are one class already
-            .select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long"))
+            .select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(T.tidy(run), "a long, b long"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -363,11 +366,69 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return (left.union(right).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-            .mapInArrow(run, "a long, b long").distinct())
+            .mapInArrow(T.tidy(run), "a long, b long").distinct())
+
+
+class _Block:
+    """Rows of one block of a large group, in order of their ids, and their sketches folded to the shortest one's length."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        number = lambda c: rows.column(c).to_numpy()
+        order = np.argsort(number("node"), kind="stable")
+        self.own, self.node, self.n, self.label = (number(c)[order].astype(np.int64) for c in ("own", "node", "n", "label"))
+        flat, ends = T.raw(rows.column("sketch").chunk(0).cast(pa.large_binary()))
+        self._flat, self._from, self._length = flat, ends[:-1][order], np.diff(ends)[order]
+        self.least = int(self._length.min())
+        self.folded = np.empty((len(order), self.least), dtype=np.uint8)
+        for length in np.unique(self._length).tolist():
+            at = np.flatnonzero(self._length == length)
+            for part in np.array_split(at, -(-len(at) * length // SCREEN)):
+                wide = flat[self._from[part, None] + np.arange(length)]
+                self.folded[part] = np.bitwise_xor.reduce(wide.reshape(len(part), -1, self.least), axis=1)
+        self._lists = {c: (rows.column(c).chunk(0).fill_null([]), order) for c in ("vain", "before")}
+
+    def sketch(self, i: int) -> np.ndarray:
+        return self._flat[self._from[i]:self._from[i] + self._length[i]]
+
+    def members(self, column: str, i: int) -> frozenset[int]:
+        values, order = self._lists[column]
+        return frozenset(values[int(order[i])].as_py())
+
+    def pairs(self, within: bool, limit: int) -> list[tuple[int, int]]:
+        """Pairs that may be similar and lie in two components; see ``_across``."""
+        own, node, n, label = self.own, self.node, self.n, self.label.copy()
+        found, named, lists = [], {}, {}
+
+        def known(column: str, i: int) -> frozenset[int]:
+            if (column, i) not in lists:
+                lists[column, i] = self.members(column, i)
+            return lists[column, i]
+
+        step = max(1, min(64, SCREEN // (len(node) * self.least)))  # rows of the matrix of pairs at a time
+        for low in range(0, len(node), step):
+            x = slice(low, low + step)
+            ok = ((label[x, None] != label) & (node[x, None] < node) & (within | (own[x, None] != own))
+                  & (4 * np.minimum(n[x, None], n) >= 3 * np.maximum(n[x, None], n)))
+            i, k = np.nonzero(ok)
+            i += low
+            close = np.bitwise_count(self.folded[i] ^ self.folded[k]).sum(axis=1) <= (n[i] + n[k]) // 7
+            for i, k in zip(i[close].tolist(), k[close].tolist(), strict=True):
+                a, b = sorted((int(label[i]), int(label[k])))
+                if a == b or int(node[k]) in known("vain", i) or not known("before", i).isdisjoint(known("before", k)):
+                    continue
+                if not may_be_similar(self.sketch(i), int(n[i]), self.sketch(k), int(n[k])):
+                    continue
+                found.append((int(node[i]), int(node[k])))
+                named[a, b] = named.get((a, b), 0) + 1
+                if named[a, b] == limit:
+                    label[label == b] = a
+        return found
 
 
-def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed: DataFrame, limit: int) -> DataFrame:
-    """Screened pairs (a, b) that may join components inside large groups that span several of them.
+def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed: DataFrame, limit: int,
+            only: DataFrame | None = None) -> DataFrame:
+    """Screened pairs (a, b, g) that may join components inside large groups g that span several of them.
 
     With a ``limit`` a block names so many pairs for two components and then
     takes them as one, members in order of id: groups of the same documents
@@ -375,9 +436,16 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed:
     With 0 it names all.  Pairs that were verified in vain (``failed``) are not
     named again.  A pair that shares several of these groups is named in the
     smallest of them, and again in a later one only if neither of their FEW
-    smallest groups is common to both; such repeats are dropped at the end.
+    smallest groups is common to both; the caller drops such repeats.
+
+    ``only`` names the groups that gave a pair before.  The others give none
+    later either: components only grow, and the screen of a pair is the same
+    in every group, so what it held back there it would hold back again.
     """
-    member = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
+    member = groups.select(F.xxhash64("members").alias("g"), "members")
+    if only is not None:
+        member = with_ids(member, only, "g")
+    member = member.select("g", F.explode("members").alias("node"))
     member = member.join(labels, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label"))
     spans = kept(member.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
                  .filter("low <> high").select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
@@ -388,56 +456,37 @@ def _across(groups: DataFrame, labels: DataFrame, described: DataFrame, failed:
         "node", "label", "group.g", "group.blocks", F.expr(f"slice(all, 1, least(at, {FEW}))").alias("before"))
     own = F.pmod(F.xxhash64("node", "g"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    known = failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("vain"))
+    known = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("vain"))
     rows = placed.join(known, "node", "left").withColumn("own", own).withColumn("other", other).join(
         described.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").select(
         "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch",
         "vain", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, []
+        held: list[pa.RecordBatch] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            if len(block) < 2:
+            if sum(b.num_rows for b in held) < 2:
                 return
-            block.sort(key=lambda r: r[1])
-            own, node, n, label = (np.array([r[k] for r in block], dtype=np.int64) for k in range(4))
-            least = min(len(r[4]) for r in block)
-            folded = np.stack([np.bitwise_xor.reduce(r[4].reshape(-1, least), axis=0) for r in block])
-            within = now[1] == now[2]
-            pairs, named, at, mine = set(), {}, -1, frozenset()
-            for low in range(0, len(block), 64):  # rows of the block's matrix of pairs
-                x = slice(low, low + 64)
-                ok = ((label[x, None] != label) & (node[x, None] < node) & (within | (own[x, None] != own))
-                      & (4 * np.minimum(n[x, None], n) >= 3 * np.maximum(n[x, None], n)))
-                i, k = np.nonzero(ok)
-                i += low
-                close = np.bitwise_count(folded[i] ^ folded[k]).sum(axis=1) <= (n[i] + n[k]) // 7
-                for i, k in zip(i[close].tolist(), k[close].tolist(), strict=True):
-                    a, b = sorted((int(label[i]), int(label[k])))
-                    if a == b or int(node[k]) in block[i][5]:
-                        continue
-                    if i != at:
-                        at, mine = i, frozenset(block[i][6].tolist())
-                    if not mine.isdisjoint(block[k][6].tolist()) or not may_be_similar(block[i][4], int(n[i]), block[k][4], int(n[k])):
-                        continue
-                    pairs.add((int(node[i]), int(node[k])))
-                    named[a, b] = named.get((a, b), 0) + 1
-                    if named[a, b] == limit:
-                        label[label == b] = a
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+            g, i, j = (held[0].column(c)[0].as_py() for c in range(3))
+            found = _Block(pa.Table.from_batches(held)).pairs(i == j, limit)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                     pa.array([g] * len(found), pa.int64())], ["a", "b", "g"])
 
         for b in batches:
-            values, ends = b.column(9).values.to_numpy(zero_copy_only=False), b.column(9).offsets.to_pylist()
-            for r, (g, i, j, own, node, label, n, sketch, vain) in enumerate(zip(*[c.to_pylist() for c in b.columns[:9]], strict=True)):
-                if (g, i, j) != now:
+            block = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            cuts = np.concatenate([[0], np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1, [b.num_rows]]).tolist()
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and to > at and tuple(block[:, at]) != tuple(held[-1].column(c)[0].as_py() for c in range(3)):
                     yield from out()
-                    now, block = (g, i, j), []
-                block.append((own, node, n, label, np.frombuffer(sketch, np.uint8), set(vain or ()), values[ends[r]:ends[r + 1]].copy()))
+                    held = []
+                if to > at:
+                    held.append(b.slice(at, to - at))
         yield from out()
 
-    return (rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long").distinct())
+    return (rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(T.tidy(run), "a long, b long, g long").distinct())
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -465,11 +514,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     same = described.filter("doc_id is not null").join(classes, "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = kept(links.union(same).filter("a <> b"))
     labels = components(edges)
-    failed = links.limit(0)
+    failed, only = links.limit(0), None
     for limit in (1, 0):  # a spanning pair of each two components first; then all pairs of those that did not join
-        late = kept(_across(large, labels, one, failed, limit))
-        if late.isEmpty():
+        named = kept(_across(large, labels, one, failed, limit, only))
+        if named.isEmpty():
             break
+        only = kept(named.select("g").distinct())
+        late = kept(named.select("a", "b").distinct())
         found = kept(_verified(late, docs))
         failed = late.join(found, ["a", "b"], "left_anti").select("a", "b")
         edges = kept(edges.union(found))
@@ -477,3 +528,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return described.select("doc_id", F.col("n").alias("n_shingles")).join(
         labels.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of each group of linked texts: that of the smallest doc_id.
+
+    Rows of a repeated doc_id are decided one by one, by their own texts: only
+    texts that are equal or linked make a group, so an id keeps a row for each
+    of its texts that links to nothing, and null, empty or blank texts, which
+    link to nothing, never stand for another.  Of several rows of a group's
+    smallest doc_id one is picked by a hash of the row.  Rows without an id
+    link nothing and stay.
+    """
+    names = docs.columns
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = kept(jaccard_components(docs).filter("doc_id <> component_id").select("doc_id"))
+        return with_ids(docs, gone, "doc_id", "left_anti").select(*names)
+    # each row becomes a document of its own, numbered in order of the ids
+    rows = docs.filter("doc_id is not null").select(F.struct(*names).alias("row")).select(
+        "row", F.col("row.doc_id").alias("id"), F.xxhash64("row").alias("hash"), F.lit(1).alias("one"))
+    rows = kept(prefix_sum(rows, ["id", "hash"], "one", "node"))
+    found = jaccard_components(rows.select(F.col("node").alias("doc_id"), "row.text"))
+    gone = kept(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("node")))
+    return with_ids(rows, gone, "node", "left_anti").select("row.*").union(docs.filter("doc_id is null").select(*names))
