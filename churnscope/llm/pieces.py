@@ -15,9 +15,15 @@ exp(log_prob - inclusion) weighs it in estimates.
 All random numbers are hashes of (seed, row key, place), so reruns agree.  No
 piece holds a space mark after another character, so the lattice is a chain of
 units (space marks and the characters up to the next one); a unit's lattice is
-built once per slice of texts, for all its occurrences.  Characters without a
-piece are spelled in byte pieces, as one edge.  Alternatives of a relative
-weight under about 1e-15 at their node count as absent.
+built once per slice of texts, for all its occurrences, and those of the units
+that a Python worker saw first and often stay with it (``HELD`` nodes at most).
+Characters without a piece are spelled in byte pieces, as one edge.  Draws
+resolve chances to 2^-36; the subspaces of A-star are kept in logarithms, and
+only empty ones are dropped, so k samples come wherever k segmentations exist.
+
+The model's settings must be those that the lattice assumes (a dummy prefix,
+white space kept, marks for spaces, characters as they are, byte fallback);
+another vocabulary raises.
 
 Defined cases: null and empty texts have one segmentation, of no pieces; a
 text with fewer than k segmentations gives all of them (inclusion 0); a null
@@ -41,6 +47,12 @@ from churnscope.llm import text as T
 
 TEMPERATURE = 4_000.0
 SLICE = 2 << 20
+#: nodes of lattices that a worker keeps, and the longest unit among them
+HELD, LONG = 500_000, 64
+#: bits of a chance in a draw
+BITS = 36
+#: a text on which a model's normalizer shows what it does
+PROBE = "a  b\tc ﬁÅ １"
 #: fixed value: scores below this mark pieces that the user set
 UNSCORED = -1e8
 _MARK = "▁"
@@ -59,6 +71,8 @@ class Vocabulary:
         text = [lib.id_to_piece(i) for i in plain]
         if any(_MARK in t.lstrip(_MARK) for t in text):
             raise ValueError("a piece holds a space mark inside; units can't be cut there")
+        if lib.normalize(PROBE) != _MARK + PROBE.replace(" ", _MARK):
+            raise ValueError("the model changes white space or characters, or adds no dummy prefix")
         spelled = [t.encode() for t in text]
         flat = np.frombuffer(b"".join(spelled), np.uint8)
         ends = np.cumsum([len(s) for s in spelled])
@@ -79,6 +93,12 @@ class Vocabulary:
             a = starts[ends - starts >= length]
             self.maybe[self._slot((total[a + length] - total[a]) * down[a])] = 1
         self.maybe[self._slot(self.hashes)] |= 2
+        # the piece of each slot; the few pieces that share a slot are searched for
+        self.piece = np.full(1 << 21, -1, dtype=np.int32)
+        slot = self._slot(self.hashes)
+        self.piece[slot] = np.arange(len(slot))
+        lost = slot[self.piece[slot] != np.arange(len(slot))]
+        self.maybe[lost] |= 4
         self.longest = max((len(s) for s in spelled), default=0)
         self.bytes = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int64)
         self.spelling = [b""] * n
@@ -86,15 +106,33 @@ class Vocabulary:
             self.spelling[i] = s
         for b, i in enumerate(self.bytes):
             self.spelling[i] = bytes([b])
+        # the same as one array, to spell many ids at once
+        self.spelt = np.frombuffer(b"".join(self.spelling), np.uint8)
+        self.size = np.array([len(s) for s in self.spelling], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.held: Lattice | None = None
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * _U(0x9FB21C651E98DF25)) >> _U(43)).astype(np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Places of the hashes among the pieces, -1 for none."""
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+    def find(self, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Places of the hashes, whose slots are given, among the pieces; -1 for none."""
+        at = self.piece[slot]
+        at = np.where(self.hashes[at] == h, at, -1)
+        again = np.flatnonzero((at < 0) & (self.maybe[slot] & 4 != 0))
+        if len(again):
+            own = np.minimum(np.searchsorted(self.hashes, h[again]), len(self.hashes) - 1)
+            at[again] = np.where(self.hashes[own] == h[again], own, -1)
+        return at
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that a sequence of ids spells, space marks included."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return np.zeros(0, dtype=np.uint8)
+        return self.spelt[np.repeat(self.begin[ids] - ends + size, size) + np.arange(ends[-1])]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids, as the library decodes it."""
@@ -139,13 +177,15 @@ class Lattice:
     ``start[u]`` and ``end[u]`` are a unit's first and last node.  ``first[v]``
     counts the edges before node v.  Per edge: ``to``, ``place`` (piece, or -1
     for a spelled character), ``log_p`` (given its node), ``log_rest`` (of the
-    node's other edges) and ``cut``, the sum of chances up to it plus the
-    node's number.  Per node: its likeliest edge, that one's chance and what
-    lies before it, so that most draws need no search.
+    node's other edges) and ``cut``, the sum of chances up to it in BITS bits
+    below the node's number.  Per node: its likeliest edge, that one's chance
+    and what lies before it, so that most draws need no search.  ``hashes``
+    name the units.  Nothing of a unit depends on the others in the set but its
+    places, so joined lattices give the same draws.
     """
 
-    def __init__(self, vocab: Vocabulary, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.vocab, size = vocab, ends - starts
+    def __init__(self, vocab: Vocabulary, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
+        self.vocab, size, self.hashes = vocab, ends - starts, hashes
         # nodes: the bytes of each unit and one more for its end
         self.start = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
         self.end = self.start + size
@@ -168,9 +208,10 @@ class Lattice:
             if not len(ok):
                 break
             h = (total[at[ok] + length] - base[ok]) * back[ok]
-            kind = vocab.maybe[vocab._slot(h)]
+            slot = vocab._slot(h)
+            kind = vocab.maybe[slot]
             hit = np.flatnonzero(kind & 2)
-            found = vocab.find(h[hit])
+            found = vocab.find(h[hit], slot[hit])
             hit, found = ok[hit[found >= 0]], found[found >= 0]
             low.append(node[hit])
             to.append(node[hit] + length)
@@ -184,12 +225,12 @@ class Lattice:
         place.append(np.full(len(lone), -1))
         low, to, place = (np.concatenate(x) for x in (low, to, place))
         order = np.argsort(low, kind="stable")
-        low, self.to, self.place = low[order], to[order], place[order].astype(np.int32)
+        low, self.to, self.place = low[order], to[order].astype(np.int32), place[order].astype(np.int32)
         weight = np.where(self.place >= 0, vocab.weights[self.place], vocab.unknown)
         own = _first_of(low)  # first edge of each node that has some
         degree = np.diff(np.append(own, len(low)))
         self.first = np.searchsorted(low[own], np.arange(nodes + 1))
-        self.first = np.append(own, len(low))[self.first]
+        self.first = np.append(own, len(low))[self.first].astype(np.int32)
         # backward sums, by distance of a node to its unit's end
         beta = np.zeros(nodes)
         gap = (np.repeat(self.end, size + 1) - np.arange(nodes))[low[own]]
@@ -208,18 +249,34 @@ class Lattice:
         self.log_p[alone] = 0.0
         p = np.exp(self.log_p)
         run = np.cumsum(p)
-        before = run - p - np.repeat((run - p)[own], degree)
-        self.cut = np.minimum(before + p, 1.0)
-        self.cut[np.append(own[1:], len(low)) - 1] = 1.0
-        self.cut += low
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.where(alone, -np.inf, np.log(np.maximum(1 - p, 0)))
+        before = np.maximum(run - p - np.repeat((run - p)[own], degree), 0)
+        self.cut = (low << BITS) + (np.minimum(before + p, 1.0) * (1 << BITS)).astype(np.int64)
+        last = np.append(own[1:], len(low)) - 1
+        self.cut[last] = (low[last] + 1) << BITS
         best = np.maximum.reduceat(p, own)
         is_best = np.flatnonzero(p == np.repeat(best, degree))
         chosen = is_best[_first_of(low[is_best])]
-        self.best, self.chance, self.ahead = np.zeros(nodes, dtype=np.int64), np.zeros(nodes), np.zeros(nodes)
+        # the rest of the likeliest edge is summed, as 1 - p would lose small ones
+        others = p.copy()
+        others[chosen] = 0
+        rest = 1 - p
+        rest[chosen] = np.add.reduceat(others, own)
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.where(alone, -np.inf, np.log(np.maximum(rest, 0)))
+        self.best, self.chance, self.ahead = np.zeros(nodes, dtype=np.int32), np.zeros(nodes), np.zeros(nodes)
         self.best[low[chosen]], self.chance[low[chosen]], self.ahead[low[chosen]] = chosen, p[chosen], before[chosen]
 
+    def joined(self, other: Lattice) -> Lattice:
+        """Both sets of units as one, this one's first."""
+        both, nodes, edges = object.__new__(Lattice), len(self.byte), len(self.to)
+        both.vocab = self.vocab
+        for name, by in (("hashes", 0), ("byte", 0), ("place", 0), ("log_p", 0), ("log_rest", 0), ("chance", 0), ("ahead", 0),
+                         ("start", nodes), ("end", nodes), ("to", nodes), ("best", edges), ("cut", nodes << BITS)):
+            more = getattr(other, name)
+            setattr(both, name, np.concatenate([getattr(self, name), more + more.dtype.type(by) if by else more]))
+        both.first = np.concatenate([self.first[:-1], other.first + np.int32(edges)])
+        return both
+
     def draw(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Completes each walker from its node to its unit's end: (walker, edge) in walker and step order."""
         who, edges = [], []
@@ -234,7 +291,7 @@ class Lattice:
                 v = node[other]
                 x = u[other] - chance[other]
                 x = np.where(x < self.ahead[v], x, x + chance[other])
-                e = np.searchsorted(self.cut, v + x, "right")
+                e = np.searchsorted(self.cut, (v.astype(np.int64) << BITS) + (x * (1 << BITS)).astype(np.int64), "right")
                 edge[other] = np.minimum(np.maximum(e, self.first[v]), self.first[v + 1] - 1)
             who.append(active)
             edges.append(edge)
@@ -310,6 +367,38 @@ class _Layer:
         return value, place
 
 
+def _lattice(vocab: Vocabulary, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray,
+             many: np.ndarray) -> tuple[Lattice, np.ndarray]:
+    """A lattice of the distinct units, and each one's place there.
+
+    While the worker's own lattice has room, the units that the slice holds
+    more than once go into it; the others' is joined for this slice alone.
+    """
+    def known(lattice: Lattice) -> np.ndarray:
+        order = np.argsort(lattice.hashes)
+        at = order[np.minimum(np.searchsorted(lattice.hashes, hashes, sorter=order), len(order) - 1)]
+        return np.where(lattice.hashes[at] == hashes, at, -1)
+
+    def built(of: np.ndarray) -> Lattice:
+        return Lattice(vocab, flat, starts[of], ends[of], hashes[of])
+
+    if vocab.held is None or len(vocab.held.byte) < HELD:
+        place = known(vocab.held) if vocab.held is not None else np.full(len(hashes), -1)
+        room = HELD - (len(vocab.held.byte) if vocab.held is not None else 0)
+        new = np.flatnonzero((place < 0) & (many > 1) & (ends - starts <= LONG))
+        new = new[np.cumsum(ends[new] - starts[new] + 1) <= room]
+        if len(new):
+            vocab.held = built(new) if vocab.held is None else vocab.held.joined(built(new))
+    if vocab.held is None:
+        return built(np.arange(len(hashes))), np.arange(len(hashes))
+    place = known(vocab.held)
+    rest = np.flatnonzero(place < 0)
+    if not len(rest):
+        return vocab.held, place
+    place[rest] = len(vocab.held.hashes) + np.arange(len(rest))
+    return vocab.held.joined(built(rest)), place
+
+
 def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int, seed: int = 0,
                  ) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k samples (ids, log_prob, perturbed value, inclusion), best first; keys are 64-bit."""
@@ -326,9 +415,11 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k
     starts = np.flatnonzero(begin)
     ends = np.append(starts[1:], n)
     total, down = _sums(flat)
-    _, example, unit = np.unique((total[ends] - total[starts]) * down[starts], return_index=True, return_inverse=True)
+    hashes, example, unit, many = np.unique((total[ends] - total[starts]) * down[starts], return_index=True, return_inverse=True,
+                                            return_counts=True)
     del total, down, mark, begin, spelled
-    lattice = Lattice(vocab, flat, starts[example], ends[example])
+    lattice, place = _lattice(vocab, flat, starts[example], ends[example], hashes, many)
+    unit = place[unit]
     bounds = np.searchsorted(starts, offsets)  # units of each text
     del flat, starts, ends, example
     rows = np.repeat(np.arange(n_texts), np.diff(bounds))
@@ -361,16 +452,17 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k
             layer = layers[of[i]]
             t = int(found[of[i]][1][i])
             e = int(layer.edges[t])
-            here = int(np.searchsorted(lattice.first, e, "right")) - 1  # the edge's node
+            here = int(np.searchsorted(lattice.first, np.int32(e), "right")) - 1  # the edge's node
             gone = taken.setdefault((int(of[i]), t), [e])
             choice = [x for x in range(lattice.first[here], lattice.first[here + 1]) if x not in gone]
-            p = np.exp(lattice.log_p[choice])
-            run = np.cumsum(p)
+            run = np.cumsum(np.exp(lattice.log_p[choice] - lattice.log_p[choice].max()))
             j = min(len(choice) - 1, int(np.searchsorted(run, u[i] * run[-1])))
             gone.append(choice[j])
-            rest = run[-1] - p[j]
-            layer.bound[t] = _truncated(layer.before[t:t + 1] + np.log(rest), value[i], again[i:i + 1])[0] if (
-                len(choice) > 1 and rest > 1e-15) else -np.inf
+            left = np.delete(lattice.log_p[choice], j)
+            layer.bound[t] = -np.inf
+            if len(left):
+                rest = left.max() + np.log(np.exp(left - left.max()).sum())
+                layer.bound[t] = _truncated(layer.before[t:t + 1] + rest, value[i], again[i:i + 1])[0]
             low = layer.cuts[np.searchsorted(layer.text, i)]
             at, last = int(layer.unit[t]), bounds[i + 1]
             edges.append((layer.edges[low:t], choice[j]))
@@ -469,7 +561,9 @@ def digest(vocab: Vocabulary, text: str, ids: np.ndarray, rank: int) -> tuple:
     """Number of pieces, a digest of the ids, and whether decoding them gives the text back."""
     import hashlib
 
-    back = vocab.decode(ids.tolist()) == text
+    # the ids must spell the text's bytes, with marks for its spaces; a mark of the text's own reads as a space
+    want = (_MARK + text.replace(" ", _MARK)).encode("utf-8", "replace") if text else b""
+    back = vocab.spell(ids).tobytes() == want and _MARK not in (text or "")
     return len(ids), hashlib.blake2b(ids.astype("<i4").tobytes(), digest_size=16).hexdigest(), back
 
 
