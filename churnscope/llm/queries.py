@@ -81,7 +81,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.ordered(table(spark, sf_dir, "documents"))
 
 
@@ -103,9 +103,9 @@ def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_jaccard_join, op3_sentencepiece, op4_toxicity, op5_html_extraction, op6_chat_formatting,
-    op7_token_counts, op8_exact_top_k, op9_source_mixing, op9_training_order, op10_quality, op11_suffix_dedup,
-    op12_source_divergence, op13_filter_interactions)}
+    op7_token_counts, op8_exact_top_k, op9_source_mixing, op10_quality, op11_suffix_dedup,
+    op12_source_divergence, op13_filter_interactions, training_order)}
 
 ORACLES: dict[str, str] = {"op6_chat_formatting": chat.SQL, "op8_exact_top_k": nearest.SQL, "op9_source_mixing": mixing.SQL,
-                           "op9_training_order": mixing.CURRICULUM_SQL, "op12_source_divergence": divergence.SQL,
+                           "training_order": mixing.CURRICULUM_SQL, "op12_source_divergence": divergence.SQL,
                            "op13_filter_interactions": interactions.SQL}

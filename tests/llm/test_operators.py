@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -94,6 +95,13 @@ def test_chat_round_trip(spark):
         assert digest[c]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
 
 
+def test_roles_come_back(spark):
+    roles = ["a\x00\x01b", "\\", "\\n", "\n", "\\\\n\n\\", "a\\\nb", "</s>\n[INST]", "\\\\", "", "n\\\\\\n"]
+    df = frame(spark, [(r,) for r in roles], "role string")
+    got = df.select("role", chat.unescape_role(chat.escape_role(df["role"])).alias("back"), chat.escape_role(df["role"]).alias("line")).collect()
+    assert all(r["role"] == r["back"] and "\n" not in r["line"] for r in got)
+
+
 def test_chat_fold(spark):
     log = [(1, 1, "message", 0, 0, "user", "hi"), (1, 2, "delta", 1, 0, "assistant", "Go"), (1, 3, "delta", 1, 0, "assistant", "od"),
            (1, 4, "regenerate", 1, 0, "assistant", None), (1, 6, "delta", 1, 0, "assistant", "e"), (1, 5, "delta", 1, 0, "assistant", "Fin"),
@@ -112,13 +120,25 @@ def test_mixing(spark):
     assert len(got) == 200 and sorted(r["size"] for r in got) == sorted(len(words_of(t)) for _, _, t in rows)
     for s in {r["source"] for r in got}:
         own = [r for r in got if r["source"] == s]
-        assert sum(r["taken"] for r in own) == math.floor(own[0]["target"])
-        assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+        # the document at the target is taken whole or not at all, whichever is nearer
+        assert abs(sum(r["taken"] for r in own) - math.floor(own[0]["target"])) <= max(r["size"] for r in own) / 2
+        assert all(r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in own)
     assert abs(sum({r["source"]: r["target"] for r in got}.values()) - sum(r["size"] for r in got)) < 1e-6
     made = mixing.mixed_documents(df).collect()
     assert sum(len(words_of(r["text"])) for r in made) == sum(r["taken"] for r in got)
     assert all(0 <= r["position"] <= 1 + 1e-9 for r in made)
+    assert Counter((r["doc_id"], r["text"]) for r in made) <= Counter({(i, t): 3 * n for (i, t), n in Counter((i, t) for i, _, t in rows).items()})
     assert mixing.taken(df.limit(0)).count() == 0
+    # the query's rows are those of the curriculum
+    copies = mixing.curriculum(df).collect()
+    want = Counter()
+    for r in mixing.mixed(df).collect():
+        assert (r["taken"] > 0) == (r["first_position"] is not None) and (r["first_position"] or 0) <= (r["last_position"] or 0)
+        want[r["doc_id"]] += r["taken"]
+    got = Counter()
+    for c in copies:
+        got[c["doc_id"]] += c["copy_words"]
+    assert got == +want
 
 
 def test_nearest_ties_and_invalid_rows(spark):
@@ -137,6 +157,22 @@ def test_nearest_ties_and_invalid_rows(spark):
     assert got == want
 
 
+def test_nearest_scores_beyond_doubles_and_longs(spark):
+    rng = np.random.default_rng(4)
+    for size in (300_000.0, 1e6, 1e12, 1e200):
+        rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+        rows += [(200 + i, [float(x) * size for x in rng.integers(-3, 4, 4)]) for i in range(40)] + [(400, [size] * 4), (450, [-size] * 4)]
+        df = frame(spark, rows, "vec_id long, embedding array<double>, beyond string")
+        got = {tuple(r) for r in nearest.top_k(df, "vec_id", "embedding", 50, 5).select("query_id", "rank", "vec_id", "score").collect()}
+        whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+        want = set()
+        for q, a in whole:
+            if q % 50 == 0:
+                best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:5]
+                want |= {(q, k, i, min(max(-s, -2**63), 2**63 - 1)) for k, (s, i) in enumerate(best, 1)}
+        assert got == want, size
+
+
 def test_pages(spark):
     model = pages.trained()
     html = ("<html><body><nav><a href=x>Menu</a></nav><article><h1>A &amp; B</h1><p>Some long enough text of the page, with a "
@@ -194,7 +230,6 @@ def test_sampled_frame(spark):
 
 @pytest.mark.parametrize("operator,fold,label", [(toxicity.toxicity, (3, 1), "toxic"), (quality.quality, (4, 2), "quality")])
 def test_classifiers(spark, operator, fold, label):
-    import zlib
     rng = random.Random(7)
     plain = lambda: " ".join(rng.choice(["river", "stone", "field", "bread", "cloud", "walks"]) for _ in range(40))
     bad = lambda: plain() + " blarghoid $$$ ### !!! @@@ " * 3
@@ -211,6 +246,19 @@ def test_classifiers(spark, operator, fold, label):
     assert len(none) == 603 and operator(df.limit(0), frame(spark, labels, f"doc_id long, {label} int")).count() == 0
 
 
+def test_samples_of_repeated_ids_are_bounded(spark, monkeypatch):
+    hot = spark.range(50_000).selectExpr("5L as doc_id", "concat('text ', id) as text").union(
+        spark.range(3000).selectExpr("id as doc_id", "concat('other ', id) as text"))
+    labels = spark.createDataFrame([(5, 1, 1), (5, 0, 0), (6, 1, 0)], "doc_id long, toxic int, quality int")
+    sample, _ = toxicity.examples(hot, labels)
+    assert sample.count() <= toxicity.MAX_POSITIVE + toxicity.MAX_UNLABELLED
+    assert sample.filter("doc_id = 5").count() <= 2
+    seen = []
+    monkeypatch.setattr(quality, "grow", lambda x, y: seen.append(len(x)))
+    quality.fit(hot, labels)
+    assert seen == [len([i for i in (5, 6) if zlib.crc32(str(i).encode()) % 4 != 2])]
+
+
 def test_sf_tables_are_read_whole(spark):
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     for name in ("op1_fingerprints", "op7_token_counts", "op9_source_mixing"):

@@ -8,7 +8,7 @@ from tests.llm.helpers import SF_CHECK
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{SF_CHECK}/{t}.parquet')")
     got = queries.QUERIES[name](spark, SF_CHECK)
     want = con.sql(queries.ORACLES[name])

@@ -23,6 +23,15 @@ def time_of(progress, weight):
     return (low + high) / 2
 
 
+def copies_of(r):
+    """Whole copies up to the target; the document there counts if that comes nearer."""
+    if not r["size"]:
+        return 0
+    passes, rest = divmod(math.floor(r["target"]), r["source_size"])
+    left = rest - r["before"]
+    return passes + (left > 0 and left >= r["size"] - left)
+
+
 def test_positions_invert_the_schedules(spark):
     rng = random.Random(11)
     rows = [(i % 60, "w " * rng.randint(0, 30), "en", rng.choice(["a", "b", "c", None]), 0) for i in range(150)]
@@ -31,11 +40,9 @@ def test_positions_invert_the_schedules(spark):
     got = mixing.ordered(docs).collect()
     want = Counter()
     for r in taken:
-        for copy in range(3):
-            n = min(r["size"], math.floor(r["target"]) - copy * r["source_size"] - r["before"])
-            if n > 0:
-                at = time_of((copy * r["source_size"] + r["before"]) / r["target"], int(r["weight"]))
-                want[r["doc_id"], r["source"], copy, n, round(at, 6)] += 1
+        for copy in range(copies_of(r)):
+            at = time_of((copy * r["source_size"] + r["before"]) / r["target"], int(r["weight"]))
+            want[r["doc_id"], r["source"], copy, r["size"], round(at, 6)] += 1
     assert Counter((r["doc_id"], r["source"], r["copy"], r["copy_words"], round(r["position"], 6)) for r in got) == want
     assert [r["position"] for r in got] == sorted(r["position"] for r in got)
 
@@ -116,6 +123,15 @@ def test_near_copies(spark, repeated):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_copies_of_extreme_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(-2**63, text), (-2**63, text), (-2**63, "alone"), (2**63 - 1, text), (0, "alone too"), (0, "alone three")]
+    docs = frame(spark, [(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOCS)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r["text"] for r in got) == sorted({t for _, t in rows})
+    assert all(r["doc_id"] == -2**63 for r in got if r["text"] == text)
+
+
 EXTRA = ", score double, position double, twin int, copy int, label int, key string, row int"
 
 
@@ -159,9 +175,8 @@ def test_mixing_and_encoding_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     want = Counter()  # words per document and copy
     for r in mixing.taken(docs).collect():
-        for copy in range(3):
-            n = min(r["size"], math.floor(r["target"]) - copy * r["source_size"] - r["before"])
-            want[r["doc_id"], r["source"], copy, n] += n > 0
+        for copy in range(copies_of(r)):
+            want[r["doc_id"], r["source"], copy, r["size"]] += 1
     mixed = corpus_pipeline.mix_sources(spark, docs, folder)
     assert mixed.columns == [*corpus_pipeline.COLUMNS, *mixing.ORDER]
     rows = mixed.collect()
@@ -169,7 +184,7 @@ def test_mixing_and_encoding_stages(spark, tmp_path):
     texts = {(r["doc_id"], r["source"]): set() for r in rows}
     for r in docs.filter("text is not null").collect():
         texts.setdefault((r["doc_id"], r["source"]), set()).add(r["text"])
-    assert all(any(t.startswith(r["text"]) for t in texts[r["doc_id"], r["source"]]) for r in rows)
+    assert all(r["text"] in texts[r["doc_id"], r["source"]] for r in rows)
     vocab = pieces.vocabulary(queries.tokenizer("piece_bpe_32k.model"))
     place = lambda r: (r["doc_id"], r["position"], r["twin"], r["copy"])
     got = corpus_pipeline.encode(spark, mixed, folder).collect()
