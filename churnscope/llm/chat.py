@@ -51,9 +51,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # an escaped backslash is set aside while line breaks are restored
-    held = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    # from left to right: an escaped backslash, or the mark of a line break
+    parts = F.split(unescape(role), r"\\\\")
+    return F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def messages(log: DataFrame) -> DataFrame:

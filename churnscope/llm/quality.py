@@ -6,8 +6,9 @@ loss, all to the same depth, and flattened into arrays (feature, threshold and
 leaf value by tree and node), so that scoring walks all rows down all trees
 one level at a time.
 
-Fitting reads a bounded sample: at most ``MAX_TRAIN`` labelled rows of the
-training fold, those first in hash order.  Every whole text is scored.
+Fitting reads a bounded sample: at most ``MAX_TRAIN`` labelled ids of the
+training fold, those first in hash order, with one text each (the smallest,
+where an id repeats).  Every whole text is scored.
 
 Defined cases: null and empty texts have all statistics 0; without labels
 every score is 0.5, with one class only that class's share, smoothed; labels
@@ -176,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
                         pa.array(np.arange(len(part) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], ["y", "x"])
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(picked), "doc_id")  # at most MAX_TRAIN ids
-            .select("text", "quality").mapInArrow(run, "y int, x array<double>").collect())
+            .join(F.broadcast(picked), "doc_id")  # at most MAX_TRAIN ids, and one text of each
+            .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality").mapInArrow(run, "y int, x array<double>").collect())
     if not rows:
         return grow(np.zeros((0, len(NAMES))), np.zeros(0))
     # the order of rows must not matter: sums differ in their last digits

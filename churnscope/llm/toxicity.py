@@ -13,8 +13,8 @@ where P are confirmed toxic texts and U unlabelled ones.  Only the labels
 toxic rows among that fold's labels.
 
 Fitting reads a bounded sample: at most ``MAX_POSITIVE`` and
-``MAX_UNLABELLED`` rows of the training fold, those first in hash order.
-Every whole text is scored.
+``MAX_UNLABELLED`` ids of the training fold, those first in hash order, with one
+text each (the smallest, where an id repeats).  Every whole text is scored.
 
 Defined cases: null and empty texts have no feature and get the score of the
 bias; without a confirmed example every score is the prior (0.0 without
@@ -136,7 +136,9 @@ def examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     unlabelled = ids.distinct().orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(MAX_UNLABELLED)
     picked = positives.withColumn("positive", F.lit(True)).union(unlabelled.withColumn("positive", F.lit(False)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id"), prior  # at most MAX_POSITIVE + MAX_UNLABELLED ids
+    # at most MAX_POSITIVE + MAX_UNLABELLED ids, and one text of each
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select(
+        "doc_id", "text", "positive"), prior
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
