@@ -11,11 +11,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.llm import jaccard, mixing, pieces, quality, toxicity
-from churnscope.llm.frames import kept, with_ids
 from churnscope.llm.queries import table, tokenizer
 from churnscope.session import checkpoint_dir
 
@@ -37,41 +36,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts linked by the Jaccard join: that of the smallest doc_id.
 
-    Rows of a repeated doc_id are decided one by one, by their own texts: only
-    texts that are equal or linked make a group, so an id keeps a row for each
-    of its texts that links to nothing, and null, empty or blank texts, which
-    link to nothing, never stand for another.  Of several rows of a group's
-    smallest doc_id one is picked by a hash of the row.  Rows without an id
-    link nothing and stay.
+    Rows of a repeated doc_id are decided one by one, by their own texts; see
+    ``jaccard.without_near_copies``.
     """
-    docs = docs.select(*COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long"))
-    twice = kept(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        gone = kept(jaccard.jaccard_components(docs).filter("doc_id <> component_id").select("doc_id"))
-        return with_ids(docs, gone, "doc_id", "left_anti").select(*COLUMNS)
-    # each row of a repeated id gets a node of its own, all below the smallest doc_id
-    many = kept(with_ids(docs, twice, "doc_id").withColumn("part", F.spark_partition_id()).withColumn(
-        "at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = kept(many.groupBy("part").agg(F.count("*").alias("n")).select("part", ahead.alias("before")))
-    low = docs.agg(F.min("doc_id")).first()[0]
-    many = kept(many.join(F.broadcast(before), "part").select((F.lit(low) - 1 - F.col("before") - F.col("at")).alias("node"), *COLUMNS))
-    rows = with_ids(docs, twice, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), *COLUMNS).union(many)
-    found = kept(jaccard.jaccard_components(rows.select(F.col("node").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("node"), F.col("component_id").alias("group")).filter("node is not null"))
-    # a group with such a row has its smallest node as its name, which is below every doc_id
-    mixed = found.filter(F.col("group") < low).join(many.select("node", "doc_id", F.xxhash64(*COLUMNS).alias("hash")), "node", "left")
-    stay = mixed.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", "node").alias("doc_id"), "hash", "node")).alias("first")).select(
-        F.col("first.node").alias("node"))
-    gone = kept(found.filter((F.col("group") >= low) & (F.col("node") > F.col("group"))).select("node").union(
-        found.filter(F.col("group") < low).select("node").join(stay, "node", "left_anti")))
-    return with_ids(rows, gone, "node", "left_anti").select(*COLUMNS)
+    return jaccard.without_near_copies(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, one row per taken copy, the cut one with its first words only; and ``mixing.ORDER``."""
-    rows = mixing.mixed_documents(docs.select(*COLUMNS))
-    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS, *mixing.ORDER)
+    """Documents that the mix takes, whole, one row per taken copy; and ``mixing.ORDER``."""
+    return mixing.mixed_documents(docs.select(*COLUMNS)).select(*COLUMNS, *mixing.ORDER)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Copies that the mix repeats draw samples of their own.
     """
     also = [c for c in mixing.ORDER if c in docs.columns]
-    copy = F.xxhash64("doc_id", "source", "twin", "copy") if len(also) == len(mixing.ORDER) else None
+    copy = F.xxhash64("doc_id", "source", "text", "twin", "copy") if len(also) == len(mixing.ORDER) else None
     return pieces.sampled(docs, "doc_id", "text", tokenizer("piece_bpe_32k.model"), k=2, keep=pieces.checked, also=also, draw=copy)
 
 
