@@ -1,10 +1,15 @@
 """Customer list: search, paging, page stats, and synthetic customers.
 
-Paging a globally sorted list by OFFSET makes Spark sort (or top-k) all
-matching rows up to the requested position, so deep pages get slower;
-``keyset_page`` (``customerID > last``) is the form that stays cheap at any
-depth: the predicate reaches the scan and a bounded top-k
-(``TakeOrderedAndProject``) returns the page.
+Lists are ordered by customerID, then by the other columns from left to right,
+so that repeated ids have one order too; rows that are equal in every column
+may stand for each other.  The comparison looks beyond the id only where ids
+tie, so nothing is computed of a row to place it.
+
+Three ways to a page: ``page`` sorts by OFFSET, which makes Spark keep all
+rows up to the requested position; ``keyset_page`` (``customerID > last``)
+stays cheap at any depth, as the predicate reaches the scan and a bounded top-k
+returns the page, but only follows another page; ``indexed_page`` jumps to any
+page of a written table by a positional index, and reads one range of ids.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.scalar import parse_or_zero
+from churnscope.functions.sequence import prefix_sum
 
 # --- fixed values: paging and generator domains --------------------------------
 PAGE_SIZE = 20
@@ -44,7 +50,7 @@ def page(df: DataFrame, page_no: int = 1, term: str | None = None,
     """Rows ``[(p-1)*size, p*size)`` of the (searched) list by customerID,
     numeric fields parsed the way the list view parses them."""
     p = max(int(page_no), 1)
-    rows = search(df, term).orderBy("customerID", _row_digest(df)).offset((p - 1) * size).limit(size)
+    rows = search(df, term).orderBy(*_order(df)).offset((p - 1) * size).limit(size)
     return parsed_view(rows)
 
 
@@ -56,14 +62,21 @@ def parsed_view(df: DataFrame) -> DataFrame:
     return out
 
 
-def _row_digest(df: DataFrame) -> Column:
-    """Orders rows of one customerID; rows that still tie are equal in every column."""
-    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+def _others(df: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in df.columns if c != "customerID"]
 
 
-def keyset_page(df: DataFrame, after: str | tuple[str, str, int] | None = None, term: str | None = None,
+def _order(df: DataFrame) -> list[str]:
+    """The list's order: the id, then the other columns."""
+    return ["customerID", *_others(df)]
+
+
+Cursor = tuple[str, tuple, int]
+
+
+def keyset_page(df: DataFrame, after: str | Cursor | None = None, term: str | None = None,
                 size: int = PAGE_SIZE) -> DataFrame:
-    """The page that follows ``after`` in customerID order, then row digest.
+    """The page that follows ``after`` in the list's order.
 
     ``after`` is a customerID (its rows are all skipped) or, where ids may
     repeat, the cursor ``next_cursor`` gives for the page before: no row is
@@ -73,40 +86,85 @@ def keyset_page(df: DataFrame, after: str | tuple[str, str, int] | None = None,
     return parsed_view(_after(search(df, term), after).limit(size))
 
 
-def _after(rows: DataFrame, after: str | tuple[str, str, int] | None) -> DataFrame:
-    digest = _row_digest(rows)
+def _after(rows: DataFrame, after: str | Cursor | None) -> DataFrame:
+    order = _order(rows)
     if isinstance(after, tuple):
-        last, seen_digest, seen = after
+        last, values, seen = after
+        types = [rows.schema[c.strip("`")].dataType for c in order[1:]]
+        shown = F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(values, types))])
+        own = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order[1:])])
         # a condition on the id alone, for the scan; then the exact place
-        rows = rows.where((F.col("customerID") >= F.lit(last))
-                          & ((F.col("customerID") > F.lit(last)) | (digest >= F.lit(seen_digest))))
-        return rows.orderBy("customerID", digest).offset(seen)
+        rows = rows.where((F.col("customerID") >= F.lit(last)) & ((F.col("customerID") > F.lit(last)) | (own >= shown)))
+        return rows.orderBy(*order).offset(seen)
     if after is not None:
         rows = rows.where(F.col("customerID") > F.lit(after))
-    return rows.orderBy("customerID", digest)
+    return rows.orderBy(*order)
 
 
-def next_cursor(df: DataFrame, after: str | tuple[str, str, int] | None = None, term: str | None = None,
-                size: int = PAGE_SIZE) -> tuple[str, str, int] | None:
-    """(customerID, row digest, rows shown with both) at the end of the page after ``after``; None past the end."""
+def next_cursor(df: DataFrame, after: str | Cursor | None = None, term: str | None = None,
+                size: int = PAGE_SIZE) -> Cursor | None:
+    """(customerID, other columns, rows shown that equal both) at the end of the page after ``after``; None past the end."""
     rows = search(df, term)
-    shown = _after(rows, after).limit(size).select("customerID", _row_digest(rows).alias("digest")).collect()
+    shown = [(r[0], tuple(r[1:])) for r in _after(rows, after).limit(size).select(*_order(rows)).collect()]
     if not shown:
         return None
-    last = (shown[-1].customerID, shown[-1].digest)
-    seen = sum((r.customerID, r.digest) == last for r in shown)
+    last = shown[-1]
+    seen = shown.count(last)
     if isinstance(after, tuple) and after[:2] == last:
         seen += after[2]
     return (*last, seen)
 
 
+# --- positional index: any page of a written table ------------------------------
+INDEX_ROWS = 10_000
+
+
+def build_page_index(df: DataFrame, path: str, rows_per_range: int = INDEX_ROWS) -> None:
+    """Write (low, high, n, before): id ranges of about ``rows_per_range`` rows, and the rows ahead of each.
+
+    Only the ids are shuffled.  Equal ids lie in one range; NULL ids are ahead
+    of all others and counted in the first range, whose low end is open.
+    """
+    ids = df.select("customerID")
+    ranges = max(1, -(-ids.count() // rows_per_range))
+    placed = ids.repartitionByRange(ranges, "customerID").withColumn("range", F.spark_partition_id())
+    per = placed.groupBy("range").agg(F.min("customerID").alias("low"), F.max("customerID").alias("high"),
+                                      F.count_if(F.col("customerID").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n"))
+    (prefix_sum(per, ["range"], "n", "before").select("low", "high", "nulls", "n", F.col("before").cast("long").alias("before"))
+     .write.mode("overwrite").parquet(path))
+
+
+def indexed_page(df: DataFrame, index: DataFrame, page_no: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """The page of ``page`` without a search, from the one or two id ranges that hold it."""
+    at = (max(int(page_no), 1) - 1) * size
+    hit = index.where((F.col("before") < at + size) & (F.col("before") + F.col("n") > at)).orderBy("before").collect()
+    if not hit:
+        return parsed_view(df.limit(0))
+    wanted = F.lit(False)
+    lows, highs = [r.low for r in hit if r.low is not None], [r.high for r in hit if r.high is not None]
+    if lows:
+        wanted = F.col("customerID").between(min(lows), max(highs))
+    if any(r.nulls for r in hit):
+        wanted = wanted | F.col("customerID").isNull()
+    rows = df.where(wanted).orderBy(*_order(df)).offset(at - hit[0].before).limit(size)
+    return parsed_view(rows)
+
+
+def index_stats(index: DataFrame, page_no: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """P3 of the whole list, from the index alone."""
+    return _stats(index.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_count")), page_no, size)
+
+
 def page_stats(df: DataFrame, page_no: int = 1, term: str | None = None,
                size: int = PAGE_SIZE) -> DataFrame:
     """Total matches, page count, 1-based first and last index shown."""
+    return _stats(search(df, term).agg(F.count(F.lit(1)).alias("total_count")), page_no, size)
+
+
+def _stats(counted: DataFrame, page_no: int, size: int) -> DataFrame:
     p = max(int(page_no), 1)
     total = F.col("total_count")
-    a = search(df, term).agg(F.count(F.lit(1)).alias("total_count"))
-    return a.select(
+    return counted.select(
         "total_count",
         F.ceil(total / size).cast("long").alias("total_pages"),
         F.lit((p - 1) * size + 1).cast("long").alias("start_index"),

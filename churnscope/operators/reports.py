@@ -1,10 +1,11 @@
 """Summaries and reports assembled from the metric aggregates.
 
-The batch summary (R1) and the dashboard payload (R3) each come from ONE
-scan of the base: a ``GROUPING SETS`` aggregate produces every section's
-counts at once (one Expand + partial aggregate per task; each task ships
-at most #sets x #keys rows).  Everything after that works on that tiny
-aggregated frame — tens of rows regardless of data size.
+The batch summary (R1), the script summary (R2) and the dashboard payload
+(R3) each come from ONE scan of the base and one plain aggregate over all
+their keys together, of sums and counts (a row of the base is never expanded;
+each task ships at most one row per combination of the few values of each
+key).  ``GROUPING SETS`` then rolls that small result up to each key alone,
+and everything after works on tens of rows regardless of data size.
 """
 
 from __future__ import annotations
@@ -45,11 +46,12 @@ def clean_batch(df: DataFrame) -> DataFrame:
     return out.fillna("Unknown", subset=[c for c in BATCH_CATEGORICAL if c in df.columns])
 
 
-def _sets_agg(df: DataFrame, keys: dict[str, Column], aggs: list[Column],
+def _sets_agg(df: DataFrame, keys: dict[str, Column], aggs: dict[str, tuple],
               zero_fill: dict[str, list[tuple[str, int]]] | None = None,
               post=None) -> DataFrame:
-    """One GROUPING SETS aggregate: each key alone plus the grand total.
+    """Aggregates by each key alone plus the grand total.
 
+    ``aggs`` maps a name to ("count",), ("sum", column) or ("avg", column).
     Output: ``set`` (key name or 'total'), ``key`` (string), ``bin_order``
     (position of the key in ``zero_fill[set]``, else NULL), then ``aggs``.
     ``zero_fill`` adds every listed (set, key) even when absent (aggregates
@@ -59,10 +61,23 @@ def _sets_agg(df: DataFrame, keys: dict[str, Column], aggs: list[Column],
     report section afterwards is a plain filter/projection of it."""
     names = list(keys)
     alias = {k: f"_k{i}" for i, k in enumerate(names)}
-    slim = df.select(*[v.cast("string").alias(alias[k]) for k, v in keys.items()], *df.columns)
     cols = [alias[k] for k in names]
-    g = slim.groupingSets([[c] for c in cols] + [[]], *cols).agg(
-        *[F.grouping(c).alias(f"_g{c}") for c in cols], *aggs)
+    sums, rolled = [F.count(F.lit(1)).alias("_rows")], []
+    for name, (kind, *of) in aggs.items():
+        if kind == "count":
+            rolled.append(F.sum("_rows").alias(name))
+            continue
+        sums.append(F.sum(of[0]).alias(f"_s_{name}"))
+        total = F.sum(f"_s_{name}")
+        if kind == "avg":
+            sums.append(F.count(of[0]).alias(f"_n_{name}"))
+            total = F.try_divide(total, F.sum(f"_n_{name}"))
+        rolled.append(total.alias(name))
+    small = df.groupBy(*[v.cast("string").alias(alias[k]) for k, v in keys.items()]).agg(*sums)
+    g = small.groupingSets([[c] for c in cols] + [[]], *cols).agg(
+        *[F.grouping(c).alias(f"_g{c}") for c in cols], *rolled)
+    # without rows the total is 0, as that of a plain count
+    g = g.withColumns({name: F.coalesce(name, F.lit(0)) for name, (kind, *_) in aggs.items() if kind == "count"})
     which = F.lit("total")
     key = F.lit(None).cast("string")
     for k in reversed(names):
@@ -128,11 +143,11 @@ def batch_summary(df: DataFrame) -> DataFrame:
     keys = {"Contract": F.col("Contract"), "PaymentMethod": F.col("PaymentMethod"),
             "tenure_range": TENURE_BATCH.label(F.col("tenure")),
             "monthly_charge_range": MONTHLY_BATCH.label(F.col("MonthlyCharges"))}
-    g = _sets_agg(c, keys, [
-        F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("churned"),
-        F.avg(F.when(y == 1, F.col("tenure"))).alias("avg_tenure"),
-        F.avg(F.when(y == 1, F.col("MonthlyCharges"))).alias("avg_monthly"),
-        F.avg(F.when(y == 1, F.col("TotalCharges"))).alias("avg_total")],
+    g = _sets_agg(c, keys, {
+        "n": ("count",), "churned": ("sum", y.cast("long")),
+        "avg_tenure": ("avg", F.when(y == 1, F.col("tenure"))),
+        "avg_monthly": ("avg", F.when(y == 1, F.col("MonthlyCharges"))),
+        "avg_total": ("avg", F.when(y == 1, F.col("TotalCharges")))},
         zero_fill={"tenure_range": _fill(TENURE_BATCH),
                    "monthly_charge_range": _fill(MONTHLY_BATCH)},
         post=lambda t: t.withColumn("_total", _grand("churned")))
@@ -205,11 +220,11 @@ def js_summary(df: DataFrame) -> DataFrame:
     keys = {"by_contract": KEYS_JS(F.col("Contract")), "by_payment": KEYS_JS(F.col("PaymentMethod")),
             "tenure_ranges": TENURE_JS.label(F.coalesce(F.col("tenure").cast("double"), F.lit(0.0))),
             "monthly_charge_ranges": MONTHLY_JS.label(F.coalesce(F.col("MonthlyCharges"), F.lit(0.0)))}
-    g = _sets_agg(churned, keys, [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.coalesce(F.col("tenure").cast("double"), F.lit(0.0))).alias("_st"),
-        F.sum(F.coalesce(F.col("MonthlyCharges"), F.lit(0.0))).alias("_sm"),
-        F.sum(parse_or_zero("TotalCharges")).alias("_stc")],
+    g = _sets_agg(churned, keys, {
+        "n": ("count",),
+        "_st": ("sum", F.coalesce(F.col("tenure").cast("double"), F.lit(0.0))),
+        "_sm": ("sum", F.coalesce(F.col("MonthlyCharges"), F.lit(0.0))),
+        "_stc": ("sum", parse_or_zero("TotalCharges"))},
         zero_fill={"tenure_ranges": _fill(TENURE_JS), "monthly_charge_ranges": _fill(MONTHLY_JS)},
         post=lambda t: t.withColumn("_total", _grand("n")))
     tot = g.where(F.col("set") == "total")
@@ -250,9 +265,8 @@ def dashboard_aggregate(df: DataFrame, features: Sequence[str] | None = None) ->
                              .over(Window.partitionBy("set"))))
 
     y = churn_flag()
-    return _sets_agg(df, keys, [F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("churned"),
-                                F.avg("tenure").alias("avg_tenure"),
-                                F.avg("MonthlyCharges").alias("avg_monthly")],
+    return _sets_agg(df, keys, {"n": ("count",), "churned": ("sum", y.cast("long")),
+                                "avg_tenure": ("avg", F.col("tenure")), "avg_monthly": ("avg", F.col("MonthlyCharges"))},
                      zero_fill=fill, post=post)
 
 
@@ -341,6 +355,55 @@ def insight_json(long: DataFrame) -> DataFrame:
         F.raise_error(F.lit("the payload has no rows"))).alias("payload_json"))
 
 
+# --- R4 / IO6 / IO8: what a payload's JSON text says, as rows ---------------------
+_KEYED = "array<struct<key:string,count:long,pct:double>>"
+_RANGED = "array<struct<range:string,count:long,pct:double>>"
+_RATED = "array<struct<key:string,churn_rate:double>>"
+SUMMARY_JSON = (f"averages struct<avg_tenure:double,avg_monthly:double,avg_total:double,count:long>, by_contract {_KEYED}, "
+                f"by_payment {_KEYED}, tenure_ranges {_RANGED}, monthly_charge_ranges {_RANGED}, churn_rate_by_contract {_RATED}, "
+                f"churn_rate_by_payment {_RATED}, total_customers long")
+_SEGMENT = "array<struct<key:string,churn_rate:double,n:long>>"
+INSIGHT_JSON = ("overall_churn_rate double, total_customers long, churned_customers long, average_tenure double, "
+                f"average_monthly_charges double, churn_by_contract {_SEGMENT}, churn_by_payment {_SEGMENT}, "
+                f"churn_by_features map<string,{_SEGMENT}>, tenure_distribution {_RANGED}, monthly_charges_distribution {_RANGED}")
+
+
+def json_fields(texts: DataFrame, schema: str, col: str = "json") -> DataFrame:
+    """The content of payload JSON as rows (field, feature, position, name, count, rate, value).
+
+    A list gives a row per element, with its position; a map of lists a row per
+    element with its key as ``feature``; numbers one row.  Times and ids are not
+    part of ``schema`` and are left out."""
+    parsed = texts.select(F.from_json(F.col(col), schema).alias("p"))
+    none = lambda t: F.lit(None).cast(t)
+
+    def rows(df: DataFrame, field: str, kind, feature: Column) -> DataFrame:
+        names = kind.elementType.names
+        pick = lambda wanted, t: next((F.col(f"e.{n}") for n in names if n in wanted), none(t))
+        return df.select(F.lit(field).alias("field"), feature.alias("feature"), F.col("pos").alias("position"),
+                         pick(("key", "range"), "string").alias("name"), pick(("count", "n"), "long").alias("count"),
+                         pick(("churn_rate", "pct"), "double").alias("rate"), none("double").alias("value"))
+
+    def one(field: str, value: Column) -> DataFrame:
+        return parsed.select(F.lit(field).alias("field"), none("string").alias("feature"), none("int").alias("position"),
+                             none("string").alias("name"), none("long").alias("count"), none("double").alias("rate"),
+                             value.cast("double").alias("value"))
+
+    parts = []
+    for f in parsed.schema["p"].dataType.fields:
+        kind = f.dataType.typeName()
+        if kind == "array":
+            parts.append(rows(parsed.select(F.posexplode(f"p.{f.name}").alias("pos", "e")), f.name, f.dataType, none("string")))
+        elif kind == "map":
+            each = parsed.select(F.explode(f"p.{f.name}").alias("feature", "list")).select("feature", F.posexplode("list").alias("pos", "e"))
+            parts.append(rows(each, f.name, f.dataType.valueType, F.col("feature")))
+        elif kind == "struct":
+            parts += [one(f"{f.name}.{n}", F.col(f"p.{f.name}.{n}")) for n in f.dataType.names]
+        else:
+            parts.append(one(f.name, F.col(f"p.{f.name}")))
+    return _union(parts)
+
+
 # --- R5 / R6 -----------------------------------------------------------------
 # Report section titles and line formats.
 SECTION_TITLES = {

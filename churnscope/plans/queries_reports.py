@@ -15,8 +15,8 @@ from churnscope.plans.queries_core import CHURN, UNK_CONTRACT, UNK_PAYMENT, _seg
 from churnscope.operators.features import ALLOWED_FEATURES
 from churnscope.plans.queries_dist import _FEAT_CTES, _JS_BINS_SQL, _case, _dim, _hist_ctes
 from churnscope.plans.registry import on_base, register
-from churnscope.sources import sinks
-from churnscope.sources.subscriptions import subscriptions
+from churnscope.sources import base_table, sinks
+from churnscope.sources.subscriptions import SUBSCRIPTION_COLUMNS, churned_scan, subscriptions
 from churnscope.streaming import running
 
 
@@ -73,6 +73,38 @@ def _summary_json(df):
     return sinks.to_json_lines(rep.summary_payload(rep.batch_summary(df)))
 
 
+_LISTS = "('by_contract', 'by_payment', 'tenure_ranges', 'monthly_charge_ranges', 'churn_rate_by_contract', 'churn_rate_by_payment')"
+_SUMMARY_FIELDS_SQL = with_base(f"""
+select section as field, null::varchar as feature,
+       (row_number() over (partition by section order by coalesce(count::double, churn_rate) desc, key) - 1)::integer as position,
+       key as name, count, round(coalesce(pct, churn_rate), 6) as rate, null::double as value
+from r1 where section in {_LISTS}
+union all
+select case section when 'averages' then 'averages.' || key else 'total_customers' end, null, null, null, null, null,
+       round(coalesce(value, count), 6)
+from r1 where section in ('averages', 'total_customers')""", _R1_CTES + f""",
+r1 as ({_R1_SQL})""")
+
+
+def _summary_fields(texts):
+    return rep.json_fields(texts, rep.SUMMARY_JSON).withColumns(
+        {"rate": F.round("rate", 6), "value": F.round("value", 6)})
+
+
+on_base("summary_json_fields", _SUMMARY_FIELDS_SQL)(
+    lambda df: _summary_fields(sinks.to_json_lines(rep.summary_payload(rep.batch_summary(df)))))
+
+
+@register("snapshot_fields", _SUMMARY_FIELDS_SQL)
+def _snapshot_fields(spark, sf_dir):
+    """IO6: what the latest of two appended snapshots says."""
+    payload = rep.summary_payload(rep.batch_summary(subscriptions(spark, sf_dir)))
+    path = running.scratch(spark, "snapshots")
+    for _ in range(2):
+        sinks.append_snapshot(payload, path)
+    return _summary_fields(sinks.to_json_lines(sinks.latest_snapshot(spark, path)))
+
+
 # --- R2: dashboard-script summary ------------------------------------------------
 _MIX_JS = " union all ".join(f"""
 select '{s}' as segment, coalesce(cast({s} as varchar), 'null') as key, count(*) as count
@@ -156,6 +188,17 @@ def _insight_json(df):
     return rep.insight_json(rep.insight_payload_long(df))
 
 
+on_base("insight_json_fields", with_base("""
+select section as field, case when section = 'churn_by_features' then item end as feature,
+       (row_number() over (partition by section, case when section = 'churn_by_features' then item end order by item_order) - 1)::integer as position,
+       coalesce(sub_item, item) as name, coalesce(count, n) as count, coalesce(churn_rate, pct) as rate, null::double as value
+from ipl where section like 'churn_by%' or section like '%distribution'
+union all
+select section, null, null, null, null, null, coalesce(value, count)::double
+from ipl where not (section like 'churn_by%' or section like '%distribution')""", _R3_CTES))(
+    lambda df: rep.json_fields(rep.insight_json(rep.insight_payload_long(df)), rep.INSIGHT_JSON, "payload_json"))
+
+
 def _titles_values():
     return ", ".join(f"({k}, '{v}')" for k, v in rep.SECTION_TITLES.items())
 
@@ -226,6 +269,33 @@ on_base("keyset_page", with_base(
     lambda df: cust.keyset_page(df, AFTER))
 
 
+DEEP_PAGE = 50
+
+
+def _indexed(spark, sf_dir):
+    """A written base and its positional index."""
+    path = running.scratch(spark, "paged")
+    base_table.append_batch(subscriptions(spark, sf_dir), path, "base")
+    rows = base_table.read_base(spark, path)
+    cust.build_page_index(rows, f"{path}/index", rows_per_range=1_000)
+    return rows, spark.read.parquet(f"{path}/index")
+
+
+@register("deep_page", with_base(f"select {_LIST_COLS} from subs order by customerID limit 20 offset {(DEEP_PAGE - 1) * 20}"))
+def _deep_page(spark, sf_dir):
+    """P1 on the written base: a page far into the list, through the positional index."""
+    rows, index = _indexed(spark, sf_dir)
+    return cust.indexed_page(rows, index, DEEP_PAGE)
+
+
+@register("deep_page_stats", with_base(f"""
+select count(*) as total_count, ceil(count(*) / 20)::bigint as total_pages, {(DEEP_PAGE - 1) * 20 + 1}::bigint as start_index,
+       least({DEEP_PAGE * 20}, count(*))::bigint as end_index from subs"""))
+def _deep_stats(spark, sf_dir):
+    """P3 from the positional index alone."""
+    return cust.index_stats(_indexed(spark, sf_dir)[1], DEEP_PAGE)
+
+
 def _u_sql(salt):
     return (f"(cast(('0x' || substr(md5(customerID || ':{salt}'), 1, 8)) as bigint)::double / 4294967296.0)")
 
@@ -282,62 +352,66 @@ def _param_query(spark, sf_dir):
 
 
 # --- ST1 / ST2: streaming --------------------------------------------------------
-def _staged(spark, sf_dir):
-    return running.stage_rows(subscriptions(spark, sf_dir), running.scratch(spark, "stream-src"))
-
-
-@register("streaming_kpis", with_base(f"""
+def _streamed(spark, sf_dir, build, post=None, snapshots=None):
+    """ST1 over a growing source: half of the rows, then a restart from the checkpoint with the other half added."""
+    src, ckpt, out = (running.scratch(spark, kind) for kind in ("stream-src", "stream-ckpt", "stream-out"))
+    rows = subscriptions(spark, sf_dir)
+    half = F.pmod(F.xxhash64("customerID"), F.lit(2))
+    for part in (0, 1):
+        running.stage_rows(rows.where(half == part), src)
+        result = running.run_running(spark, src, build, out, snapshots, trigger_bytes=1 << 20, checkpoint=ckpt, post=post)
+    return result
+
+
+_KPI_SQL = with_base(f"""
 select coalesce(sum({CHURN}), 0)::bigint as churned_users,
        coalesce(round(sum({CHURN})::double / nullif(count(*), 0), 4), 0.0) as churn_rate_overall,
        coalesce(round(avg(tenure), 1), 0.0) as avg_tenure,
        coalesce(round(avg(MonthlyCharges), 1), 0.0) as avg_monthly
-from subs"""))
+from subs""")
+
+
+@register("streaming_kpis", _KPI_SQL)
 def _streaming_kpis(spark, sf_dir):
     """ST1: KPIs as a streaming aggregate; the final state equals the batch result."""
-    src = _staged(spark, sf_dir)
-    return running.run_running(spark, src, running.kpi_stream, running.scratch(spark, "stream-out"),
-                               files_per_trigger=running.files_per_trigger(spark, src))
+    return _streamed(spark, sf_dir, running.kpi_stream)
 
 
 @register("streaming_churn_by_contract", with_base(_seg_sql(UNK_CONTRACT)))
 def _streaming_contract(spark, sf_dir):
     """ST1: churn by contract as a streaming aggregate."""
-    src = _staged(spark, sf_dir)
-    return running.run_running(spark, src, running.segment_stream("Contract"),
-                               running.scratch(spark, "stream-out"),
-                               files_per_trigger=running.files_per_trigger(spark, src))
+    return _streamed(spark, sf_dir, running.segment_stream("Contract"))
 
 
 @register("streaming_churn_by_payment", with_base(_seg_sql(UNK_PAYMENT)))
 def _streaming_payment(spark, sf_dir):
     """ST1: churn by payment method as a streaming aggregate."""
-    src = _staged(spark, sf_dir)
-    return running.run_running(spark, src, running.segment_stream("PaymentMethod"),
-                               running.scratch(spark, "stream-out"),
-                               files_per_trigger=running.files_per_trigger(spark, src))
+    return _streamed(spark, sf_dir, running.segment_stream("PaymentMethod"))
 
 
 @register("streaming_feature_churn", with_base("select * from fr", _FEAT_CTES))
 def _streaming_features(spark, sf_dir):
     """ST1: feature churn (all allow-listed features) over a stream."""
-    src = _staged(spark, sf_dir)
-    feats = ALLOWED_FEATURES
-    return running.run_running(spark, src, running.feature_stream(feats),
-                               running.scratch(spark, "stream-out"),
-                               files_per_trigger=running.files_per_trigger(spark, src),
-                               post=running.feature_post(feats))
+    return _streamed(spark, sf_dir, running.feature_stream(ALLOWED_FEATURES), running.feature_post(ALLOWED_FEATURES))
 
 
 @register("streaming_snapshots")
 def _streaming_snapshots(spark, sf_dir):
     """ST2: one appended KPI snapshot per micro-batch (idempotent per batch id)."""
-    src = _staged(spark, sf_dir)
     snaps = running.scratch(spark, "stream-snapshots")
-    running.run_running(spark, src, running.kpi_stream, running.scratch(spark, "stream-out"),
-                        snapshots=snaps, files_per_trigger=running.files_per_trigger(spark, src))
+    _streamed(spark, sf_dir, running.kpi_stream, snapshots=snaps)
     return spark.read.parquet(snaps).select("batch_id", "payload")
 
 
+@register("streaming_last_snapshot", _KPI_SQL)
+def _streaming_last_snapshot(spark, sf_dir):
+    """ST2: what the last snapshot of the growing stream says."""
+    snaps = running.scratch(spark, "stream-snapshots")
+    _streamed(spark, sf_dir, running.kpi_stream, snapshots=snaps)
+    return running.last_snapshot(
+        spark, snaps, "churned_users long, churn_rate_overall double, avg_tenure double, avg_monthly double")
+
+
 @register("bulk_append", with_base(_GEN_SQL))
 def _bulk_append(spark, sf_dir):
     """IO7: append a generated batch to a (fresh) customer table; read it back."""
@@ -346,6 +420,25 @@ def _bulk_append(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+_RENEWED = "'renewed-' || customerID"
+_OTHERS = ", ".join(c for c in SUBSCRIPTION_COLUMNS if c not in ("customerID", "tenure", "TotalCharges", "Churn"))
+
+
+@register("base_append", with_base(f"""
+select * from subs
+union all by name
+select {_RENEWED} as customerID, {_OTHERS}, 0 as tenure, ' ' as TotalCharges, 'No' as Churn from subs where Churn = 'Yes'"""))
+def _base_append(spark, sf_dir):
+    """IO7: churned customers come back as a batch appended to the written base; the batch is sent twice, and counts once."""
+    path = running.scratch(spark, "base-table")
+    base_table.append_batch(subscriptions(spark, sf_dir), path, "base")
+    churned = churned_scan(base_table.read_base(spark, path))
+    back = churned.withColumns({"customerID": F.expr(_RENEWED), "tenure": F.lit(0), "TotalCharges": F.lit(" "), "Churn": F.lit("No")})
+    for _ in range(2):
+        base_table.append_batch(back, path, "renewals")
+    return base_table.read_base(spark, path)
+
+
 # --- Materialised base: pushdown and partition pruning ---------------------------
 def _materialized(spark, sf_dir):
     from churnscope.sources.subscriptions import materialize_subscriptions, read_subscriptions
@@ -356,7 +449,6 @@ def _materialized(spark, sf_dir):
 @register("materialized_churned_scan", with_base("select * from subs where Churn = 'Yes'"))
 def _mat_churned(spark, sf_dir):
     """IO1/IO2 on the written base: the Churn filter prunes partitions."""
-    from churnscope.sources.subscriptions import churned_scan
     return churned_scan(_materialized(spark, sf_dir))
 
 

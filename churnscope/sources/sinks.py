@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,17 @@ def fetch_scalar(df: DataFrame):
     return None if r is None else r[0]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a saved table is there; any error but a missing path is raised."""
+    try:
+        spark.read.parquet(path).schema  # noqa: B018  reads the footer
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def with_snapshot_columns(payload: DataFrame) -> DataFrame:
     """IO6: add a random id and the snapshot time to a payload row."""
     return payload.select(F.expr("uuid()").alias("id"),

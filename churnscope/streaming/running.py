@@ -12,7 +12,9 @@ subscription rows are what streams in (staged as parquet by ``stage_rows``).
 * Snapshots (ST2) are appended per batch id with dynamic partition
   overwrite, so a replayed batch replaces its own partition only.
 * ``trigger(availableNow=True)`` drains everything present and stops;
-  ``maxFilesPerTrigger`` splits it into several micro-batches.
+  ``maxBytesPerTrigger`` splits it into micro-batches of bounded size, however
+  many files there are.  A run that starts again from its checkpoint takes only
+  the files added since, and goes on from the state it had.
 """
 
 from __future__ import annotations
@@ -35,22 +37,19 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return os.path.join(checkpoint_dir(spark), kind, uuid.uuid4().hex)
 
 
+#: Input bytes of a micro-batch, about; a larger file is a batch of its own.
+TRIGGER_BYTES = 512 << 20
+
+
 def stage_rows(df: DataFrame, path: str, files: int | None = None) -> str:
-    """Write derived rows as parquet files for a file-source stream.
+    """Add derived rows as parquet files to the folder of a file-source stream.
 
     By default the natural layout is kept (one file per final task, so the
     file count scales with the data); ``files`` forces a count (tests)."""
-    (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
+    (df.repartition(files) if files else df).write.mode("append").parquet(path)
     return path
 
 
-def files_per_trigger(spark: SparkSession, path: str, batches: int = 4) -> int:
-    """Files per micro-batch so that ``path`` streams in about ``batches``
-    triggers (file listing only; one entry per written file)."""
-    n = len(spark.read.parquet(path).inputFiles())
-    return max(1, -(-n // batches))
-
-
 def kpi_stream(stream: DataFrame) -> DataFrame:
     """K1 as a streaming aggregate (one global group)."""
     a = stream.agg(F.count(F.lit(1)).alias("_total"), F.sum(churn_flag()).alias("_churned"),
@@ -90,15 +89,16 @@ def feature_post(features: Sequence[str] | None = None) -> Callable[[DataFrame],
 
 
 def run_running(spark: SparkSession, source: str, build: Callable[[DataFrame], DataFrame],
-                out: str, snapshots: str | None = None, files_per_trigger: int = 1,
+                out: str, snapshots: str | None = None, trigger_bytes: int = TRIGGER_BYTES,
                 checkpoint: str | None = None,
                 post: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """ST1 (+ ST2): stream ``source`` through ``build`` to completion; return
-    the final result table.  ``post`` runs on each micro-batch result (a
-    static frame) before it is written.  With ``snapshots``, every
-    micro-batch result is also appended there with its batch id and time."""
+    """ST1 (+ ST2): stream what ``source`` holds through ``build``; return the
+    result table.  ``post`` runs on each micro-batch result (a static frame)
+    before it is written.  With ``snapshots``, every micro-batch result is also
+    written there under its batch id, and a replayed batch replaces its own.
+    The same ``checkpoint`` takes a later run on from where this one ended."""
     stream = (spark.readStream.schema(SUBSCRIPTION_SCHEMA)
-                   .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
+                   .option("maxBytesPerTrigger", trigger_bytes).parquet(source))
     result = build(stream)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -106,11 +106,7 @@ def run_running(spark: SparkSession, source: str, build: Callable[[DataFrame], D
             batch = post(batch)
         batch.write.mode("overwrite").parquet(out)
         if snapshots:
-            (batch.select(F.lit(batch_id).alias("batch_id"),
-                          F.current_timestamp().alias("snapshot_ts"),
-                          F.to_json(F.struct(*batch.columns)).alias("payload"))
-                  .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                  .partitionBy("batch_id").parquet(snapshots))
+            write_snapshot(batch, batch_id, snapshots)
 
     q = (result.writeStream.outputMode("complete").foreachBatch(sink)
                .option("checkpointLocation", checkpoint or scratch(spark, "stream-ckpt"))
@@ -119,3 +115,17 @@ def run_running(spark: SparkSession, source: str, build: Callable[[DataFrame], D
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out)
+
+
+def write_snapshot(result: DataFrame, batch_id: int, path: str) -> None:
+    """ST2: the micro-batch's result as JSON rows of its batch id, in place of what an earlier try of it wrote."""
+    (result.select(F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("snapshot_ts"),
+                   F.to_json(F.struct(*result.columns)).alias("payload"))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
+def last_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """ST2: the result that the latest snapshot holds, as rows of ``schema``."""
+    rows = spark.read.schema("snapshot_ts timestamp, payload string, batch_id long").parquet(path)
+    last = rows.agg(F.max("batch_id").alias("batch_id"))  # partition values only
+    return rows.join(last, "batch_id").select(F.from_json("payload", schema).alias("r")).select("r.*")

@@ -35,6 +35,38 @@ def test_keyset_pages_keep_repeated_ids(spark):
         assert sorted(seen) == sorted((r[0], r[1]) for r in rows)
 
 
+def test_indexed_pages_equal_plain_pages(spark, tmp_path):
+    cols = "customerID string, MonthlyCharges double, TotalCharges string, tenure int, SeniorCitizen int"
+    rows = [(f"c{k % 37:03d}", float(k), None, 1, 0) for k in range(150)] + [(None, 1.0, "x", 2, 1), (None, 0.5, "x", 2, 1)]
+    rows += [("hot", float(k % 3), "1", 1, 0) for k in range(60)]
+    df = spark.createDataFrame(rows, cols).repartition(5)
+    cust.build_page_index(df, str(tmp_path / "i"), rows_per_range=20)
+    index = spark.read.parquet(str(tmp_path / "i"))
+    assert index.count() > 5 and index.agg(F.sum("n")).first()[0] == len(rows)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    for no in (1, 2, 5, 8, 11, 12, 40):
+        got = [(r.customerID, r.MonthlyCharges) for r in cust.indexed_page(df, index, no).collect()]
+        assert got == [(r[0], r[1]) for r in want[(no - 1) * 20:no * 20]]
+        assert [(r.customerID, r.MonthlyCharges) for r in cust.page(df, no).collect()] == got
+    assert cust.index_stats(index, 3).first() == cust.page_stats(df, 3).first()
+    empty = df.limit(0)
+    cust.build_page_index(empty, str(tmp_path / "e"))
+    none = spark.read.parquet(str(tmp_path / "e"))
+    assert cust.indexed_page(empty, none, 1).collect() == [] and cust.index_stats(none).first().total_count == 0
+
+
+def test_a_deep_page_reads_one_range(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(60_000).selectExpr("lpad(id, 8, '0') as customerID", "1.0D as MonthlyCharges", "'2' as TotalCharges", "1 as tenure",
+                                   "0 as SeniorCitizen").repartitionByRange(12, "customerID").sortWithinPartitions("customerID").write.parquet(path)
+    df = spark.read.parquet(path)
+    cust.build_page_index(df, str(tmp_path / "i"), rows_per_range=5_000)
+    page = cust.indexed_page(df, spark.read.parquet(str(tmp_path / "i")), 2_500)
+    assert [r.customerID for r in page.collect()] == [f"{k:08d}" for k in range(49_980, 50_000)]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(customerID," in plan and "LessThanOrEqual(customerID," in plan and "md5" not in plan
+
+
 def test_generated_customers_rules(spark):
     g = cust.generate(spark, 20000)
     assert g.columns == SUBSCRIPTION_COLUMNS
@@ -76,11 +108,36 @@ def test_streaming_kpis_equal_batch(spark, tmp_path):
     src = running.stage_rows(base, str(tmp_path / "src"), files=3)
     snaps = str(tmp_path / "snaps")
     out = running.run_running(spark, src, running.kpi_stream, str(tmp_path / "out"),
-                              snapshots=snaps, checkpoint=str(tmp_path / "ck"))
+                              snapshots=snaps, trigger_bytes=1, checkpoint=str(tmp_path / "ck"))
     assert out.collect() == kpis.compute_kpis(base).collect()
     assert spark.read.parquet(snaps).select("batch_id").distinct().count() >= 3
 
 
+def test_a_restarted_stream_takes_only_what_was_added(spark, tmp_path):
+    base = subscriptions(spark, SF_SMALL).checkpoint()
+    first, more = base.where("customerID < '00000000000000000700'"), base.where("customerID >= '00000000000000000700'")
+    paths = [str(tmp_path / x) for x in ("src", "out", "snaps", "ck")]
+    src, out, snaps, ck = paths
+    run = lambda: running.run_running(spark, src, running.kpi_stream, out, snaps, 1, ck).collect()
+    running.stage_rows(first, src, files=2)
+    assert run() == kpis.compute_kpis(first).collect()
+    before = spark.read.parquet(snaps).count()
+    running.stage_rows(more, src, files=3)
+    assert run() == kpis.compute_kpis(base).collect()
+    assert spark.read.parquet(snaps).count() == before + 3
+    assert run() == kpis.compute_kpis(base).collect()  # nothing new
+
+
+def test_a_replayed_snapshot_leaves_one_row(spark, tmp_path):
+    path = str(tmp_path / "snaps")
+    result = spark.createDataFrame([(1, 0.5)], "churned_users long, churn_rate_overall double")
+    for batch, rows in ((0, result), (1, result.limit(0).union(result)), (1, result.selectExpr("7L", "0.25D").toDF(*result.columns))):
+        running.write_snapshot(rows, batch, path)
+    assert spark.read.parquet(path).count() == 2
+    last = running.last_snapshot(spark, path, "churned_users long, churn_rate_overall double").collect()
+    assert [tuple(r) for r in last] == [(7, 0.25)]
+
+
 def test_append_customers(spark, tmp_path):
     path = str(tmp_path / "cust")
     cust.append_customers(cust.generate(spark, 20), path)
