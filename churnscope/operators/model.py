@@ -1,19 +1,25 @@
 """Baseline churn model: features, split, scaling, logistic regression, AUC.
 
-Everything row-level stays a DataFrame expression; the driver only ever
-holds per-feature scalars (medians, means, deviations, class counts, the
-category list of two low-cardinality columns, the fitted coefficients).
-
-* Preprocessing (median fill, Unknown fill, Yes/No flags, one-hot with the
-  alphabetically first value dropped, z-scoring with the population
-  deviation of the training rows, balanced class weights) is one
-  ``SQLTransformer`` stage, so the saved ``PipelineModel`` replays it.
+Everything row-level stays a DataFrame expression or a stage of the ML
+pipeline; the driver holds what the model itself consists of (its features'
+names, coefficients and class weights).
+
+* One aggregate over the materialised model rows, by class, side of the split
+  and categories, gives the class weights, means, deviations and the category
+  dictionary (``statistics``).
+* The category dictionary is a DataFrame of ranks.  One-hot rows are sparse:
+  ``sparse_features`` joins the ranks, with no limit on their number.
+* Preprocessing (Unknown fill, Yes/No flags, one-hot with the alphabetically
+  first value dropped, z-scoring with the population deviation of the training
+  rows, balanced class weights) and the regression are stages of one
+  ``PipelineModel``, so a saved model replays all of it.
 * The 80/20 split is stratified: each class is cut at its own 20 % point in
   the order of the ids' digests, found from bucket counts.
-* ``LogisticRegression`` (L-BFGS, distributed) with ``regParam = 1/n_train``
-  and class weights summing to ``n_train`` minimises the same L2 objective
-  as an inverse-regularisation strength C = 1 (the intercept is not
-  penalised, unlike liblinear).
+* The objective is that of an inverse-regularisation strength C = 1 with the
+  intercept penalised like any coefficient: the intercept is the coefficient of
+  a constant feature.  ``gradient`` recomputes the objective's gradient in one
+  pass; as the objective is strictly convex, a gradient of (nearly) zero
+  certifies the optimum.
 * AUC is the exact rank (Mann-Whitney) statistic computed with a
   distributed prefix sum over the distinct scores.
 """
@@ -24,18 +30,22 @@ import json
 import os
 from datetime import datetime, timezone
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.errors import AnalysisException
+from pyspark.ml.feature import (
+    ElementwiseProduct, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler, VectorSlicer)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions.dims import literal_frame
 from churnscope.functions.scalar import round_fp, safe_div
 from churnscope.functions.sequence import prefix_sum
 from churnscope.session import checkpoint_dir
+from churnscope.sources.sinks import exists
 
 # --- fixed values: model configuration ---------------------------------------
 NUMERIC_FEATURES = ["tenure", "MonthlyCharges"]
@@ -46,9 +56,8 @@ MAX_ITER = 1000
 TOP_K = 10
 # -----------------------------------------------------------------------------
 
-# A categorical column with more distinct values than this is not a
-# low-cardinality feature; refuse rather than pull an unbounded list.
-MAX_CATEGORIES = 10_000
+#: Largest entry of the gradient, per training row, at which a fit counts as converged.
+GRADIENT_TOLERANCE = 1e-6
 
 
 def training_set(df: DataFrame) -> DataFrame:
@@ -82,11 +91,12 @@ def medians(df: DataFrame) -> dict[str, float | None]:
 
 def impute_encode(df: DataFrame, med: dict[str, float | None] | None = None) -> DataFrame:
     """M2: numeric NULL -> median, categorical NULL -> 'Unknown' (blanks kept),
-    boolean 'Yes' -> 1 else 0."""
+    boolean 'Yes' -> 1 else 0.  ``med`` = {} where no number is NULL, as in a
+    training set; without it the medians are computed."""
     med = med if med is not None else medians(df)
     out = df
     for c in NUMERIC_FEATURES:
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double")))
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(med.get(c)).cast("double")))
     for c in CATEGORICAL_FEATURES:
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit("Unknown")))
     for c in BOOLEAN_FEATURES:
@@ -94,16 +104,49 @@ def impute_encode(df: DataFrame, med: dict[str, float | None] | None = None) ->
     return out
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """The frame computed once, in the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    """M2-M6 in one pass over split model rows: counts, sums and sums of squares by side, class and categories."""
+    moments = [f(c).alias(name) for c in NUMERIC_FEATURES for name, f in (
+        (f"sum_{c}", F.sum), (f"squares_{c}", lambda c: F.sum(F.col(c) * F.col(c))))]
+    return impute_encode(rows, {}).groupBy("is_test", "churn", *CATEGORICAL_FEATURES).agg(
+        F.count(F.lit(1)).alias("n"), *moments, *[F.sum(c).alias(f"sum_{c}") for c in BOOLEAN_FEATURES])
+
+
+def dictionary(stats: DataFrame) -> DataFrame:
+    """M3: (column, value, n, n_train, first): the values of each categorical feature, the dropped one marked."""
+    train = F.when(F.col("is_test"), 0).otherwise(F.col("n"))
+    parts = [stats.groupBy(F.lit(c).alias("column"), F.col(c).alias("value")).agg(F.sum("n").alias("n"), F.sum(train).alias("n_train"))
+             for c in CATEGORICAL_FEATURES]
+    values = parts[0].unionByName(parts[1])
+    least = values.groupBy("column").agg(F.min("value").alias("least"))
+    return values.join(least, "column").select("column", "value", "n", "n_train", (F.col("value") == F.col("least")).alias("first"))
+
+
+def positions(values: DataFrame) -> DataFrame:
+    """M3: (column, value, position) of the kept values, after the numeric and boolean features.
+
+    Ranks come from a prefix sum over value ranges, so no task ranks them all."""
+    kept = values.where(~F.col("first")).select("column", "value", F.lit(1).alias("one"))
+    before = len(NUMERIC_FEATURES) + len(BOOLEAN_FEATURES)
+    return prefix_sum(kept, ["column", "value"], "one", "before").select(
+        "column", "value", (F.col("before") + before).cast("int").alias("position"))
+
+
 def categories(df: DataFrame) -> dict[str, list[str]]:
-    """Sorted distinct values of each categorical feature (after Unknown fill)."""
-    out = {}
-    for c in CATEGORICAL_FEATURES:
-        vals = (df.select(F.coalesce(F.col(c), F.lit("Unknown")).alias("v")).distinct()
-                  .limit(MAX_CATEGORIES + 1).collect())
-        if len(vals) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has more than {MAX_CATEGORIES} distinct values")
-        out[c] = sorted(r.v for r in vals)
-    return out
+    """Sorted distinct values of each categorical feature (after Unknown fill): what names a fitted model's features."""
+    rows = df if "is_test" in df.columns else df.withColumn("is_test", F.lit(False))
+    return _names(dictionary(statistics(rows)))
+
+
+def _names(values: DataFrame) -> dict[str, list[str]]:
+    found = values.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values")).collect()
+    return {c: next((r["values"] for r in found if r["column"] == c), []) for c in CATEGORICAL_FEATURES}
 
 
 def feature_names(cats: dict[str, list[str]]) -> list[str]:
@@ -114,23 +157,41 @@ def feature_names(cats: dict[str, list[str]]) -> list[str]:
     return names
 
 
-def one_hot(df: DataFrame, cats: dict[str, list[str]]) -> DataFrame:
-    """M3: 0/1 column per categorical value except the alphabetically first."""
-    out = df
+def sparse_features(rows: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """M3: the rows with ``places`` and ``values``, the sparse one-hot vector's positions and entries other than 0.
+
+    The category ranks are joined by value; Spark picks the join by their size.
+    """
+    if values is None:
+        values = dictionary(statistics(rows if "is_test" in rows.columns else rows.withColumn("is_test", F.lit(False))))
+    ranks = materialised(positions(values))
+    out = impute_encode(rows, {})
     for c in CATEGORICAL_FEATURES:
-        for v in cats[c][1:]:
-            out = out.withColumn(f"{c}_{v}", (F.col(c) == F.lit(v)).cast("int"))
-    return out
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("position").alias(f"_{c}"))
+        out = out.join(own, c, "left")
+    entries = [F.struct(F.lit(i).alias("place"), F.col(c).cast("double").alias("value"))
+               for i, c in enumerate(NUMERIC_FEATURES + BOOLEAN_FEATURES)]
+    entries += [F.struct(F.col(f"_{c}").alias("place"), F.lit(1.0).alias("value")) for c in CATEGORICAL_FEATURES]
+    full = F.filter(F.array(*entries), lambda e: e["place"].isNotNull() & (e["value"] != 0))
+    return out.withColumn("_full", full).select(
+        *rows.columns, F.col("_full.place").alias("places"), F.col("_full.value").alias("values"))
 
 
 def features_long(df: DataFrame) -> DataFrame:
-    """M3 as a long frame (customerID, feature, value) — one row per feature."""
+    """M3 as a long frame (customerID, feature, value): one row per feature, zeros included."""
     base = training_set(df)
-    cats = categories(base)
-    wide = one_hot(impute_encode(base), cats)
-    names = feature_names(cats)
-    sel = wide.select("customerID", *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
-    return sel.unpivot(["customerID"], names, "feature", "value")
+    cats = categories(materialised(base.select(*base.columns)))
+    rows = impute_encode(base, {})
+    value = lambda c: F.col(c).cast("double")
+    entries = [F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in NUMERIC_FEATURES + BOOLEAN_FEATURES]
+
+    def hot(c: str) -> Column:
+        kept = F.lit(cats[c][1:]) if len(cats[c]) > 1 else F.array().cast("array<string>")
+        return F.transform(kept, lambda v: F.struct(
+            F.concat(F.lit(f"{c}_"), v).alias("feature"), (F.col(c) == v).cast("double").alias("value")))
+
+    parts = [F.array(*entries), *map(hot, CATEGORICAL_FEATURES)]
+    return rows.select("customerID", F.explode(F.concat(*parts)).alias("e")).select("customerID", "e.feature", "e.value")
 
 
 #: leading hex digits of an id's digest that make one of 65,536 buckets
@@ -165,31 +226,31 @@ def with_split(df: DataFrame, id_col: str = "customerID", label: str = "churn")
               .drop("_class", "_cut"))
 
 
-def scaling_stats(train: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
-    """M5: mean and population std of each feature over the training rows."""
-    aggs = []
-    for n in names:
-        aggs += [F.avg(F.col(f"`{n}`")).alias(f"m{len(aggs)}"),
-                 F.stddev_pop(F.col(f"`{n}`")).alias(f"m{len(aggs) + 1}")]
-    row = train.agg(*aggs).first()
-    return {n: (float(row[2 * i] or 0.0), float(row[2 * i + 1] or 0.0)) for i, n in enumerate(names)}
+def scaling(stats: DataFrame) -> DataFrame:
+    """M5: (feature, mean, std) over the training rows, from the one-pass statistics."""
+    train = stats.where(~F.col("is_test"))
+    n = F.col("n")
+    sums = train.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in stats.columns if c.startswith(("sum_", "squares_"))])
+    numeric = [(c, F.col(f"sum_{c}") / n, F.col(f"squares_{c}") / n) for c in NUMERIC_FEATURES]
+    flags = [(c, F.col(f"sum_{c}") / n, F.col(f"sum_{c}") / n) for c in BOOLEAN_FEATURES]  # 1 * 1 = 1
+    deviation = lambda mean, square: F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    four = F.array(*[F.struct(F.lit(c).alias("feature"), mean.alias("mean"), deviation(mean, square).alias("std"))
+                     for c, mean, square in numeric + flags])
+    plain = sums.where("n > 0").select(F.explode(four).alias("f")).select("f.*")
+    share = F.col("n_train") / F.col("total")
+    kept = dictionary(stats).where(~F.col("first")).join(sums.select(F.col("n").alias("total")).where("total > 0"))
+    return plain.unionByName(kept.select(
+        F.concat("column", F.lit("_"), "value").alias("feature"), share.alias("mean"), deviation(share, share).alias("std")))
 
 
 def scaling_frame(df: DataFrame) -> DataFrame:
     """M5 as a frame: (feature, mean, std) over the training rows."""
-    base = with_split(training_set(df))
-    cats = categories(base)
-    wide = one_hot(impute_encode(base), cats).where(~F.col("is_test"))
-    names = feature_names(cats)
-    stacked = wide.select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names]) \
-                  .unpivot([], names, "feature", "value")
-    return stacked.groupBy("feature").agg(F.avg("value").alias("mean"),
-                                          F.stddev_pop("value").alias("std"))
+    return scaling(materialised(statistics(with_split(materialised(training_set(df))))))
 
 
 def class_weights(df: DataFrame) -> DataFrame:
     """M6: balanced weights w_c = n / (2 n_c) over the training rows."""
-    train = with_split(training_set(df)).where(~F.col("is_test"))
+    train = with_split(materialised(training_set(df).select("customerID", "churn"))).where(~F.col("is_test"))
     g = train.groupBy("churn").agg(F.count(F.lit(1)).alias("n_class"))
     total = F.sum("n_class").over(_tiny())
     return g.select("churn", "n_class", (total / (2 * F.col("n_class"))).alias("weight"))
@@ -199,36 +260,68 @@ def _tiny():
     return Window.partitionBy()   # over <= 2 class rows
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def _prepare(weights: dict[int, float]) -> SQLTransformer:
+    """M2 and M6 as one statement: numbers as double, Unknown fill, flags, the constant and the row's weight."""
+    flags = ", ".join(f"CASE WHEN {c} = 'Yes' THEN 1.0D ELSE 0.0D END AS _{c}" for c in BOOLEAN_FEATURES)
+    numbers = ", ".join(f"CAST({c} AS DOUBLE) AS _{c}" for c in NUMERIC_FEATURES)
+    names = ", ".join(f"coalesce({c}, 'Unknown') AS _{c}" for c in CATEGORICAL_FEATURES)
+    return SQLTransformer(statement=(
+        f"SELECT *, {numbers}, {flags}, {names}, 1.0D AS _constant, CASE WHEN churn = 1 THEN CAST({weights[1]!r} AS DOUBLE) "
+        f"ELSE CAST({weights[0]!r} AS DOUBLE) END AS weight FROM __THIS__"))
 
 
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def preprocessing(cats: dict[str, list[str]], weights: dict[int, float], n_train: int) -> list:
+    """M2-M6 as pipeline stages, up to the vector ``features`` with the constant last.
 
-
-def preprocessing_sql(med: dict, cats: dict, stats: dict, weights: dict[int, float]) -> str:
-    """The whole preprocessing as one SQL statement for ``SQLTransformer``."""
-    sel = ["*"]
-    feat = {}
-    for c in NUMERIC_FEATURES:
-        m = "NULL" if med[c] is None else repr(med[c])
-        feat[c] = f"coalesce(CAST({_q(c)} AS DOUBLE), CAST({m} AS DOUBLE))"
-    for c in BOOLEAN_FEATURES:
-        feat[c] = f"CASE WHEN {_q(c)} = 'Yes' THEN 1.0 ELSE 0.0 END"
+    Values not seen in training get no one-hot column, as the dropped first one."""
+    stages: list = [_prepare(weights)]
+    vectors = [f"_{c}" for c in NUMERIC_FEATURES + BOOLEAN_FEATURES]
     for c in CATEGORICAL_FEATURES:
-        for v in cats[c][1:]:
-            feat[f"{c}_{v}"] = (f"CASE WHEN coalesce({_q(c)}, 'Unknown') = {_sql_str(v)} "
-                                f"THEN 1.0 ELSE 0.0 END")
-    for i, n in enumerate(feature_names(cats)):
-        mean, std = stats[n]
-        scaled = f"({feat[n]} - CAST({mean!r} AS DOUBLE))"
-        if std > 0:
-            scaled = f"{scaled} / CAST({std!r} AS DOUBLE)"
-        sel.append(f"{scaled} AS f{i}")
-    sel.append(f"CASE WHEN churn = 1 THEN CAST({weights.get(1, 0.0)!r} AS DOUBLE) "
-               f"ELSE CAST({weights.get(0, 0.0)!r} AS DOUBLE) END AS weight")
-    return "SELECT " + ", ".join(sel) + " FROM __THIS__"
+        if len(cats[c]) < 2:
+            continue
+        # the dropped value goes last, and what is unknown after it
+        stages += [StringIndexerModel.from_labels(cats[c][1:] + cats[c][:1], inputCol=f"_{c}", outputCol=f"_{c}_rank", handleInvalid="keep"),
+                   OneHotEncoder(inputCol=f"_{c}_rank", outputCol=f"_{c}_all", dropLast=False),
+                   VectorSlicer(inputCol=f"_{c}_all", outputCol=f"_{c}_hot", indices=list(range(len(cats[c]) - 1)))]
+        vectors.append(f"_{c}_hot")
+    width = len(feature_names(cats))
+    # the scaler divides by the sample deviation; the factor makes that the population's
+    factor = (n_train / (n_train - 1)) ** 0.5 if n_train > 1 else 1.0
+    return stages + [
+        VectorAssembler(inputCols=vectors, outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
+        ElementwiseProduct(inputCol="_scaled", outputCol="_z", scalingVec=Vectors.dense([factor] * width)),
+        VectorAssembler(inputCols=["_z", "_constant"], outputCol="features")]
+
+
+def gradient(rows: DataFrame, coefficients: list[float]) -> np.ndarray:
+    """M7: the gradient of 1/2 |w|^2 + sum of weight * logistic loss at ``coefficients``, in one pass.
+
+    ``rows`` has features, churn and weight (above 0 in some row)."""
+    dot = F.aggregate(F.zip_with(vector_to_array("features"), F.lit([float(x) for x in coefficients]), lambda x, w: x * w),
+                      F.lit(0.0), lambda acc, x: acc + x)
+    residual = F.col("weight") * (1 / (1 + F.exp(-dot)) - F.col("churn"))
+    # a summarizer takes weights of at least 0, and a residual is at least minus its row's weight
+    part = lambda w: Summarizer.metrics("sum").summary(F.col("features"), w).getField("sum")
+    found = rows.select("features", "weight", residual.alias("r"), F.lit(True).alias("all")).groupBy("all").agg(
+        part(F.col("weight") + F.col("r")).alias("both"), part(F.col("weight")).alias("weights")).first()
+    penalty = np.array([float(x) for x in coefficients])
+    return penalty if found is None else penalty + found.both.toArray() - found.weights.toArray()
+
+
+def _sign() -> Column:
+    """1 or -1 by the customer's id."""
+    return F.when(F.xxhash64("customerID").bitwiseAND(1) == 0, 1.0).otherwise(-1.0)
+
+
+def turned(rows: DataFrame) -> DataFrame:
+    """The rows of sign -1 as their mirror images: features negated and the class swapped, which has the same loss.
+
+    The regression gives features that never vary no coefficient; mirrored
+    rows make the constant vary, and leave the objective as it is."""
+    features = F.transform(vector_to_array("features"), lambda x: x * F.col("sign"))
+    return rows.select(array_to_vector(features).alias("features"), "weight",
+                       F.when(F.col("sign") > 0, F.col("churn")).otherwise(1 - F.col("churn")).alias("churn"))
 
 
 def train(df: DataFrame) -> tuple[PipelineModel, dict]:
@@ -237,55 +330,58 @@ def train(df: DataFrame) -> tuple[PipelineModel, dict]:
     return model, metrics
 
 
+def fitted_inputs(df: DataFrame) -> tuple[DataFrame, dict, dict[str, list[str]], dict[int, float]]:
+    """M1-M6 for a fit: the split model rows, their counts, categories and class weights."""
+    rows = materialised(with_split(materialised(training_set(df))))
+    stats = materialised(statistics(rows))
+    side = {(r.is_test, r.churn): r.n for r in stats.groupBy("is_test", "churn").agg(F.sum("n").alias("n")).collect()}
+    n = sum(side.values())
+    if not n:
+        raise ValueError("the model has no rows to learn from")
+    n_train, n_pos = sum(v for (test, _), v in side.items() if not test), side.get((False, 1), 0)
+    n_neg = n_train - n_pos
+    weights = {1: n_train / (2.0 * n_pos) if n_pos else 0.0, 0: n_train / (2.0 * n_neg) if n_neg else 0.0}
+    counts = {"n": n, "n_train": n_train, "positive": sum(v for (_, y), v in side.items() if y == 1),
+              "weight": weights[1] * n_pos + weights[0] * n_neg}
+    return rows, counts, _names(dictionary(stats)), weights
+
+
 def train_with_scores(df: DataFrame) -> tuple[PipelineModel, dict, DataFrame]:
     """M7 + M8: fit, evaluate, and also return the scored held-out rows
     (read from the same materialised model rows, not re-derived)."""
-    # Counts, medians, categories, scaling and the L-BFGS passes all read the
-    # model rows: materialise them once (reliable checkpoint, survives
-    # executor loss) instead of re-deriving the base for every pass.
-    checkpoint_dir(df.sparkSession)
-    base = with_split(training_set(df).checkpoint(eager=True)).checkpoint(eager=True)
-    counts = base.agg(F.count(F.lit(1)).alias("n"),
-                      F.count_if(~F.col("is_test")).alias("n_train"),
-                      F.count_if(~F.col("is_test") & (F.col("churn") == 1)).alias("n_train_pos"),
-                      F.avg("churn").alias("pos_rate")).first()
-    if not counts.n:
-        raise ValueError("No data available for model training")
-    med = medians(base)
-    cats = categories(base)
+    rows, counts, cats, weights = fitted_inputs(df)
+    n, n_train = counts["n"], counts["n_train"]
     names = feature_names(cats)
-    train_rows = base.where(~F.col("is_test"))
-    stats = scaling_stats(one_hot(impute_encode(train_rows, med), cats), names)
-    n_train, n_pos = counts.n_train, counts.n_train_pos
-    n_neg = n_train - n_pos
-    weights = {1: n_train / (2.0 * n_pos) if n_pos else 0.0,
-               0: n_train / (2.0 * n_neg) if n_neg else 0.0}
-    cols = [f"f{i}" for i in range(len(names))]
-    pipe = Pipeline(stages=[
-        SQLTransformer(statement=preprocessing_sql(med, cats, stats, weights)),
-        VectorAssembler(inputCols=cols, outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="churn", weightCol="weight",
-                           regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                           standardization=False, maxIter=MAX_ITER),
-    ])
-    model = pipe.fit(train_rows)
-    scored = score(model, base.where(F.col("is_test")))
+    train_rows = rows.where(~F.col("is_test"))
+    prepare = Pipeline(stages=preprocessing(cats, weights, n_train)).fit(train_rows)
+    ready = materialised(prepare.transform(train_rows).select("features", "churn", "weight", _sign().alias("sign")))
+    reg = 1.0 / max(counts["weight"], 1.0)
+    fit = LogisticRegression(featuresCol="features", labelCol="churn", weightCol="weight", regParam=reg, elasticNetParam=0.0,
+                             standardization=False, fitIntercept=False, maxIter=MAX_ITER, tol=1e-12).fit(turned(ready))
+    model = PipelineModel(stages=[*prepare.stages, fit])
+    weight = [float(x) for x in fit.coefficients]
+    steep = float(np.abs(gradient(ready, weight)).max()) / max(n_train, 1)
+    scored = materialised(score(model, rows.where(F.col("is_test"))))
     auc_row = rank_auc(scored, "churn", "score").first()
     metrics = {
         "model_type": "logistic_regression",
         "feature_names": names,
-        "coefficients": [float(x) for x in model.stages[-1].coefficients],
-        "intercept": float(model.stages[-1].intercept),
+        "coefficients": weight[:-1],
+        "intercept": weight[-1],
+        "gradient": steep,
+        "converged": steep <= GRADIENT_TOLERANCE,
         "auc": auc_row.auc,
-        "total_samples": int(counts.n),
+        "auc_positive": int(auc_row.n_pos),
+        "auc_negative": int(auc_row.n_neg),
+        "total_samples": int(n),
         "total_features": len(names),
         "train_samples": int(n_train),
-        "test_samples": int(counts.n - n_train),
-        "positive_rate": round(float(counts.pos_rate), 4),
+        "test_samples": int(n - n_train),
+        "positive_rate": round(counts["positive"] / n, 4),
         "trained_at": datetime.now(timezone.utc).isoformat(),
-        "params": {"reg_param": 1.0 / max(n_train, 1), "max_iter": MAX_ITER,
+        "params": {"reg_param": reg, "max_iter": MAX_ITER, "penalised_intercept": True,
                    "class_weight": "balanced", "test_fraction": TEST_FRACTION},
-        "preprocessing": {"medians": med, "categories": cats},
+        "preprocessing": {"categories": cats},
     }
     return model, metrics, scored
 
@@ -336,18 +432,17 @@ def directions(coefs: DataFrame, k: int = 5) -> DataFrame:
 
 def training_info(df: DataFrame) -> DataFrame:
     """Totals, feature count, train/test sizes, positive rate (4 dp)."""
-    base = with_split(training_set(df))
+    stats = materialised(statistics(with_split(materialised(training_set(df)))))
     n_feat = len(NUMERIC_FEATURES) + len(BOOLEAN_FEATURES)
-    dist = base.agg(*[F.count_distinct(F.coalesce(F.col(c), F.lit("Unknown"))).alias(c)
-                      for c in CATEGORICAL_FEATURES],
-                    F.count(F.lit(1)).alias("total_samples"),
-                    F.count_if(~F.col("is_test")).alias("train_samples"),
-                    F.count_if(F.col("is_test")).alias("test_samples"),
-                    F.avg("churn").alias("_pr"))
-    n_cat = sum((F.col(c) - 1) for c in CATEGORICAL_FEATURES)
-    return dist.select("total_samples", (F.lit(n_feat) + n_cat).cast("long").alias("total_features"),
-                       "train_samples", "test_samples",
-                       round_fp("_pr", 4).alias("positive_rate"))
+    when = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("long")
+    kept = dictionary(stats).agg(F.count_if(~F.col("first")).alias("kept"))  # one row
+    totals = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_samples"), when(~F.col("is_test")).alias("train_samples"),
+                       when(F.col("is_test")).alias("test_samples"),
+                       (F.sum(F.when(F.col("churn") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("_pr"))
+    return totals.join(kept).select(
+        "total_samples", (F.lit(n_feat) + F.col("kept")).cast("long").alias("total_features"),
+        F.coalesce("train_samples", F.lit(0)).alias("train_samples"), F.coalesce("test_samples", F.lit(0)).alias("test_samples"),
+        round_fp("_pr", 4).alias("positive_rate"))
 
 
 # --- M12 / M13: persistence -----------------------------------------------------
@@ -367,17 +462,6 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     return model, json.loads(row.metrics)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a saved table is there; any error but a missing path is raised."""
-    try:
-        spark.read.parquet(path).schema  # noqa: B018  reads the footer
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
-
-
 def load_or_train(df: DataFrame, path: str, retrain: bool = False) -> tuple[PipelineModel, dict]:
     """Load the saved model if both parts exist, else (or if ``retrain``) train and save."""
     spark = df.sparkSession
@@ -403,4 +487,5 @@ def model_config() -> dict:
     """Feature groups and training parameters."""
     return {"numeric_features": NUMERIC_FEATURES, "categorical_features": CATEGORICAL_FEATURES,
             "boolean_features": BOOLEAN_FEATURES, "test_fraction": TEST_FRACTION,
-            "max_iter": MAX_ITER, "class_weight": "balanced", "penalty": "l2", "C": 1.0}
+            "max_iter": MAX_ITER, "class_weight": "balanced", "penalty": "l2", "C": 1.0,
+            "penalised_intercept": True}
