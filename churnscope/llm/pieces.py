@@ -46,9 +46,9 @@ from pyspark.sql import functions as F
 from churnscope.llm import text as T
 
 TEMPERATURE = 4_000.0
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: nodes of lattices that a worker keeps, and the longest unit among them
-HELD, LONG = 500_000, 64
+HELD, LONG = 1_500_000, 64
 #: bits of a chance in a draw
 BITS = 36
 #: a text on which a model's normalizer shows what it does
