@@ -39,7 +39,7 @@ from churnscope.session import checkpoint_dir
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 18_000
 FEATURES, BITS, WINDOW = 1_024, 20, 5
 #: a feature's least log odds against chance (there are a million windows), and its least ratio of shares
-GAIN, RATIO = 14, 6
+GAIN, RATIO = 3, 3
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 
 
