@@ -59,7 +59,8 @@ FIRST = 7
 
 _U = np.uint64
 RANGES = "array<struct<lo:int,hi:int>>"
-SEGMENTS = "a long, b long, n long, keys array<long>, prints array<long>, starts array<int>, many array<int>, own array<boolean>"
+SEGMENTS = ("a long, b long, n long, keys array<long>, prints array<long>, own array<boolean>, "
+            "places array<array<struct<start:int,many:int>>>")
 
 
 class RunIndex:
@@ -193,7 +194,8 @@ def segments(flat: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarr
 
 
 def _cut(gram: int):
-    """Segments of texts (a, b, n, body), as arrays a text; equal texts of a batch are one."""
+    """Segments of texts (a, b, n, body), as arrays a text; equal texts of a batch are one, and so are
+    equal segments of a text, which have all their places (start, window starts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n = (batch.column(i).to_numpy() for i in range(3))
@@ -205,12 +207,19 @@ def _cut(gram: int):
                                                ["a", "b", "n", "body"])
             for at, part in slices(batch.column(3).cast(pa.large_binary())):
                 keys, prints, start, many, own, each = segments(*raw(part), gram)
-                bounds = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
-                rows = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (
-                    keys, prints, start.astype(np.int32), many.astype(np.int32), own)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(at, len(part)) for i in range(3)] + rows,
-                    ["a", "b", "n", "keys", "prints", "starts", "many", "own"])
+                text = np.repeat(np.arange(len(part)), each)
+                order = np.lexsort((start, prints, keys, text))
+                keys, prints, start, many, own, text = (x[order] for x in (keys, prints, start, many, own, text))
+                new = np.ones(len(keys), dtype=bool)
+                new[1:] = (text[1:] != text[:-1]) | (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])
+                first = np.flatnonzero(new)
+                place = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32))], ["start", "many"])
+                inner = pa.array(np.append(first, len(keys)).astype(np.int32))
+                bounds = pa.array(np.searchsorted(text[first], np.arange(len(part) + 1)).astype(np.int32))
+                rows = [pa.ListArray.from_arrays(bounds, x) for x in (
+                    pa.array(keys[first]), pa.array(prints[first]), pa.array(own[first]), pa.ListArray.from_arrays(inner, place))]
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, len(part)) for i in range(3)] + rows,
+                                                 ["a", "b", "n", "keys", "prints", "own", "places"])
 
     return run
 
@@ -343,15 +352,15 @@ def _large(bodies: DataFrame, level: int) -> DataFrame:
         _against(LEVELS[level]), "key long, print long, part int, off int, n long, body binary, lo int, hi int, "
         "ref_print long, ref_lo int, ref_hi int"))
     both = laid.filter("part = -1")
-    shared = both.select("key", "print", F.struct("lo", "hi").alias("r")).union(
-        both.select("key", "ref_print", F.struct("ref_lo", "ref_hi").alias("r")).distinct())
+    one = lambda lo, hi: F.array(F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"))).alias("ranges")
+    shared = both.select("key", "print", one("lo", "hi")).union(both.select("key", "ref_print", one("ref_lo", "ref_hi")).distinct())
     part = F.xxhash64("print", "part")
     left = laid.filter("part >= 0").withColumn("b", part)
     inner = repeated_windows(left.select(F.col("key").alias("a"), "b", "n", "body"), level + 1)
     back = left.select(F.col("key").alias("a"), "b", "print", "off").join(inner, ["a", "b"]).select(
-        F.col("a").alias("key"), "print", F.explode(F.transform("ranges", lambda r: F.struct(
-            (r.lo + F.col("off")).alias("lo"), (r.hi + F.col("off")).alias("hi")))).alias("r"))
-    return shared.union(back).groupBy("key", "print").agg(F.collect_set("r").alias("ranges"))
+        F.col("a").alias("key"), "print", F.transform("ranges", lambda r: F.struct(
+            (r.lo + F.col("off")).alias("lo"), (r.hi + F.col("off")).alias("hi"))).alias("ranges"))
+    return _merged(shared.union(back).toDF("a", "b", "ranges")).toDF("key", "print", "ranges")
 
 
 def repeated_windows(texts: DataFrame, level: int = 0) -> DataFrame:
@@ -362,13 +371,15 @@ def repeated_windows(texts: DataFrame, level: int = 0) -> DataFrame:
     """
     gram, final = LEVELS[level], LEVELS[level] == WIDTH
     cut = kept(texts.select("a", "b", "n", "body").mapInArrow(tidy(_cut(gram)), SEGMENTS))
-    rows = cut.select("a", "b", "n", F.explode(F.arrays_zip("keys", "prints", "starts", "many", "own")).alias("s")).select(
-        "a", "b", "n", F.col("s.keys").alias("key"), F.col("s.prints").alias("print"), F.col("s.starts").alias("start"),
-        F.col("s.many").alias("many"), F.col("s.own").alias("own"))
-    size = F.lit(WIDTH) if final else F.col("many") + (WIDTH - 1)
-    copies = F.col("n") * F.col("many") if final else F.col("n")  # at last a segment is a run of equal windows
+    rows = cut.select("a", "b", "n", F.explode(F.arrays_zip("keys", "prints", "own", "places")).alias("s")).select(
+        "a", "b", "n", F.col("s.keys").alias("key"), F.col("s.prints").alias("print"), F.col("s.own").alias("own"),
+        F.col("s.places").alias("places"))
+    start, many = F.col("places")[0]["start"], F.col("places")[0]["many"]
+    size = F.lit(WIDTH) if final else many + (WIDTH - 1)
+    # at last a segment is a run of equal windows
+    copies = F.col("n") * (F.aggregate("places", F.lit(0), lambda n, p: n + p["many"]) if final else F.size("places"))
     each = kept(rows.groupBy("key", "print").agg(F.sum(copies).alias("copies"), F.max("own").alias("own"),
-                                                 F.min(F.struct("a", "b", "start", size.alias("size"))).alias("from")))
+                                                 F.min(F.struct("a", "b", start.alias("start"), size.alias("size"))).alias("from")))
     strings = F.least("copies", F.lit(2))
     again = each.groupBy("key").agg(F.sum(strings * F.col("from.size")).alias("bytes"),
                                     F.sum(strings + F.col("own").cast("int")).alias("total")).filter("total > 1").drop("total")
@@ -389,32 +400,44 @@ def repeated_windows(texts: DataFrame, level: int = 0) -> DataFrame:
             bodies = with_ids(bodies, over, "key", "left_anti")
     found = bodies.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_indexes), f"key long, print long, ranges {RANGES}")
     found = kept(found if marks is None else found.unionByName(marks))
-    at = F.col("start")
-    shifted = F.array(F.struct(at.alias("lo"), (at + F.col("many")).alias("hi"))) if final else F.transform(
-        "ranges", lambda r: F.struct((r.lo + at).alias("lo"), (r.hi + at).alias("hi")))
-    return kept(rows.join(found, ["key", "print"]).select("a", "b", F.explode(shifted).alias("r")).groupBy("a", "b").agg(
-        F.collect_set("r").alias("ranges")))
+    if final:
+        shifted = F.transform("places", lambda p: F.struct(p["start"].alias("lo"), (p["start"] + p["many"]).alias("hi")))
+    else:
+        shifted = F.flatten(F.transform("places", lambda p: F.transform("ranges", lambda r: F.struct(
+            (r.lo + p["start"]).alias("lo"), (r.hi + p["start"]).alias("hi")))))
+    return kept(_merged(rows.join(found, ["key", "print"]).select("a", "b", shifted.alias("ranges"))))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """(a, b, ranges) with the ranges of all rows of a text together, in order and apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _union(b.column(2), ("lo", "hi"), 0)], ["a", "b", "ranges"])
+
+    return rows.groupBy("a", "b").agg(F.flatten(F.collect_set("ranges")).alias("ranges")).mapInArrow(
+        run, f"a long, b long, ranges {RANGES}")
 
 
-def _spans(ranges: pa.Array) -> pa.Array:
-    """The removed runs [from, to) of bytes that the windows of each text cover, merged and in order."""
+def _union(ranges: pa.Array, names: tuple[str, str], longer: int) -> pa.Array:
+    """The ranges [lo, hi) of each list, ``longer`` at their ends, merged where they overlap or touch, in order."""
     rows = pa.compute.list_parent_indices(ranges).to_numpy()
     lo, hi = (ranges.flatten().field(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
     by = np.lexsort((lo, rows))
-    rows, lo, hi = rows[by], lo[by], hi[by] + WIDTH - 1
+    rows, lo, hi = rows[by], lo[by], hi[by] + longer
     line = rows * (1 << 40)  # one number line with room between the texts
     reach = np.maximum.accumulate(hi + line)
     new = np.concatenate([[True], (lo + line)[1:] > reach[:-1]])[:len(lo)]
     start = np.flatnonzero(new)
     stop = reach[np.append(start[1:], len(lo)) - 1] - line[start] if len(start) else lo[:0]
-    spans = pa.StructArray.from_arrays([pa.array(lo[start].astype(np.int32)), pa.array(stop.astype(np.int32))], ["from", "to"])
+    spans = pa.StructArray.from_arrays([pa.array(lo[start].astype(np.int32)), pa.array(stop.astype(np.int32))], list(names))
     bounds = np.concatenate([[0], np.cumsum(np.bincount(rows[start], minlength=len(ranges)))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), spans)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of bytes that the windows cover."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _spans(b.column(2))], ["a", "b", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _union(b.column(2), ("from", "to"), WIDTH - 1)], ["a", "b", "spans"])
 
 
 def contents(docs: DataFrame) -> DataFrame:
@@ -426,7 +449,7 @@ def contents(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(a, b, spans): the runs of bytes [from, to) to remove from each text that has any."""
-    return kept(repeated_windows(contents(docs)).mapInArrow(_merged, "a long, b long, spans array<struct<from:int,to:int>>"))
+    return kept(repeated_windows(contents(docs)).mapInArrow(_bytes, "a long, b long, spans array<struct<from:int,to:int>>"))
 
 
 def kept_bytes(body: Column, spans: Column) -> Column:
