@@ -111,6 +111,7 @@ class Vocabulary:
         self.size = np.array([len(s) for s in self.spelling], dtype=np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self.held: Lattice | None = None
+        self.room: dict[str, np.ndarray] = {}
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -267,14 +268,24 @@ class Lattice:
         self.best[low[chosen]], self.chance[low[chosen]], self.ahead[low[chosen]] = chosen, p[chosen], before[chosen]
 
     def joined(self, other: Lattice) -> Lattice:
-        """Both sets of units as one, this one's first."""
+        """Both sets of units as one, this one's first.
+
+        The vocabulary has room behind the arrays of the lattice that the worker
+        holds: the other's are written there, over those of the slice before,
+        and this one's stay where they are.
+        """
         both, nodes, edges = object.__new__(Lattice), len(self.byte), len(self.to)
         both.vocab = self.vocab
         for name, by in (("hashes", 0), ("byte", 0), ("place", 0), ("log_p", 0), ("log_rest", 0), ("chance", 0), ("ahead", 0),
-                         ("start", nodes), ("end", nodes), ("to", nodes), ("best", edges), ("cut", nodes << BITS)):
-            more = getattr(other, name)
-            setattr(both, name, np.concatenate([getattr(self, name), more + more.dtype.type(by) if by else more]))
-        both.first = np.concatenate([self.first[:-1], other.first + np.int32(edges)])
+                         ("start", nodes), ("end", nodes), ("to", nodes), ("best", edges), ("cut", nodes << BITS), ("first", edges)):
+            mine, more, room = getattr(self, name), getattr(other, name), self.vocab.room
+            n = len(mine) - (name == "first")  # its last entry is the other's first
+            if n + len(more) > len(room.get(name, ())) or mine.base is not room[name]:
+                room[name] = np.empty(2 * (n + len(more)), dtype=mine.dtype)
+                room[name][:n] = mine[:n]
+                setattr(self, name, room[name][:len(mine)])
+            np.add(more, more.dtype.type(by), out=room[name][n:n + len(more)], casting="unsafe")
+            setattr(both, name, room[name][:n + len(more)])
         return both
 
     def draw(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

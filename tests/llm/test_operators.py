@@ -223,6 +223,48 @@ def test_sampled_segmentations_match_the_lattice():
         assert all(abs(first[p] / n - math.exp(w - z)) < 0.05 for p, w in every.items())
 
 
+def test_held_lattices_change_no_sample(monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeé \t1") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)] + [None, "", "\U0001f642" * 5]
+    keys = text.mix(np.arange(len(texts), dtype=np.uint64))
+    path = queries.tokenizer("piece_bpe_32k.model")
+
+    def samples(slices):
+        vocab = pieces.Vocabulary(path)
+        out = []
+        for at in range(0, len(texts), slices):
+            out += pieces.sample_texts(vocab, texts[at:at + slices], keys[at:at + slices], 3)
+        return [[(f[0].tolist(), round(f[1], 9), round(f[2], 9), round(f[3], 7)) for f in found] for found in out]
+
+    held = samples(7)
+    monkeypatch.setattr(pieces, "HELD", 900)
+    assert samples(5) == held
+    monkeypatch.setattr(pieces, "HELD", 0)
+    assert samples(11) == held
+
+
+def test_another_kind_of_model_is_refused(monkeypatch):
+    monkeypatch.setattr(pieces, "PROBE", "a\u200bb")  # stands for any text that the model's normalizer changes
+    path = queries.tokenizer("piece_bpe_32k.model")
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    if library.normalize(pieces.PROBE) != "▁" + pieces.PROBE:
+        with pytest.raises(ValueError):
+            pieces.Vocabulary(path)
+
+
+def test_samples_of_null_keys_repeated_rows_and_empty_tables(spark):
+    path = queries.tokenizer("piece_bpe_32k.model")
+    df = frame(spark, [(None, "one two"), (1, "one two"), (1, "one two"), (2, None), (3, "a")], "doc_id long, text string, ids string, rank int, draw long")
+    got = pieces.sampled(df, "doc_id", "text", path, k=3, keep=pieces.checked).collect()
+    by = Counter((r["doc_id"], r["rank"], tuple(r["ids"])) for r in got)
+    assert all(n == (2 if k[0] == 1 else 1) for k, n in by.items())
+    assert [(r["rank"], r["ids"], r["inclusion"]) for r in got if r["doc_id"] == 2] == [(1, [], 0.0)]
+    assert {r["doc_id"] for r in got} == {None, 1, 2, 3} and all(r["round_trip"] for r in got if r["doc_id"] != 2)
+    assert pieces.sampled(df.limit(0), "doc_id", "text", path).count() == 0
+
+
 def test_sampled_frame(spark):
     got = pieces.sampled(docs(spark), "doc_id", "text", queries.tokenizer("piece_bpe_32k.model"), keep=pieces.digest).collect()
     assert {r["doc_id"] for r in got} == set(range(10)) and all(r["round_trip"] in (True, None) for r in got)
