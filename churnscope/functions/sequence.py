@@ -54,51 +54,3 @@ def prefix_sum(df: DataFrame, order: Sequence[str], value: str, out: str,
     incl = F.col("_offset") + F.col("_local")
     val = incl if inclusive else incl - F.col(value)
     return res.withColumn(out, val).drop("_pid", "_local", "_offset")
-
-
-def lead_in_group(df: DataFrame, group: str, order: Sequence[str], value: str,
-                  out: str, parts: int | None = None, default_to_max: bool = False) -> DataFrame:
-    """``lead(value) over (partition by group order by order)`` without putting
-    a hot group in one task (``order`` must be unique within a group).
-
-    ``default_to_max``: where the lead is NULL, use the maximum of ``value``
-    over the whole frame (carried in the per-partition table, so no second
-    scan or scalar subquery is needed).
-
-    One range exchange and one window sort; the windowed rows are
-    materialised once (reliable checkpoint) so every branch sees the same
-    partition ids.  Partition heads come from that output with hash
-    aggregates only: the first row of each (partition, group) run, and per
-    partition the smallest group (NULL groups sort first).
-    """
-    spark = df.sparkSession
-    key = [group] + list(order)
-    w = Window.partitionBy("_pid", group).orderBy(*order)
-    checkpoint_dir(spark)
-    local = (df.repartitionByRange(_parts(df, parts), *key)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_has_next", F.lead(F.lit(True)).over(w))
-               .withColumn("_next_local", F.lead(value).over(w))
-               .withColumn("_first", F.row_number().over(w) == 1)
-               .checkpoint(eager=True))
-    per_part = local.groupBy("_pid").agg(
-        F.min(group).alias("_gmin"), F.max(F.col(group).isNull()).alias("_gnull"),
-        F.max(value).alias("_pmax"))
-    head_group = F.when(F.col("_gnull"), F.lit(None)).otherwise(F.col("_gmin"))
-    firsts = local.where("_first").select("_pid", *key, value)
-    heads = (firsts.join(F.broadcast(per_part.select("_pid", head_group.alias("_hg"), "_pmax")),
-                         "_pid")
-                   .where(F.col(group).eqNullSafe(F.col("_hg")))
-                   .select("_pid", F.struct(F.col(group), F.col(value).alias("_v")).alias("_head"),
-                           "_pmax"))
-    # One row per non-empty partition: a single-partition window is bounded.
-    nxt = heads.select("_pid", F.lead("_head").over(Window.orderBy("_pid")).alias("_nh"),
-                       F.max("_pmax").over(Window.partitionBy()).alias("_gmax"))
-    joined = local.join(F.broadcast(nxt), "_pid", "left")
-    carry = F.when(F.col("_nh").getField(group).eqNullSafe(F.col(group)),
-                   F.col("_nh").getField("_v"))
-    res = F.when(F.col("_has_next").isNotNull(), F.col("_next_local")).otherwise(carry)
-    if default_to_max:
-        res = F.coalesce(res, F.col("_gmax"))
-    return (joined.withColumn(out, res)
-                  .drop("_pid", "_has_next", "_next_local", "_first", "_nh", "_gmax"))

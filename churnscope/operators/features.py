@@ -37,16 +37,11 @@ def parse_feature_names(names: str | None) -> list[str]:
 def validate_features(features: Iterable[str] | None) -> list[str]:
     """keep allow-listed names (first occurrence order); empty -> defaults;
     none valid -> ValueError."""
-    features = list(features or [])
-    if not features:
-        return list(DEFAULT_FEATURES)
-    valid = []
-    for f in features:
-        if f in ALLOWED_FEATURES and f not in valid:
-            valid.append(f)
-    if not valid:
-        raise ValueError(f"No valid features provided. Allowed features: {ALLOWED_FEATURES}")
-    return valid
+    asked = dict.fromkeys(features or DEFAULT_FEATURES)
+    known = [f for f in asked if f in ALLOWED_FEATURES]
+    if not known:
+        raise ValueError(f"none of {list(asked)} is a service feature")
+    return known
 
 
 def list_features() -> dict[str, list[str]]:

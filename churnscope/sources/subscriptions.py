@@ -10,14 +10,9 @@ Scale notes
 -----------
 * ``lineitem`` is rolled up per order with algebraic aggregates, so the
   partial (map-side) aggregate collapses a hot order before the shuffle.
-* The "next order of the same customer" is a ``lead`` over the customer's
-  orders.  A plain ``Window.partitionBy(customer)`` would put one huge
-  customer (say a third of all orders) into a single task.  Instead
-  ``lead_in_group`` range-partitions on the full sort key (customer, date,
-  key), which splits a hot customer across many partitions; ``lead`` runs
-  within (partition, customer) and the last row of each such run takes the
-  first row of the next non-empty partition (a one-row-per-partition table,
-  so its broadcast is bounded by the partition count).
+* The tenure needs the month of the customer's next order only, so orders are
+  first aggregated to one row per customer and month; a customer with a third
+  of all orders then gives the window at most 12 rows a year.
 * ``customer`` is joined by key with a shuffle join; AQE's skew-join
   handling splits a hot customer's partition.
 """
@@ -226,5 +221,5 @@ def require_rows(df: DataFrame, what: str = "churn_customers") -> DataFrame:
 
     ``isEmpty`` reads at most one row (a limit-1 job), not the table."""
     if df.isEmpty():
-        raise ValueError(f"No data returned from {what}")
+        raise ValueError(f"{what} holds no rows")
     return df

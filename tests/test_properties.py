@@ -10,7 +10,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnscope.functions import scalar as sc
-from churnscope.functions.sequence import lead_in_group
 from churnscope.operators.model import rank_auc
 
 
@@ -81,16 +80,3 @@ def test_rank_auc_matches_bruteforce(spark, rows):
     else:
         u = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
         assert got == round_half_up(u / (len(pos) * len(neg)), 4)
-
-
-@SETTINGS
-@given(st.integers(50, 400), st.integers(2, 9), st.integers(1, 3))
-def test_lead_in_group_matches_window(spark, n, parts, hot_every):
-    df = spark.range(n).select(
-        F.col("id").alias("k"),
-        F.when(F.col("id") % (hot_every + 1) == 0, F.lit(1)).otherwise(F.col("id") % 7).alias("g"),
-        ((F.col("id") * 37) % 101).alias("t"))
-    got = lead_in_group(df, "g", ["t", "k"], "k", "nxt", parts=parts)
-    ref = df.withColumn("ref", F.lead("k").over(Window.partitionBy("g").orderBy("t", "k")))
-    bad = got.join(ref.select("k", "ref"), "k").where(~F.col("nxt").eqNullSafe(F.col("ref")))
-    assert bad.count() == 0
