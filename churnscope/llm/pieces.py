@@ -16,7 +16,7 @@ All random numbers are hashes of (seed, row key, place), so reruns agree.  No
 piece holds a space mark after another character, so the lattice is a chain of
 units (space marks and the characters up to the next one); a unit's lattice is
 built once per slice of texts, for all its occurrences, and those of the units
-that a Python worker saw first and often stay with it (``HELD`` nodes at most).
+that a task saw first and often stay until its end (``HELD`` nodes at most).
 Characters without a piece are spelled in byte pieces, as one edge.  Draws
 resolve chances to 2^-36; the subspaces of A-star are kept in logarithms, and
 only empty ones are dropped, so k samples come wherever k segmentations exist.
@@ -47,8 +47,8 @@ from churnscope.llm import text as T
 
 TEMPERATURE = 4_000.0
 SLICE = 1 << 20
-#: nodes of lattices that a worker keeps, and the longest unit among them
-HELD, LONG = 1_500_000, 64
+#: nodes of lattices that a task keeps, and the longest unit among them
+HELD, LONG = 1_000_000, 64
 #: bits of a chance in a draw
 BITS = 36
 #: a text on which a model's normalizer shows what it does
@@ -270,7 +270,7 @@ class Lattice:
     def joined(self, other: Lattice) -> Lattice:
         """Both sets of units as one, this one's first.
 
-        The vocabulary has room behind the arrays of the lattice that the worker
+        The vocabulary has room behind the arrays of the lattice that the task
         holds: the other's are written there, over those of the slice before,
         and this one's stay where they are.
         """
@@ -382,7 +382,7 @@ def _lattice(vocab: Vocabulary, flat: np.ndarray, starts: np.ndarray, ends: np.n
              many: np.ndarray) -> tuple[Lattice, np.ndarray]:
     """A lattice of the distinct units, and each one's place there.
 
-    While the worker's own lattice has room, the units that the slice holds
+    While the lattice that the task holds has room, the units that the slice holds
     more than once go into it; the others' is joined for this slice alone.
     """
     def known(lattice: Lattice) -> np.ndarray:
@@ -549,6 +549,8 @@ def sampled(docs: DataFrame, key: str, text: str, path: str, k: int = 2, seed: i
                     yield pa.RecordBatch.from_arrays([packed(c) for c in zip(*rows[i:i + 2_000], strict=True)] + rest, [*names, *also])
                 rows = found = ids = held = texts = None
                 trim()
+        vocab.held, vocab.room = None, {}  # the worker lives on, for tasks of other stages too
+        T.release()
 
     from pyspark.sql.types import StructType
 

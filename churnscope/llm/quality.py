@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(picked), "doc_id")  # at most MAX_TRAIN ids, and one text of each
-            .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality").mapInArrow(run, "y int, x array<double>").collect())
+            .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality").mapInArrow(T.tidy(run), "y int, x array<double>").collect())
     if not rows:
         return grow(np.zeros((0, len(NAMES))), np.zeros(0))
     # the order of rows must not matter: sums differ in their last digits

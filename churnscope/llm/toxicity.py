@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rest = F.greatest((F.col("u") / n[False] - prior * F.col("p") / n[True]) / (1 - prior), F.lit(0.0)) + 1.0 / n[False]
     by_chance = n[True] * (F.col("u") + 1) / n[False]
     gain = F.col("p") * F.log(F.col("p") / by_chance) - (F.col("p") - by_chance)  # log odds against chance
-    chosen = (sample.select("text", "positive").mapInArrow(count, "bucket long, p long, u long")
+    chosen = (sample.select("text", "positive").mapInArrow(T.tidy(count), "bucket long, p long, u long")
               .groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
               .filter((F.col("p") > by_chance) & (share > RATIO * rest)).withColumn("gain", gain).filter(F.col("gain") > GAIN)
               .orderBy(F.desc("gain"), "bucket").limit(FEATURES).collect())
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     [b.column(1).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int64()))],
                     ["positive", "features"])
 
-    rows = sample.select("text", "positive").mapInArrow(sparse, "positive boolean, features array<long>").collect()
+    rows = sample.select("text", "positive").mapInArrow(T.tidy(sparse), "positive boolean, features array<long>").collect()
     feature = np.concatenate([np.asarray(r["features"], dtype=np.int64) for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows])
     weights, bias = nn_pu(row, feature, np.array([r["positive"] for r in rows]), prior, len(buckets))
