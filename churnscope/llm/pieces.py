@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from churnscope.llm import text as T
 
 TEMPERATURE = 4_000.0
-SLICE = 1 << 20
+SLICE = 768 << 10
 #: nodes of lattices that a task keeps, and the longest unit among them
 HELD, LONG = 1_000_000, 64
 #: bits of a chance in a draw
