@@ -47,6 +47,21 @@ def test_positions_invert_the_schedules(spark):
     assert [r["position"] for r in got] == sorted(r["position"] for r in got)
 
 
+def test_documents_come_in_training_order(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(0, 30), "en", rng.choice(["a", "b", "c", None]), 0) for i in range(150)]
+    docs = frame(spark, rows, DOCS)
+    got, copies = mixing.mixed(docs).collect(), mixing.ordered(docs).collect()
+    # as the curriculum first reaches them, and those without a copy last
+    reached = list(dict.fromkeys(c["doc_id"] for c in copies))
+    assert 0 < len(reached) < len(got) == len(rows)
+    assert [r["doc_id"] for r in got] == reached + sorted(r["doc_id"] for r in got if not r["taken"])
+    for r in got:
+        own = [c for c in copies if c["doc_id"] == r["doc_id"]]
+        assert r["taken"] == sum(c["copy_words"] for c in own)
+        assert (r["first_position"], r["last_position"]) == ((own[0]["position"], own[-1]["position"]) if own else (None, None))
+
+
 def test_order_survives_the_reread(spark, tmp_path):
     docs = frame(spark, [(i % 12, "one two three " * (i % 4 + 1), "en", "ab"[i % 2], 0) for i in range(30)], DOCS)
     corpus_pipeline.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
