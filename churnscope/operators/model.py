@@ -349,7 +349,11 @@ def fitted_inputs(df: DataFrame) -> tuple[DataFrame, dict, dict[str, list[str]],
 def train_with_scores(df: DataFrame) -> tuple[PipelineModel, dict, DataFrame]:
     """M7 + M8: fit, evaluate, and also return the scored held-out rows
     (read from the same materialised model rows, not re-derived)."""
-    rows, counts, cats, weights = fitted_inputs(df)
+    return fit_inputs(*fitted_inputs(df))
+
+
+def fit_inputs(rows: DataFrame, counts: dict, cats: dict[str, list[str]], weights: dict[int, float]) -> tuple[PipelineModel, dict, DataFrame]:
+    """``train_with_scores`` from what ``fitted_inputs`` gives, for callers that read the split rows again."""
     n, n_train = counts["n"], counts["n_train"]
     names = feature_names(cats)
     train_rows = rows.where(~F.col("is_test"))

@@ -139,13 +139,13 @@ select customerID, position::integer as position, value from fl join pos using (
 select count(*) as rows, count(*) as equal_scores, (4 + (select count(*) from onehot))::bigint as features from m where is_test""", _M_CTES))
 def _saved_scores(spark, sf_dir):
     """Train, save, load and score again; the loaded model must give every held-out row the score of the trained one."""
-    base = subscriptions(spark, sf_dir)
+    inputs = M.fitted_inputs(subscriptions(spark, sf_dir))
     path = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
-    model, metrics, scored = M.train_with_scores(base)
+    model, metrics, scored = M.fit_inputs(*inputs)
     M.save(model, metrics, path)
     loaded, known = M.load(spark, path)
-    rows = M.with_split(M.materialised(M.training_set(base))).where("is_test")
-    again = M.score(loaded, rows).withColumnRenamed("score", "again")
+    # the rows that were split for the fit: the base is derived and cut once
+    again = M.score(loaded, inputs[0].where("is_test")).withColumnRenamed("score", "again")
     pairs = scored.join(again, "customerID")
     return pairs.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score") == F.col("again")).alias("equal_scores")).withColumn(
         "features", F.lit(known["total_features"]).cast("long"))

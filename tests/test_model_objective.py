@@ -1,10 +1,13 @@
 """M3 and M7: sparse one-hot rows of many categories, and the objective's gradient and optimum."""
 
 import numpy as np
+from conftest import SF_SMALL
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from churnscope.operators import model as M
+from churnscope.plans.registry import queries
+from churnscope.sources.subscriptions import subscriptions
 
 
 def rows(spark, n=400):
@@ -89,3 +92,11 @@ def test_statistics_give_the_plain_moments(spark):
             assert np.allclose(got[f"{c}_{value}"], (v.mean(), v.std()))
     plan = M.scaling(M.statistics(base))._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "FileScan" not in plan
+
+
+def test_saved_scores_derive_the_rows_once(spark, monkeypatch):
+    derived, plain = [], M.training_set
+    monkeypatch.setattr(M, "training_set", lambda df: derived.append(1) or plain(df))
+    got = queries()["model_saved_scores"](spark, SF_SMALL).first()
+    held_out = M.with_split(plain(subscriptions(spark, SF_SMALL))).where("is_test").count()
+    assert got.rows == got.equal_scores == held_out > 0 and len(derived) == 1
