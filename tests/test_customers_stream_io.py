@@ -55,6 +55,21 @@ def test_indexed_pages_equal_plain_pages(spark, tmp_path):
     assert cust.indexed_page(empty, none, 1).collect() == [] and cust.index_stats(none).first().total_count == 0
 
 
+def test_the_page_index_takes_no_more_tasks_than_a_sort(spark, tmp_path):
+    sc = spark.sparkContext
+    sc.setJobGroup("page index", "")
+    try:
+        cust.build_page_index(spark.range(3_000).selectExpr("lpad(id, 6, '0') as customerID"), str(tmp_path / "i"), rows_per_range=10)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    index = spark.read.parquet(str(tmp_path / "i"))
+    assert index.count() >= 300 and index.agg(F.max("n")).first()[0] <= 10
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("page index") for s in told.getJobInfo(j).stageIds]
+    # the driver's sample for a range sort grows with its tasks, so these must not grow with the ranges
+    assert max(s.numTasks for s in stages if s) <= max(int(spark.conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism)
+
+
 def test_a_deep_page_reads_one_range(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(60_000).selectExpr("lpad(id, 8, '0') as customerID", "1.0D as MonthlyCharges", "'2' as TotalCharges", "1 as tenure",
