@@ -305,3 +305,13 @@ def test_sf_tables_are_read_whole(spark):
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     for name in ("op1_fingerprints", "op7_token_counts", "op9_source_mixing"):
         assert queries.QUERIES[name](spark, SF_SMALL).count() == n
+
+
+def test_a_slice_is_summed_once_for_its_lattices(monkeypatch):
+    vocab, summed, plain = pieces.Vocabulary(queries.tokenizer("piece_bpe_32k.model")), [], pieces._sums
+    monkeypatch.setattr(pieces, "_sums", lambda flat: summed.append(len(flat)) or plain(flat))
+    texts = ["one two two three", "two ก\U0001f9ff two", None, "once ☃กก"]
+    found = pieces.sample_texts(vocab, texts, np.arange(4, dtype=np.uint64), 2)
+    assert vocab.held is not None and len(summed) == 1  # a lattice to hold, and one of this slice alone
+    # characters without a piece are spelled in bytes
+    assert all(vocab.decode(ids.tolist()) == (t or "") for t, own in zip(texts, found, strict=True) for ids, *_ in own)
