@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +111,7 @@ class Trees:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.empty(len(column))
-        for at, part in T.slices(T.as_strings(column)):
+        for at, part in T.slices(T.as_strings(column), T.SCORED):
             out[at:at + len(part)] = sigmoid(self.margin(statistics(part)))
         return out
 
@@ -189,10 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
 
 def scored(docs: DataFrame, trees: Trees) -> DataFrame:
     """Every document with the column score (other columns kept)."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(trees.scores(pa.array(texts, pa.large_string(), from_pandas=True)))
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn("score", T.scorer(trees.scores)(F.col("text").cast("string")))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

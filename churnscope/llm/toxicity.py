@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +90,7 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out, slot = np.empty(len(column)), self.slots()
-        for at, part in T.slices(T.as_strings(column)):
+        for at, part in T.slices(T.as_strings(column), T.SCORED):
             row, feature = present(part, slot)
             out[at:at + len(part)] = self.bias + np.bincount(row, self.weights[feature], len(part))
         return sigmoid(out)
@@ -200,10 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Every document with the column score (other columns kept)."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(pa.array(texts, pa.large_string(), from_pandas=True)))
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn("score", T.scorer(model.scores)(F.col("text").cast("string")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

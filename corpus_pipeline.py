@@ -19,6 +19,8 @@ from churnscope.llm.queries import table, tokenizer
 from churnscope.session import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes that the last stage segments together: executors also hold what the other stages left.
+AT_ONCE = 256 << 10
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     also = [c for c in mixing.ORDER if c in docs.columns]
     copy = F.xxhash64("doc_id", "source", "text", "twin", "copy") if len(also) == len(mixing.ORDER) else None
-    return pieces.sampled(docs, "doc_id", "text", tokenizer("piece_bpe_32k.model"), k=2, keep=pieces.checked, also=also, draw=copy)
+    return pieces.sampled(docs, "doc_id", "text", tokenizer("piece_bpe_32k.model"), k=2, keep=pieces.checked, also=also, draw=copy,
+                          at_once=AT_ONCE)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
