@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -140,3 +143,19 @@ def test_small_table_matches_brute_force(spark):
     rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: tuple(r[c] for c in COLUMNS[1:]) for r in repeats.digests(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).collect()}
     assert [got[r[0]] for r in rows] == brute([r[1] for r in rows])
+
+
+#: what a fresh worker does that has loaded neither pandas nor pyarrow.compute
+FRESH = """
+import pyarrow as pa
+from churnscope.llm import divergence, repeats
+lo, hi = (pa.Array.from_buffers(pa.int32(), 2, [None, pa.py_buffer(bytes(b))]) for b in ([1, 0, 0, 0, 3, 0, 0, 0], [3, 0, 0, 0, 6, 0, 0, 0]))
+ends = pa.Array.from_buffers(pa.int32(), 2, [None, pa.py_buffer(bytes([0, 0, 0, 0, 2, 0, 0, 0]))])
+ranges = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([lo, hi], ["lo", "hi"]))
+print(repeats._union(ranges, ("lo", "hi"), 0).to_pylist(), hasattr(divergence, "pc"))
+"""
+
+
+def test_a_fresh_worker_has_the_compute_functions():
+    run = subprocess.run([sys.executable, "-c", FRESH], capture_output=True, text=True, timeout=120, cwd=Path(repeats.__file__).parents[2])
+    assert run.stdout == "[[{'lo': 1, 'hi': 6}]] True\n", run.stderr
