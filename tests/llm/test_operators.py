@@ -315,3 +315,29 @@ def test_a_slice_is_summed_once_for_its_lattices(monkeypatch):
     assert vocab.held is not None and len(summed) == 1  # a lattice to hold, and one of this slice alone
     # characters without a piece are spelled in bytes
     assert all(vocab.decode(ids.tolist()) == (t or "") for t, own in zip(texts, found, strict=True) for ids, *_ in own)
+
+
+def test_units_of_earlier_slices_are_not_built_again(monkeypatch):
+    vocab, built, plain = pieces.Vocabulary(queries.tokenizer("piece_bpe_32k.model")), [], pieces.Lattice.__init__
+    monkeypatch.setattr(pieces.Lattice, "__init__", lambda self, v, flat, starts, ends, *more: built.append(len(starts)) or plain(
+        self, v, flat, starts, ends, *more))
+    texts, keys = ["each unit here comes once in its slice"], np.arange(1, dtype=np.uint64)
+    found = [pieces.sample_texts(vocab, texts, keys, 2)[0] for _ in range(5)]
+    assert sum(built) == 16  # eight units: for the first slice alone, and for the lattice that the task holds
+    assert [[f[0].tolist() for f in own] for own in found] == [[f[0].tolist() for f in found[0]]] * 5
+
+
+def test_lattices_built_in_parts_give_the_same_samples(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abé☃\U0001f9ff1") for _ in range(rng.randint(0, 9))) for _ in range(50)) for _ in range(12)]
+    keys, path = text.mix(np.arange(len(texts), dtype=np.uint64)), queries.tokenizer("piece_bpe_32k.model")
+
+    def samples():
+        vocab = pieces.Vocabulary(path)
+        out = [x for at in range(0, len(texts), 4) for x in pieces.sample_texts(vocab, texts[at:at + 4], keys[at:at + 4], 3)]
+        assert all(vocab.decode(f[0].tolist()) == t for t, found in zip(texts, out, strict=True) for f in found)
+        return [[(f[0].tolist(), round(f[1], 9), round(f[2], 9), round(f[3], 7)) for f in found] for found in out]
+
+    whole = samples()
+    monkeypatch.setattr(pieces, "BUILT", 40)
+    assert samples() == whole
