@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from churnscope.llm import jaccard
@@ -96,3 +99,23 @@ def test_parity_sketch_never_rejects():
             common = n - drop
             if jaccard.similar(common, n, len(b)):
                 assert jaccard.may_be_similar(jaccard.parity(np.sort(a)), n, jaccard.parity(b), len(b))
+
+
+def test_sets_and_subsets_without_a_hash_table_or_wide_sort(monkeypatch):
+    rng = random.Random(12)
+    texts = [None, "", " ", "one", "a b c d e " * 9, " ".join(rng.choice("abc") for _ in range(300)), " ".join(str(i) for i in range(400))]
+    sizes = [len(shingles(t)) for t in texts]
+    monkeypatch.setattr(np, "unique", None)  # several times slower for sets of this size
+    sets = list(jaccard.sets_of(pa.array(texts)))
+    assert [len(s) for s in sets] == sizes and all((s[1:] > s[:-1]).all() for s in sets)
+    sorted_, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, **how: sorted_.append(a.dtype.itemsize) or plain(a, **how))
+    for m in (7, 70_000):
+        values, first, size = jaccard._segments(sets[-1], m, 5)
+        h = jaccard.T.mix(sets[-1] ^ np.uint64(5))
+        seg = ((h >> np.uint64(40)) * np.uint64(m) >> np.uint64(24)).tolist()
+        assert size.tolist() == [n for _, n in sorted(Counter(seg).items())]
+        assert first.tolist() == [sum(size[:i]) for i in range(len(size))]
+        by = sorted(range(len(seg)), key=lambda i: seg[i])
+        assert values.tolist() == jaccard.T.mix(h + np.uint64(0x632BE59BD9B4E019))[by].tolist()
+    assert sorted_ == [2, 8]
