@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 
 from churnscope.llm import divergence, interactions
 from tests.llm.helpers import frame
@@ -70,6 +71,44 @@ def test_divergence_of_an_empty_table(spark):
     assert divergence.audit(frame(spark, [], SCHEMA)).collect() == []
 
 
+def test_divergence_reads_the_texts_twice_however_long_terms_are(spark, monkeypatch):
+    passes, rows = [], corpus(5)
+    docs = frame(spark, rows, SCHEMA)
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    got = divergence.audit(docs, 2, 50).collect()
+    assert {tuple(r) for r in got} == divergence_brute(rows, 2, 50)
+    assert len(passes) == 2
+
+
+def test_divergence_counts_survive_any_cut_into_slices_and_batches(monkeypatch):
+    for name, size in (("SLICE", 40), ("PART", 90), ("HELD", 7), ("SENT", 3)):
+        monkeypatch.setattr(divergence, name, size)
+    rows = [(text or "", lang or "", source or "") for _, text, lang, source in corpus(6)]
+    names = sorted({r[1] for r in rows})
+    batches = [pa.RecordBatch.from_pydict({
+        "hash": pa.array([names.index(r[1]) * 10**9 - 5 for r in part], pa.int64()), "text": [r[0] for r in part],
+        "lang": [r[1] for r in part], "source": [r[2] for r in part]}) for part in (rows[:20], rows[20:21], rows[21:])]
+    docs, n, in_lang = Counter(), Counter(), Counter()
+    for text, lang, source in rows:
+        n.update((lang, source, t) for t in terms_of(text))
+        docs.update({(lang, source, t) for t in terms_of(text)})
+        in_lang.update({(lang, t) for t in terms_of(text)})
+    keys = Counter()
+    for b in divergence._found(iter(batches)):
+        keys.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    assert sorted(keys.values()) == sorted(in_lang.values())
+    every = divergence.BitTable(np.full(1 << 10, -1, dtype=np.int64).view(np.uint64))
+    got_docs, got_n = Counter(), Counter()
+    for b in divergence._counts(lambda: every)(iter(batches)):
+        for r in b.to_pylist():
+            assert len(r["own"]) <= 3
+            for x in r["own"]:
+                got_docs[r["lang"], x["source"], r["term"]] += x["docs"]
+                got_n[r["lang"], x["source"], r["term"]] += x["n"]
+    assert (got_docs, got_n) == (docs, n)
+
+
 def test_bit_table_loses_no_key(spark):
     keys = np.random.default_rng(1).integers(0, 2**divergence.KEY, 5000, dtype=np.int64)
     table = divergence.bit_table(spark.createDataFrame([(int(k),) for k in keys], "key long"))
