@@ -8,7 +8,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 
-from churnscope.llm import divergence, interactions
+from churnscope.llm import divergence, frames, interactions
 from tests.llm.helpers import frame
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -109,6 +109,77 @@ def test_divergence_counts_survive_any_cut_into_slices_and_batches(monkeypatch):
     assert (got_docs, got_n) == (docs, n)
 
 
+def prefixes_brute(rows, threshold):
+    """Per level, the (lang, bytes, complete) that enough documents hold, among those whose prefix half as long was kept; and those discarded."""
+    length, before, out = divergence.FIRST, None, []
+    while before is None or before:
+        docs = Counter()
+        for _, text, lang, _ in rows:
+            terms = {t.encode() for t in terms_of(text)}
+            terms = {t for t in terms if before is None or len(t) >= length // 2 and (lang or "", t[:length // 2]) in before}
+            docs.update({(lang or "", t[:length], len(t) < length) for t in terms})
+        kept = {x for x, n in docs.items() if n >= threshold}
+        out.append((kept, len(docs)))
+        before, length = {(lang, t) for lang, t, whole in kept if not whole}, 2 * length
+    return out
+
+
+def test_divergence_refines_prefixes_level_by_level(spark, monkeypatch):
+    rows = corpus(7) + [(i, f"shared{'q' * 40}{i} rareword{i} abcdefgh{'z' * i}", "en", "s1") for i in range(20)]
+    hashes = {r[0]: r[1] for r in spark.sql("select l, xxhash64(l) from values ('en'), ('de'), (''), ('xx'), ('yy') t(l)").collect()}
+
+    def key(lang, term):
+        flat, one = np.frombuffer(term, dtype=np.uint8), np.array([0])
+        return int(divergence.term_keys(flat, one, one + len(flat), np.array([hashes[lang]]).view(np.uint64))[0])
+
+    for threshold, few in ((2, 10**6), (10, 1)):  # kept prefixes are broadcast, then shuffled
+        monkeypatch.setattr(frames, "BROADCAST_IDS", few)
+        sums = divergence.prefix_sums(frame(spark, rows, SCHEMA).repartition(3)).cache()
+        want, before = prefixes_brute(rows, threshold), None
+        got = list(divergence.kept_prefixes(sums, threshold))
+        assert len(got) == len(want) > 2
+        for level, (found, (keep, seen)) in enumerate(zip(got, want, strict=True)):
+            assert {tuple(r) for r in found.select("key", "whole").collect()} == {(key(lang, t), whole) for lang, t, whole in keep}
+            # what begins with a discarded prefix goes no further
+            assert divergence.extended(sums, level, before).select("whole", "key").distinct().count() == seen
+            before = found.filter("not whole").selectExpr("key as parent")
+        table = divergence.kept_terms(frame(spark, rows, SCHEMA), threshold)
+        assert table.has(np.array([key(lang, t) for keep, _ in want for lang, t, whole in keep if whole], dtype=np.int64)).all()
+        sums.unpersist()
+
+
+def test_divergence_prefixes_that_share_a_key_lose_no_documents(monkeypatch):
+    for name, size in (("KEY", 6), ("SLICE", 60), ("HELD", 9), ("SENT", 4)):
+        monkeypatch.setattr(divergence, name, size)
+    rows = [(text or "", 5 if lang else 0) for _, text, lang, _ in corpus(8)]
+    batch = pa.RecordBatch.from_pydict({"hash": pa.array([r[1] for r in rows], pa.int64()), "text": [r[0] for r in rows]})
+    sums = Counter()
+    for b in divergence._prefixes(iter([batch])):
+        for r in b.to_pylist():
+            assert len(r["key"]) == len(r["n"]) == len(r["parent"]) <= 4
+            for k, n, parent in zip(r["key"], r["n"], r["parent"], strict=True):
+                sums[r["level"], r["whole"], k, parent] += n
+
+    def key(term, lang):
+        flat, one = np.frombuffer(term, dtype=np.uint8), np.array([0])
+        return int(divergence.term_keys(flat, one, one + len(flat), np.array([lang], dtype=np.uint64))[0])
+
+    want = Counter()
+    for text, lang in rows:
+        found = set()
+        for t in (t.encode() for t in terms_of(text)):
+            level, parent = 0, 0
+            while True:
+                length = divergence.FIRST << level
+                found.add((level, len(t) < length, key(t[:length], lang), parent, t[:length], lang))
+                if len(t) < length:
+                    break
+                level, parent = level + 1, key(t[:length], lang)
+        want.update({x[:4] for x in found})
+    assert want.keys() == sums.keys() and all(sums[x] >= n for x, n in want.items())
+    assert len({x[:3] for x in want}) < len(want)  # keys of several parents occur
+
+
 def test_bit_table_loses_no_key(spark):
     keys = np.random.default_rng(1).integers(0, 2**divergence.KEY, 5000, dtype=np.int64)
     table = divergence.bit_table(spark.createDataFrame([(int(k),) for k in keys], "key long"))
